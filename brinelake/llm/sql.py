@@ -31,3 +31,24 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
+
+LINE_DEDUP = r"""
+WITH d AS (SELECT row_number() OVER () AS r, * FROM documents),
+l AS (
+  SELECT r, doc_id, source, pos, line, trim(line, ' ' || chr(9) || chr(13)) AS t
+  FROM (SELECT r, doc_id, source, unnest(string_split(text, chr(10))) AS line,
+               unnest(range(len(string_split(text, chr(10))))) AS pos FROM d)),
+b AS (
+  SELECT t, min(struct_pack(a := doc_id, b := pos)) AS first
+  FROM l WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 10),
+k AS (
+  SELECT l.*, b.t IS NOT NULL AND NOT (l.doc_id = b.first.a AND l.pos = b.first.b) AS gone
+  FROM l LEFT JOIN b ON l.t = b.t),
+g AS (
+  SELECT r, count(*) FILTER (WHERE t <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+         coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS cleaned
+  FROM k GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(cleaned) AS text_sha256
+FROM d LEFT JOIN g USING (r)
+"""
