@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, linededup, simhash, token_counts, token_files, toxicity
+from . import bpe, chroma, decontaminate, langid, linededup, simhash, token_counts, token_files, toxicity, wrappers
 from .common import table
 from .sql import DECONTAMINATE, LINE_DEDUP
 
@@ -35,6 +35,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio, so every vector of ``embeddings`` is rendered as a tune; every 50th searches all of them."""
+    tunes = chroma.render(table(spark, sf_dir, "embeddings"))
+    return chroma.align(chroma.fingerprints(tunes, "vec_id", "samples"), F.col("id") % 50 == 0, "vec_id")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +53,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
