@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import core
+from . import core, reconciliation
 from .registry import ORACLES, QUERIES
 
-__all__ = ["all_oracles", "all_queries", "core"]
+__all__ = ["all_oracles", "all_queries", "core", "reconciliation"]
 
 
 def all_queries() -> dict:

@@ -1,14 +1,257 @@
-"""Rollups, latest values and the other set queries over mapped rows."""
+"""Rollups, latest values, upserts and other set queries over mapped rows."""
 
 from __future__ import annotations
 
-from ..operators import rollup
-from .feeds import MAPPED, mapped
+from pyspark.sql import functions as F
+
+from ..operators import latest, rollup, upsert
+from .feeds import MAPPED, mapped, table
 from .registry import query
 
-PERIODS = "time_bucket(INTERVAL 5 MINUTE, time)"
+BUCKET = "time_bucket(INTERVAL 5 MINUTE, time)"
+WITH = f"WITH {MAPPED}, counts AS (SELECT {BUCKET} AS start, origin, count(*) AS count FROM mapped GROUP BY ALL)"
+COARSE = "SELECT time_bucket(INTERVAL 1 DAY, time) AS time, * EXCLUDE (time) FROM mapped"
+
+
+def coarse(spark, d):
+    """Mapped rows with times cut to days, so that keys repeat; the first half by seq is what is stored."""
+    return mapped(spark, d).withColumn("time", F.date_trunc("day", "time").cast("timestamp_ntz"))
 
 
-@query("a01_period_counts", f"WITH {MAPPED} SELECT {PERIODS} AS start, origin, count(*) AS count FROM mapped GROUP BY ALL")
+@query("a01_period_counts", f"{WITH} SELECT * FROM counts")
 def a01(spark, d):
     return rollup.period_counts(mapped(spark, d))
+
+
+@query(
+    "a02_rollup_of_rollups",
+    f"""WITH {MAPPED}, parts AS (
+      SELECT {BUCKET} AS start, origin, count(*) AS count FROM mapped WHERE context = origin GROUP BY ALL
+      UNION ALL SELECT {BUCKET}, origin, count(*) FROM mapped WHERE context <> origin GROUP BY ALL)
+    SELECT start, origin, CAST(sum(count) AS BIGINT) AS count FROM parts GROUP BY ALL""",
+)
+def a02(spark, d):
+    m = mapped(spark, d)
+    own = F.col("context") == F.col("origin")
+    return rollup.merge_counts(rollup.period_counts(m.where(own)), rollup.period_counts(m.where(~own)))
+
+
+@query("a03_first_period", f"{WITH} SELECT origin, min(start) AS start FROM counts GROUP BY origin")
+def a03(spark, d):
+    return rollup.first_period(rollup.period_counts(mapped(spark, d)))
+
+
+@query("a04_earliest_period", f"{WITH} SELECT coalesce(min(start), TIMESTAMP '2030-01-01') AS start FROM counts")
+def a04(spark, d):
+    return rollup.earliest(rollup.period_counts(mapped(spark, d)), F.expr("timestamp_ntz'2030-01-01'"))
+
+
+@query(
+    "a05_rows_per_uuid",
+    f"""{WITH} SELECT c.origin, c.start, uuid, count(*) AS count FROM counts c JOIN mapped m
+    ON m.origin = c.origin AND m.time BETWEEN c.start AND c.start + INTERVAL 5 MINUTE GROUP BY ALL""",
+)
+def a05(spark, d):
+    m = mapped(spark, d)
+    return rollup.rows_per_uuid(m, rollup.period_counts(m))
+
+
+@query(
+    "a07_count_lookup",
+    f"""{WITH} SELECT k.origin, k.start, coalesce(c.count, 0) AS count
+    FROM (SELECT origin, start + INTERVAL 5 MINUTE AS start FROM counts) k LEFT JOIN counts c ON c.origin = k.origin AND c.start = k.start""",
+)
+def a07(spark, d):
+    counts = rollup.period_counts(mapped(spark, d))
+    return rollup.look_up(counts, counts.select("origin", rollup.period_end().alias("start")))
+
+
+@query("a09_period_bounds", f"{WITH} SELECT min(start) AS first_start, max(start) AS last_start FROM counts")
+def a09(spark, d):
+    return rollup.bounds(rollup.period_counts(mapped(spark, d)))
+
+
+@query(
+    "a13_transfer_counters",
+    f"""WITH {MAPPED} SELECT count(DISTINCT seq) AS messages, count(*) FILTER (WHERE seq % 4 = 0) AS transferred,
+    count(DISTINCT uuid) AS uuids, count(*) AS records FROM mapped""",
+)
+def a13(spark, d):
+    return rollup.transfer_counters(mapped(spark, d).withColumn("transfer_uuid", F.when(F.col("seq") % 4 == 0, F.lit("t"))))
+
+
+@query(
+    "a14_latest_counts",
+    f"""WITH {MAPPED}, arrivals AS (SELECT time_bucket(INTERVAL 1 DAY, time) AS start, origin, CAST(k AS BIGINT) AS count, seq
+      FROM (SELECT *, seq % 100 AS k FROM mapped))
+    SELECT start, origin, arg_max(count, seq) AS count FROM arrivals GROUP BY ALL""",
+)
+def a14(spark, d):
+    return rollup.latest_counts(coarse(spark, d).select(F.col("time").alias("start"), "origin", (F.col("seq") % 100).alias("count"), "seq"))
+
+
+COLUMNS = "context, path, time, seq, connector, type, origin, value, uuid"
+
+
+@query(
+    "w01_latest",
+    f"""WITH {MAPPED} SELECT DISTINCT ON (context, path) {COLUMNS} FROM mapped
+    WHERE time > (SELECT min(time) + INTERVAL 1 DAY FROM mapped) ORDER BY context, path, time DESC, seq DESC""",
+)
+def w01(spark, d):
+    m = mapped(spark, d)
+    since = m.agg(F.min("time")).scalar() + F.expr("INTERVAL 1 DAY")
+    return latest.latest(m, since).select(*COLUMNS.split(", "))
+
+
+@query(
+    "w02_duplicates",
+    f"""WITH {MAPPED}, twice AS (SELECT time, connector, context, origin, path, value, seq FROM mapped
+      UNION ALL SELECT time, connector, context, origin, path, value, seq + 1000000000 FROM mapped WHERE seq % 3 = 0)
+    SELECT * FROM twice QUALIFY row_number() OVER (PARTITION BY time, connector, context, origin, path, value ORDER BY seq) = 1""",
+)
+def w02(spark, d):
+    keys = ["time", "connector", "context", "origin", "path", "value"]
+    m = mapped(spark, d).select(*keys, "seq")
+    return latest.without_duplicates(m.unionByName(m.where("seq % 3 = 0").withColumn("seq", F.col("seq") + 1000000000)), keys)
+
+
+@query(
+    "w06_last_known",
+    f"""WITH {MAPPED} SELECT seq, context, path, last_value(v IGNORE NULLS) OVER (PARTITION BY context, path ORDER BY time, seq
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_value
+    FROM (SELECT *, CASE WHEN seq % 4 <> 0 THEN value END AS v FROM mapped)""",
+)
+def w06(spark, d):
+    m = mapped(spark, d).withColumn("value", F.when(F.col("seq") % 4 != 0, F.col("value")))
+    return latest.carried(m).select("seq", "context", "path", "last_value")
+
+
+LEAF_SQL = """'{"value":' || CAST(value AS VARCHAR) || ',"timestamp":"' || strftime(time, '%Y-%m-%dT%H:%M:%S.%fZ')
+  || '","source":{"label":"' || connector || '","type":"' || type || '","uuid":"' || uuid || '"}}'"""
+
+
+def whole(m):
+    """Values as whole numbers, so that both engines print them alike."""
+    return m.withColumn("value", F.floor("value").cast("long"))
+
+
+LATEST_WHOLE = f"""l AS (SELECT DISTINCT ON (context, path) * REPLACE (CAST(floor(value) AS BIGINT) AS value) FROM mapped ORDER BY context, path, time DESC, seq DESC)"""
+
+
+@query(
+    "k10_model_document",
+    f"""WITH {MAPPED}, {LATEST_WHOLE}
+    SELECT context, '{{' || string_agg('"' || path || '":' || {LEAF_SQL}, ',' ORDER BY path) || '}}' AS document FROM l GROUP BY context""",
+)
+def k10(spark, d):
+    return latest.documents(whole(mapped(spark, d)))
+
+
+@query(
+    "k11_subtree",
+    f"""WITH {MAPPED}, {LATEST_WHOLE} SELECT context AS root, '' AS name, context, path, {LEAF_SQL} AS leaf FROM l
+    WHERE context = 'v1' AND (path = 'click' OR path LIKE 'click.%')""",
+)
+def k11(spark, d):
+    return latest.subtree(whole(mapped(spark, d)), F.lit("v1"), "click")
+
+
+@query(
+    "k02_upsert",
+    f"""WITH {MAPPED}, m AS ({COARSE}) SELECT time, origin, context, connector, path, arg_max(value, seq) AS value,
+    min(seq) AS seq, arg_min(type, seq) AS type, arg_min(uuid, seq) AS uuid FROM m GROUP BY ALL""",
+)
+def k02(spark, d):
+    m = coarse(spark, d)
+    return upsert.upsert(m.where("seq % 2 = 0"), m.where("seq % 2 = 1")).drop("transfer_uuid")
+
+
+@query("k03_context_split", f"WITH {MAPPED} SELECT CAST(time AS DATE) AS date, context = origin AS own_context, count(*) AS n FROM mapped GROUP BY ALL")
+def k03(spark, d):
+    return upsert.split_by_context(mapped(spark, d)).groupBy("date", "own_context").agg(F.count("*").alias("n"))
+
+
+REGISTRY_PATHS = "['" + "','".join(p for p, _ in upsert.REGISTRY.values()) + "']"
+
+
+def registry_rows(spark, d):
+    """Mapped rows on the seven registry paths, with values as JSON text."""
+    n = F.floor("value").cast("long").cast("string")
+    path = F.element_at(F.array(*[F.lit(p) for p, _ in upsert.REGISTRY.values()]), (F.col("seq") % 7 + 1).cast("int"))
+    text = F.concat(F.lit('"n'), n, F.lit('"'))
+    value = (
+        F.when(F.col("path") == "design.length", F.concat(F.lit('{"overall":'), n, F.lit("}")))
+        .when(F.col("path") == "design.beam", n)
+        .when(F.col("path") == "design.aisShipType", F.concat(F.lit('{"id":1,"description":'), text, F.lit("}")))
+        .otherwise(text)
+    )
+    return mapped(spark, d).withColumn("path", path).withColumn("value", value)
+
+
+REGISTRY_SQL = f"""r AS (SELECT context, seq, list_extract({REGISTRY_PATHS}, CAST(seq % 7 + 1 AS INT)) AS path,
+  CAST(floor(value) AS BIGINT) AS n FROM mapped),
+  u AS (SELECT context, {', '.join(f"arg_max({'CAST(n AS DOUBLE)' if c in upsert.NUMBERS else chr(39) + 'n' + chr(39) + ' || n'}, seq) FILTER (WHERE path = '{p}') AS {c}" for c, (p, _) in upsert.REGISTRY.items())} FROM r GROUP BY context)"""
+
+
+@query("k04_registry", f"WITH {MAPPED}, {REGISTRY_SQL} SELECT * FROM u")
+def k04(spark, d):
+    m = registry_rows(spark, d)
+    return upsert.merge_registry(upsert.registry_updates(m.where("seq % 5 = 0")).limit(0), upsert.registry_updates(m))
+
+
+@query("k12_transfer_log", f"{WITH} SELECT start + INTERVAL 5 MINUTE AS time, origin, '{{\"count\":' || count || '}}' AS message FROM counts")
+def k12(spark, d):
+    return upsert.log_rows(rollup.period_counts(mapped(spark, d)), rollup.period_end(), F.struct("count"))
+
+
+@query("k13_retention", f"WITH {MAPPED} SELECT seq, time FROM mapped WHERE time >= (SELECT max(time) FROM mapped) - INTERVAL 7 DAY")
+def k13(spark, d):
+    m = mapped(spark, d)
+    return upsert.retain(m, m.agg(F.max("time")).scalar(), "7 DAYS").select("seq", "time")
+
+
+@query(
+    "j11_backfill",
+    f"""WITH {MAPPED}, reg AS (SELECT DISTINCT context, 'old' AS callsignvhf FROM mapped),
+    f AS (SELECT context, arg_max(uuid, struct_pack(a := time, b := seq)) AS v FROM mapped WHERE path = 'click' GROUP BY context)
+    SELECT context, coalesce(v, callsignvhf) AS callsignvhf FROM reg LEFT JOIN f USING (context)""",
+)
+def j11(spark, d):
+    m = mapped(spark, d)
+    registry = m.select("context", F.lit("old").alias("callsignvhf")).distinct()
+    return upsert.backfill(registry, m.withColumn("value", F.col("uuid")), "callsignvhf", "click")
+
+
+@query("s06_scan", f"WITH {MAPPED} SELECT time, connector, type, context, origin, CASE WHEN path IN ('click','view') THEN '' ELSE path END AS path, value, uuid FROM mapped WHERE origin = 'v2' AND value > 50")
+def s06(spark, d):
+    from ..sources.tables import scan
+
+    return scan(mapped(spark, d), (F.col("origin") == "v2") & (F.col("value") > 50), names=("click", "view")).drop("transfer_uuid")
+
+
+@query("s07_raw_lookup", f"WITH {MAPPED} SELECT seq, uuid, value FROM mapped WHERE uuid = 'u7'")
+def s07(spark, d):
+    from ..sources.tables import raw_lookup
+
+    return raw_lookup(mapped(spark, d), "u7").select("seq", "uuid", "value")
+
+
+@query("s08_union_view", f"WITH {MAPPED} SELECT seq, context, origin FROM mapped")
+def s08(spark, d):
+    from ..sources.tables import union_view
+
+    m = mapped(spark, d).select("seq", "context", "origin")
+    return union_view(m.where("context = origin"), m.where("context <> origin"))
+
+
+@query("j09_tenant_rows", f"WITH {MAPPED} SELECT seq, origin FROM mapped WHERE origin IN (SELECT 'v' || n_nationkey FROM nation WHERE n_regionkey = 1)")
+def j09(spark, d):
+    granted = table(spark, d, "nation").where("n_regionkey = 1").select(F.concat(F.lit("v"), "n_nationkey").alias("origin"))
+    return mapped(spark, d).select("seq", "origin").join(granted, "origin", "left_semi")
+
+
+@query("j12_lineage", f"WITH {MAPPED} SELECT m.seq, m.uuid, o.o_orderstatus AS raw_type FROM mapped m JOIN orders o ON m.uuid = 'u' || o.o_orderkey")
+def j12(spark, d):
+    raw = table(spark, d, "orders").select(F.concat(F.lit("u"), "o_orderkey").alias("uuid"), F.col("o_orderstatus").alias("raw_type"))
+    return mapped(spark, d).select("seq", "uuid").join(raw, "uuid")
