@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import core, reconciliation, stateful
+from . import core, mapping, reconciliation, stateful
 from .registry import ORACLES, QUERIES
 
-__all__ = ["all_oracles", "all_queries", "core", "reconciliation", "stateful"]
+__all__ = ["all_oracles", "all_queries", "core", "mapping", "reconciliation", "stateful"]
 
 
 def all_queries() -> dict:
