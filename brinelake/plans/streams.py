@@ -136,3 +136,63 @@ def s04(spark, d):
     deltas = rebuild(m, "seq")
     out = batch_messages(batches(deltas, F.to_json(F.struct("context", "origin", "updates")), 100).select(F.col("payload").alias("value")))
     return out.groupBy("context", "origin").agg(F.sum("n_updates").alias("n_updates"), F.sum("n_transferred").alias("n_transferred"))
+
+
+def shared(spark, name: str) -> str:
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/brinelake-shared"
+    return f"{base.rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
+@query("t05_streaming_latest", f"WITH {MAPPED} SELECT DISTINCT ON (context, path) context, path, seq, value FROM mapped ORDER BY context, path, time DESC, seq DESC")
+def t05(spark, d):
+    return finished(J.latest(mapped_stream(spark, d)), "complete").select("context", "path", "seq", "value")
+
+
+@query(
+    "u04_streaming_changes",
+    f"""WITH RECURSIVE {MAPPED}, s AS (SELECT * REPLACE ((seq * 7919) % 10007 AS seq, CAST(floor(value / 40) AS BIGINT) AS value) FROM mapped),
+    m AS (SELECT *, row_number() OVER (PARTITION BY context, path ORDER BY seq) AS n FROM s),
+    scan AS (SELECT context, path, n, seq, time AS t, value AS x, true AS kept FROM m WHERE n = 1
+      UNION ALL SELECT m.context, m.path, m.n, m.seq, CASE WHEN m.time >= c.t AND m.value <> c.x THEN m.time ELSE c.t END,
+        CASE WHEN m.time >= c.t AND m.value <> c.x THEN m.value ELSE c.x END, m.time >= c.t AND m.value <> c.x
+      FROM scan c JOIN m ON m.context = c.context AND m.path = c.path AND m.n = c.n + 1)
+    SELECT seq, context, path FROM scan WHERE kept""",
+)
+def u04_changes(spark, d):
+    stream = mapped_stream(spark, d).withColumns({"seq": (F.col("seq") * 7919) % 10007, "value": F.floor(F.col("value") / 40).cast("long")})
+    return finished(J.run_machine(stream, ["context", "path"], J.Changes())).select("seq", "context", "path")
+
+
+@query(
+    "k02_streaming_upsert",
+    f"""WITH {MAPPED}, m AS (SELECT time_bucket(INTERVAL 1 DAY, time) AS time, * EXCLUDE (time) FROM mapped)
+    SELECT time, origin, context, connector, path, arg_max(value, seq) AS value, min(seq) AS seq FROM m GROUP BY ALL""",
+)
+def k02_stream(spark, d):
+    path = shared(spark, "upserts")
+    stream = mapped_stream(spark, d).withColumn("time", F.date_trunc("day", "time"))
+    for delivery in (1, 2):  # the second changes nothing
+        q = stream.writeStream.option("checkpointLocation", shared(spark, f"state{delivery}")).foreachBatch(J.upsert_batches(path)).trigger(availableNow=True).start()
+        q.awaitTermination()
+    rows = spark.read.parquet(path)
+    return rows.select(F.col("time").cast("timestamp_ntz").alias("time"), "origin", "context", "connector", "path", "value", "seq")
+
+
+@query("k01_raw_append", "SELECT event_id AS seq, event_type AS value, CAST(ts AS DATE) AS date FROM events")
+def k01(spark, d):
+    from ..operators.upsert import append
+
+    path = shared(spark, "raw")
+    e = table(spark, d, "events").select(F.col("ts").alias("time"), F.col("event_id").alias("seq"), F.col("event_type").cast("binary").alias("value"))
+    for part in (0, 1):
+        append(e.where(F.col("seq") % 2 == part), path)
+    return spark.read.parquet(path).select("seq", F.col("value").cast("string").alias("value"), "date")
+
+
+@query("s05_line_source", "SELECT 'line ' || event_id AS value, 'c0' AS connector, 'text' AS type FROM events")
+def s05(spark, d):
+    from ..sources.envelopes import lines
+
+    path = shared(spark, "lines")
+    table(spark, d, "events").select(F.concat(F.lit("line "), "event_id")).write.text(path)
+    return lines(spark, path, "c0", "text").select(F.col("value").cast("string").alias("value"), "connector", "type")

@@ -168,3 +168,8 @@ def upsert_batches(path: str) -> Callable[[DataFrame, int], None]:
         spark.read.schema(new.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "own_context").parquet(path)
 
     return merge
+
+
+def latest(stream: DataFrame) -> DataFrame:
+    """The newest value of each (context, path), kept up to date."""
+    return stream.groupBy("context", "path").agg(F.max_by(F.struct("time", "value", "seq"), F.struct("time", "seq")).alias("r")).select("context", "path", "r.*")
