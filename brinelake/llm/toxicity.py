@@ -29,6 +29,8 @@ from .common import as_text, held_out, materialize, slices
 PER_CLASS, TERMS, LEAST_DF, LEAST_CHI = 2000, 512, 5, 15.0
 #: Neighbours; examples of a block; lengths of word beginnings, in characters; share of a vote that the base rate has.
 NEIGHBOURS, BLOCK, PREFIXES, BASE = 15, 64, range(3, 9), 0.5
+#: Blocks that a search scans before it compares bounds with the k-th best cosine.
+FIRST_BLOCKS = 2
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -48,14 +50,14 @@ class _Terms:
         known = self.known
         if len(known) > 500_000:
             known.clear()
-        for word in _WORD.findall(text.lower()):
+        for word, n in Counter(_WORD.findall(text.lower())).items():
             ids = known.get(word)
             if ids is None:
                 ids = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
                 if len(word) <= 48:
                     known[word] = ids
             for t in ids:
-                out[t] += 1
+                out[t] += n
         return out
 
 
@@ -70,14 +72,11 @@ class Index:
         self.ids, self.labels, self.weights = [ids[i] for i in order], labels[order], weights[order]
         self.unit_vectors = [unit[i] for i in order]
         self.blocks = max(1, math.ceil(len(order) / BLOCK))
-        self.bound = np.zeros((len(idf), self.blocks))
-        lists: dict[tuple[int, int], list] = {}
+        # postings of a term in a block, as the weights of the block's examples
+        self.postings = np.zeros((len(idf), self.blocks, BLOCK), np.float32)
         for at, (terms, values) in enumerate(self.unit_vectors):
-            for t, v in zip(terms.tolist(), values.tolist()):
-                lists.setdefault((t, at // BLOCK), []).append((at % BLOCK, v))
-        self.postings = {k: (np.asarray([a for a, _ in x]), np.asarray([v for _, v in x])) for k, x in lists.items()}
-        for (t, b), (_, values) in self.postings.items():
-            self.bound[t, b] = values.max()
+            self.postings[terms, at // BLOCK, at % BLOCK] = values
+        self.bound = self.postings.max(2)
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         values = (1 + np.log(counts)) * self.idf[terms]
@@ -88,27 +87,27 @@ class Index:
         """Places and cosines of the ``k`` nearest examples with a positive cosine, of equal ones the first; ``but`` is left out."""
         if not len(terms):
             return np.empty(0, int), np.empty(0)
+        values = values.astype(np.float32)
         bounds = values @ self.bound[terms]
-        places, cosines, kth = np.empty(0, int), np.empty(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or bounds[b] < kth - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for t, v in zip(terms.tolist(), values.tolist()):
-                if (posting := self.postings.get((t, int(b)))) is not None:
-                    scores[posting[0]] += v * posting[1]
-            here = np.flatnonzero(scores > 0)
-            at = here + b * BLOCK
-            if but >= 0:
-                here, at = here[at != but], at[at != but]
-            places, cosines = np.concatenate([places, at]), np.concatenate([cosines, scores[here]])
-            if len(places) > k:
-                best = np.lexsort((places, -np.round(cosines, 9)))[:k]
-                places, cosines = places[best], cosines[best]
-            if len(places) >= k:
-                kth = float(cosines.min())
-        best = np.lexsort((places, -np.round(cosines, 9)))
-        return places[best], cosines[best]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        places, cosines = self._scan(terms, values, order[:FIRST_BLOCKS], but)
+        kth = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
+        # bounds fall along the order, so the blocks that may hold a better example come next
+        rest = order[FIRST_BLOCKS:]
+        rest = rest[bounds[rest] >= kth - 1e-5]
+        if len(rest):
+            more, others = self._scan(terms, values, rest, but)
+            places, cosines = np.concatenate([places, more]), np.concatenate([cosines, others])
+        best = np.lexsort((places, -np.round(cosines, 5)))[:k]
+        return places[best], cosines[best].astype(float)
+
+    def _scan(self, terms: np.ndarray, values: np.ndarray, blocks: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of all examples of the blocks with a positive cosine."""
+        scores = np.tensordot(values, self.postings[terms[:, None], blocks], 1)
+        block, at = np.nonzero(scores > 0)
+        places, cosines = blocks[block] * BLOCK + at, scores[block, at]
+        return (places[places != but], cosines[places != but]) if but >= 0 else (places, cosines)
 
 
 class Model:
@@ -172,13 +171,8 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFra
     return (drawn if drawn is not None else train.limit(0)), sizes
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: int = TERMS) -> Model | None:
-    """A model from labelled rows that aren't held out; documents' frequencies are over all rows of ``docs``."""
-    sample, sizes = _sample(docs, labels, per_class)
-    sample = materialize(sample, "toxicity-sample")
-    drawn = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    if not drawn:
-        return None
+def choose_terms(sample: DataFrame, drawn: dict[int, int], terms: int) -> dict[str, int]:
+    """At most ``terms`` terms that the labels of the sample single out, with their numbers."""
 
     def term_counts(batches):
         import pyarrow as pa
@@ -199,89 +193,82 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: i
     stats = sample.select("text", F.col("y").cast("int").alias("y")).mapInArrow(term_counts, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
     df = F.col("a") + F.col("b")
     chi = F.lit(float(n)) * F.pow(F.col("b") * n0 - F.col("a") * n1, 2) / (F.lit(float(max(n0, 1) * max(n1, 1))) * df * (n - df))
-    # of terms with the same counts, as a word and its beginnings often are, the shortest says as much
-    chosen = (
-        stats.where(df.between(LEAST_DF, n - 1))
-        .withColumn("chi", chi)
-        .where(f"chi >= {LEAST_CHI}")
-        .orderBy(F.desc("chi"), F.length("term"), "term")
-        .limit(terms)
-    )
-    vocabulary = {r["term"]: i for i, r in enumerate(chosen.collect())}
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    chosen = stats.where(df.between(LEAST_DF, n - 1)).withColumn("chi", chi).where(f"chi >= {LEAST_CHI}").orderBy(F.desc("chi"), F.length("term"), "term").limit(terms)
+    return {r["term"]: i for i, r in enumerate(chosen.collect())}
 
-    def frequencies(batches):
-        import pyarrow as pa
 
-        found, total, lookup = Counter(), 0, _Terms(shared.value)
-        for batch in slices(batches):
-            for text in as_text(batch.column("text")):
-                total += 1
-                found.update(lookup.counts(text).keys())
-        found[-1] = total
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["t", "n"])
-
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()
-    seen = {r["t"]: r["n"] for r in rows}
-    total = seen.get(-1, 0)
-    idf = np.asarray([1 + math.log((1 + total) / (1 + seen.get(t, 0))) for t in range(len(vocabulary))])
+def term_vectors(docs: DataFrame, vocabulary: dict[str, int], keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, columns of ``keep``, and the terms of each text with their counts, in the order of terms."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    kept = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def vectors(batches):
+    def run(batches):
         import pyarrow as pa
 
         lookup = _Terms(shared.value)
         for batch in slices(batches):
-            counts = [lookup.counts(t) for t in as_text(batch.column("text"))]
+            counts = [sorted(lookup.counts(t).items()) for t in as_text(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
-                    batch.column("y"),
-                    pa.array([list(c.keys()) for c in counts], pa.list_(pa.int32())),
-                    pa.array([list(c.values()) for c in counts], pa.list_(pa.int32())),
+                    *(batch.column(c) for c in ("doc_id", "held_out", *keep)),
+                    pa.array([[t for t, _ in c] for c in counts], pa.list_(pa.int32())),
+                    pa.array([[n for _, n in c] for c in counts], pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "y", "terms", "counts"],
+                names=["doc_id", "held_out", *keep, "terms", "counts"],
             )
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    examples = (
-        sample.select("doc_id", F.col("y").cast("int").alias("y"), "text")
-        .mapInArrow(vectors, f"doc_id {id_type}, y int, terms array<int>, counts array<int>")
-        .collect()
-    )
+    rows = docs.select("doc_id", held_out().alias("held_out"), *keep, F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, {kept}terms array<int>, counts array<int>")
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: int = TERMS) -> tuple[Model | None, DataFrame]:
+    """A model from labelled rows that aren't held out, and the term vectors of all rows, which are written once.
+
+    Document frequencies are counted over all rows.
+    """
+    sample, sizes = _sample(docs, labels, per_class)
+    sample = materialize(sample, "toxicity-sample")
+    drawn = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    vocabulary = choose_terms(sample, drawn, terms) if drawn else {}
+    vectors = materialize(term_vectors(docs, vocabulary), "term-vectors")
+    if not drawn:
+        return None, vectors
+    seen = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+    total = vectors.count()
+    idf = np.asarray([1 + math.log((1 + total) / (1 + seen.get(t, 0))) for t in range(len(vocabulary))])
+    examples = term_vectors(sample.withColumn("y", F.col("y").cast("int")), vocabulary, ("y",)).collect()
     examples.sort(key=lambda r: str(r["doc_id"]))
     y = np.asarray([r["y"] for r in examples], float)
     weights = np.asarray([sizes[r["y"]] / drawn[r["y"]] for r in examples])
     index = Index(idf, [(np.asarray(r["terms"], int), np.asarray(r["counts"], float)) for r in examples], [r["doc_id"] for r in examples], y, weights)
-    return Model(vocabulary, index)
+    return Model(vocabulary, index), vectors
 
 
-def score(docs: DataFrame, model: Model | None, evidence: int = 3) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence (ids, labels and cosines of the nearest examples) for each row."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def score(vectors: DataFrame, model: Model | None, evidence: int = 3) -> DataFrame:
+    """doc_id, held_out, score, predicted, evidence (ids, labels and cosines of the nearest examples) for each row of term vectors."""
+    id_type = vectors.schema["doc_id"].dataType.simpleString()
     kind = f"array<struct<doc_id: {id_type}, label: int, cosine: double>>"
-    texts = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     if model is None:
-        return texts.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast(kind).alias("evidence"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+        return vectors.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast(kind).alias("evidence"))
+    shared = vectors.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
 
         m: Model = shared.value
-        lookup, known = _Terms(m.vocabulary), {}
+        known: dict = {}
         for batch in slices(batches):
             ids = batch.column("doc_id")
             scores, seen = [], []
-            for text in as_text(batch.column("text")):
-                counts = tuple(sorted(lookup.counts(text).items()))
-                if counts not in known:
+            for key in zip(map(tuple, batch.column("terms").to_pylist()), map(tuple, batch.column("counts").to_pylist())):
+                if key not in known:
                     if len(known) > 20_000:
                         known.clear()
-                    terms = np.asarray([t for t, _ in counts], int)
-                    s, places, cosines = m.score(terms, np.asarray([c for _, c in counts], float))
-                    near = [(m.index.ids[p], int(m.index.labels[p]), float(c)) for p, c in zip(places[:evidence].tolist(), cosines.tolist())]
-                    known[counts] = s, [{"doc_id": a, "label": b, "cosine": c} for a, b, c in near]
-                s, near = known[counts]
+                    s, places, cosines = m.score(np.asarray(key[0], int), np.asarray(key[1], float))
+                    near = zip(places[:evidence].tolist(), cosines.tolist())
+                    known[key] = s, [{"doc_id": m.index.ids[p], "label": int(m.index.labels[p]), "cosine": float(c)} for p, c in near]
+                s, near = known[key]
                 scores.append(s)
                 seen.append(near)
             row = pa.struct([("doc_id", ids.type), ("label", pa.int32()), ("cosine", pa.float64())])
@@ -290,10 +277,11 @@ def score(docs: DataFrame, model: Model | None, evidence: int = 3) -> DataFrame:
                 names=["doc_id", "held_out", "score", "evidence"],
             )
 
-    out = texts.mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double, evidence {kind}")
+    out = vectors.mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double, evidence {kind}")
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Fit on the labelled rows and score every row."""
-    return score(docs, fit(docs, labels, **options))
+    model, vectors = fit(docs, labels, **options)
+    return score(vectors, model)
