@@ -189,10 +189,10 @@ def w05(spark, d):
 @query(
     "w10_silence",
     f"""WITH {MAPPED} SELECT connector, time AS last_seen, n AS next_seen FROM (SELECT *, lead(time) OVER (PARTITION BY connector
-    ORDER BY time, seq) AS n FROM mapped) WHERE n > time + INTERVAL 5 HOUR""",
+    ORDER BY time, seq) AS n FROM mapped) WHERE n > time + INTERVAL 30 MINUTE""",
 )
 def w10(spark, d):
-    return S.silences(mapped(spark, d), "5 HOURS")
+    return S.silences(mapped(spark, d), "30 MINUTES")
 
 
 FIELDS = "CASE WHEN seq % 3 = 0 THEN value END AS latitude, CASE WHEN seq % 3 = 1 THEN value END AS longitude, CASE WHEN seq % 5 = 0 THEN value END AS altitude"

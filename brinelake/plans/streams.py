@@ -81,10 +81,10 @@ def u04_combine(spark, d):
 @query(
     "u04_streaming_silence",
     f"""WITH {MAPPED} SELECT connector, time AS last_seen, n AS next_seen FROM (SELECT *, lead(time) OVER (PARTITION BY connector
-    ORDER BY time, seq) AS n FROM mapped) WHERE n > time + INTERVAL 5 HOUR""",
+    ORDER BY time, seq) AS n FROM mapped) WHERE n > time + INTERVAL 30 MINUTE""",
 )
 def u04_silence(spark, d):
-    out = finished(J.run_machine(mapped_stream(spark, d), ["connector"], J.Silence(5 * 3600), "connector string, last_seen timestamp, next_seen timestamp"))
+    out = finished(J.run_machine(mapped_stream(spark, d), ["connector"], J.Silence(1800), "connector string, last_seen timestamp, next_seen timestamp"))
     return out.select("connector", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), F.col("next_seen").cast("timestamp_ntz").alias("next_seen"))
 
 
