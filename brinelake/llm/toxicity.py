@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import as_text, held_out, materialize, slices
 
-PER_CLASS, TERMS, LEAST_DF, LEAST_CHI = 2000, 512, 5, 15.0
+#: Examples of each label; most terms; a term's least frequency, chi-square and chi-square per example in the sample.
+PER_CLASS, TERMS, LEAST_DF, LEAST_CHI, LEAST_PHI = 2000, 512, 5, 15.0, 0.01
 #: Neighbours; examples of a block; lengths of word beginnings, in characters; share of a vote that the base rate has.
 NEIGHBOURS, BLOCK, PREFIXES, BASE = 15, 64, range(3, 9), 0.5
 #: Blocks that a search scans before it compares bounds with the k-th best cosine.
@@ -193,7 +194,7 @@ def choose_terms(sample: DataFrame, drawn: dict[int, int], terms: int) -> dict[s
     stats = sample.select("text", F.col("y").cast("int").alias("y")).mapInArrow(term_counts, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
     df = F.col("a") + F.col("b")
     chi = F.lit(float(n)) * F.pow(F.col("b") * n0 - F.col("a") * n1, 2) / (F.lit(float(max(n0, 1) * max(n1, 1))) * df * (n - df))
-    chosen = stats.where(df.between(LEAST_DF, n - 1)).withColumn("chi", chi).where(f"chi >= {LEAST_CHI}").orderBy(F.desc("chi"), F.length("term"), "term").limit(terms)
+    chosen = stats.where(df.between(LEAST_DF, n - 1)).withColumn("chi", chi).where(f"chi >= {max(LEAST_CHI, LEAST_PHI * n)}").orderBy(F.desc("chi"), F.length("term"), "term").limit(terms)
     return {r["term"]: i for i, r in enumerate(chosen.collect())}
 
 
@@ -222,6 +223,24 @@ def term_vectors(docs: DataFrame, vocabulary: dict[str, int], keep: tuple[str, .
     return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, {kept}terms array<int>, counts array<int>")
 
 
+def document_frequencies(vectors: DataFrame) -> dict[int, int]:
+    """Documents that have each term, and under -1 the number of all; a task sends one row for each term."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        found, total = Counter(), 0
+        for batch in batches:
+            total += batch.num_rows
+            terms, counts = np.unique(batch.column("terms").flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            found.update(dict(zip(terms.tolist(), counts.tolist())))
+        found[-1] = total
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["t", "n"])
+
+    rows = vectors.select("terms").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    return {r["t"]: r["n"] for r in rows.collect()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: int = TERMS) -> tuple[Model | None, DataFrame]:
     """A model from labelled rows that aren't held out, and the term vectors of all rows, which are written once.
 
@@ -234,8 +253,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: i
     vectors = materialize(term_vectors(docs, vocabulary), "term-vectors")
     if not drawn:
         return None, vectors
-    seen = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    total = vectors.count()
+    seen = document_frequencies(vectors)
+    total = seen.get(-1, 0)
     idf = np.asarray([1 + math.log((1 + total) / (1 + seen.get(t, 0))) for t in range(len(vocabulary))])
     examples = term_vectors(sample.withColumn("y", F.col("y").cast("int")), vocabulary, ("y",)).collect()
     examples.sort(key=lambda r: str(r["doc_id"]))
