@@ -11,7 +11,7 @@ import public_tokenizers as P
 from brinelake.llm import bpe, decontaminate, toxicity
 from tests.llm.test_llm_operators import clean_by_hand, components_by_hand, fingerprint_by_hand, tiktoken_encoding
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
