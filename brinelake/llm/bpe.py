@@ -6,9 +6,10 @@ from a literal map: an array of small maps, one for each value of crc32 mod ``BU
 looks a key up in a map by scanning it.
 
 The distinct words of the corpus are counted, and those that are most frequent (at most
-``DICTIONARY_WORDS``, whatever the size of the corpus) are folded once and become a second literal map.
-All other words are folded where they stand, so nothing but the word counts is shuffled, and the map
-only saves work: the ids are the same without it.
+``DICTIONARY_WORDS``, whatever the size of the corpus) are folded once and become a second literal map,
+which holds the bytes of a word's ids and the text that they decode to.  All other words are folded and
+decoded where they stand, so nothing but the word counts is shuffled, and the map only saves work: the
+result is the same without it.
 
 Cases: a null text counts as empty and has no ids; null ids of documents are kept; repeated rows each
 give a row.  Words of over ``LONG_WORD`` bytes are folded as text, all places of the least pair in one
@@ -20,6 +21,7 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,17 +42,18 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _literal(entries: dict[str, object], kind: str) -> Column:
-    buckets: list[dict] = [{} for _ in range(BUCKETS)]
-    for key, value in entries.items():
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = value
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"), ensure_ascii=False)), f"array<map<string,{kind}>>")
+def _literal(entries: Iterable[tuple[str, object]], kind: str) -> Column:
+    buckets: list[str] = [""] * BUCKETS
+    for key, value in entries:
+        at = zlib.crc32(key.encode()) % BUCKETS
+        pair = f"{json.dumps(key, ensure_ascii=False)}:{json.dumps(value, ensure_ascii=False, separators=(',', ':'))}"
+        buckets[at] = f"{buckets[at]},{pair}" if buckets[at] else pair
+    return F.from_json(F.lit("[{" + "},{".join(buckets) + "}]"), f"array<map<string,{kind}>>")
 
 
 def _look_up(literal: Column, key: Column) -> Column:
     """The value of ``key``, null if there is none."""
-    bucket = (F.crc32(key.cast("binary")) % BUCKETS + 1).cast("int")
-    return F.try_element_at(F.element_at(literal, bucket), key)
+    return F.try_element_at(F.get(literal, F.crc32(key.cast("binary")).bitwiseAND(BUCKETS - 1).cast("int")), key)
 
 
 def _bind(value: Column, body) -> Column:
@@ -59,12 +62,16 @@ def _bind(value: Column, body) -> Column:
 
 
 class Vocabulary:
-    """Literals for a rank file, and the column expressions made with them."""
+    """Literals for a rank file, and the column expressions made with them.
+
+    Every literal stands once in an expression, bound to a lambda variable: plans are copied, printed and sent
+    to executors, and so are all literals in them.
+    """
 
     def __init__(self, path: str, pattern: str):
         ranks = load_ranks(path)
         self.pattern = "(?U)" + pattern  # \s is Unicode's white space
-        self.rank_map = _literal({k.hex(): v for k, v in ranks.items()}, "int")
+        self.rank_map = _literal(((k.hex(), v) for k, v in ranks.items()), "int")
         by_id = [b""] * (max(ranks.values()) + 1)
         for k, v in ranks.items():
             by_id[v] = k
@@ -74,15 +81,18 @@ class Vocabulary:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def rank(self, piece: Column) -> Column:
-        return F.coalesce(_look_up(self.rank_map, piece), F.lit(NONE))
-
     def fold(self, word: Column) -> Column:
         """Ids of one word."""
+        return _bind(self.rank_map, lambda ranks: self._fold(ranks, word))
+
+    def _fold(self, ranks: Column, word: Column) -> Column:
+        def rank(piece: Column) -> Column:
+            return F.coalesce(_look_up(ranks, piece), F.lit(NONE))
+
         digits = F.lower(F.hex(word.cast("binary")))
-        return F.when(F.octet_length(word) > LONG_WORD, self._fold_long(digits)).otherwise(self._fold_short(digits))
+        return F.when(F.octet_length(word) > LONG_WORD, self._fold_long(rank, digits)).otherwise(self._fold_short(rank, digits))
 
-    def _fold_short(self, digits: Column) -> Column:
+    def _fold_short(self, rank, digits: Column) -> Column:
         pieces = F.concat(
             F.array(F.lit(END)),
             F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.substring(digits, i, F.lit(2))),
@@ -91,7 +101,7 @@ class Vocabulary:
 
         def start(p):
             ranks = F.transform(
-                F.sequence(F.lit(1), F.size(p) - 1), lambda i: self.rank(F.concat(F.element_at(p, i), F.element_at(p, i + 1)))
+                F.sequence(F.lit(1), F.size(p) - 1), lambda i: rank(F.concat(F.element_at(p, i), F.element_at(p, i + 1)))
             )
             return F.struct(p.alias("p"), ranks.alias("r"))
 
@@ -105,7 +115,7 @@ class Vocabulary:
                         F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, rest)).alias("p"),
                         F.concat(
                             F.slice(r, F.lit(1), i - 2),
-                            F.array(self.rank(F.concat(F.element_at(p, i - 1), m)), self.rank(F.concat(m, F.element_at(p, i + 2)))),
+                            F.array(rank(F.concat(F.element_at(p, i - 1), m)), rank(F.concat(m, F.element_at(p, i + 2)))),
                             F.slice(r, i + 2, rest),
                         ).alias("r"),
                     )
@@ -119,9 +129,9 @@ class Vocabulary:
 
         rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(digits) / 2 - 1).cast("int"))
         merged = F.aggregate(rounds, _bind(pieces, start), step, lambda s: s["p"])
-        return F.transform(F.filter(merged, lambda x: x != END), lambda x: self.rank(x))
+        return F.transform(F.filter(merged, lambda x: x != END), lambda x: rank(x))
 
-    def _fold_long(self, digits: Column) -> Column:
+    def _fold_long(self, rank, digits: Column) -> Column:
         def pieces(s):
             return F.split(F.substring(s, F.lit(2), F.length(s) - 2), "><")
 
@@ -130,7 +140,7 @@ class Vocabulary:
                 pairs = F.transform(
                     F.sequence(F.lit(1), F.size(p) - 1),
                     lambda i: F.struct(
-                        self.rank(F.concat(F.element_at(p, i), F.element_at(p, i + 1))).alias("k"),
+                        rank(F.concat(F.element_at(p, i), F.element_at(p, i + 1))).alias("k"),
                         F.element_at(p, i).alias("a"),
                         F.element_at(p, i + 1).alias("b"),
                     ),
@@ -147,23 +157,36 @@ class Vocabulary:
 
         first = F.struct(F.regexp_replace(digits, "(..)", "<$1>").alias("text"), F.lit(False).alias("over"))
         text = F.aggregate(F.sequence(F.lit(1), F.length(digits)), first, step, lambda s: s["text"])
-        return F.transform(pieces(text), lambda x: self.rank(x))
+        return F.transform(pieces(text), lambda x: rank(x))
 
-    def encode(self, text: Column, dictionary: Column | None = None) -> Column:
-        """Ids of a text."""
+    def code(self, word: Column) -> Column:
+        """ids (hex digits of the bytes) and text of one word."""
+        return self._bound(lambda tables: self._code(tables, word))
 
-        def one(word):
-            return self.fold(word) if dictionary is None else F.coalesce(_look_up(dictionary, word), self.fold(word))
+    def _bound(self, body) -> Column:
+        return _bind(self.rank_map, lambda ranks: _bind(self.pieces, lambda pieces: _bind(self.id_bytes, lambda id_bytes: body((ranks, pieces, id_bytes)))))
 
-        return F.flatten(F.transform(self.words(text), one))
+    def _code(self, tables, word: Column) -> Column:
+        ranks, pieces, id_bytes = tables
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of ids: their pieces, concatenated."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(self.pieces, i + 1)), ""))
+        def both(ids):
+            # decoding concatenates the binary pieces of the ids
+            text = F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")).cast("string")
+            return F.struct(F.array_join(F.transform(ids, lambda i: F.get(id_bytes, i)), "").alias("ids"), text.alias("text"))
+
+        return _bind(self._fold(ranks, word), both)
 
-    def to_binary(self, ids: Column) -> Column:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(self.id_bytes, i + 1)), ""))
+    def codes(self, text: Column, dictionary: Column) -> Column:
+        """The codes of a text's words, in order."""
+
+        def with_tables(tables):
+            return _bind(dictionary, lambda known: F.transform(self.words(text), lambda w: F.coalesce(_look_up(known, w), self._code(tables, w))))
+
+        return self._bound(with_tables)
+
+    def decode(self, ids: Column) -> Column:
+        """The bytes of an array of ids: their pieces, concatenated."""
+        return _bind(self.pieces, lambda pieces: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")))
 
 
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str, limit: int) -> DataFrame:
@@ -180,7 +203,7 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str, limit
         if kept > limit:
             break
         least = row["level"]
-    return counts.where(F.lit(False) if least is None else F.col("level") >= least).select("word", vocabulary.fold(F.col("word")).alias("ids"))
+    return counts.where(F.lit(False) if least is None else F.col("level") >= least).select("word", vocabulary.code(F.col("word")).alias("code"))
 
 
 def encode_documents(
@@ -191,22 +214,28 @@ def encode_documents(
     text_col: str = "text",
     dictionary_words: int = DICTIONARY_WORDS,
 ) -> DataFrame:
-    """id, ids (array<int>), decoded (the bytes that the ids stand for) for each row."""
+    """id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (the bytes that the ids stand for) for each row."""
     vocabulary = Vocabulary(path, pattern)
-    texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    known = {r["word"]: r["ids"] for r in frequent_words(texts, vocabulary, "__text", dictionary_words).collect()}
-    dictionary = _literal(known, "array<int>") if known else None
-    ids = texts.select(F.col(id_col), vocabulary.encode(F.col("__text"), dictionary).alias("ids"))
-    return ids.select(F.col(id_col), "ids", vocabulary.decode(F.col("ids")).alias("decoded"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
+    known = frequent_words(texts, vocabulary, "__text", dictionary_words)
+    rows = ((r["word"], {"ids": r["ids"], "text": r["text"]}) for r in known.select("word", "code.*").toLocalIterator())
+    dictionary = _literal(rows, "struct<ids: string, text: string>")
+    codes = texts.select("__id", vocabulary.codes(F.col("__text"), dictionary).alias("c"))
+    ids = F.unhex(F.array_join("c.ids", ""))
+    out = codes.select(F.col("__id").alias(id_col), ids.alias("ids"), F.array_join("c.text", "").cast("binary").alias("decoded"))
+    return out.select(id_col, (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
+
+
+def ids_of(binary: Column) -> Column:
+    """The ids in a binary column as an array."""
+    digits = F.hex(binary)
+    at = lambda k, b: F.conv(F.substring(digits, k * 8 + 2 * b + 1, F.lit(2)), 16, 10).cast("long")
+    one = lambda k: at(k, 0) + at(k, 1) * 256 + at(k, 2) * 65536 + at(k, 3) * 16777216
+    n = (F.length(binary) / 4).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), one)).otherwise(F.array().cast("array<bigint>"))
 
 
 def encode_digest(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """id, n_tokens, ids_sha256, decoded_sha256 for each row."""
-    vocabulary = Vocabulary(path, pattern)
     out = encode_documents(docs, path, pattern, id_col, text_col, **options)
-    return out.select(
-        F.col(id_col),
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(vocabulary.to_binary(F.col("ids")), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-    )
+    return out.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
