@@ -36,9 +36,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no audio, so every vector of ``embeddings`` is rendered as a tune; every 50th searches all of them."""
-    tunes = chroma.render(table(spark, sf_dir, "embeddings"))
-    return chroma.align(chroma.fingerprints(tunes, "vec_id", "samples"), F.col("id") % 50 == 0, "vec_id")
+    """One row for each searching recording: vec_id, n_links, and all classes of recordings that it aligns with.
+
+    The tables hold no audio, so every vector of ``embeddings`` is rendered as a tune; every 50th searches all of them.
+    """
+    vectors = table(spark, sf_dir, "embeddings")
+    is_query = F.col("id") % 50 == 0
+    links = chroma.align(chroma.fingerprints(chroma.render(vectors), "vec_id", "samples"), is_query, "vec_id")
+    lists = links.groupBy(F.col("query").alias("vec_id")).agg(
+        F.count("*").alias("n_links"), F.array_sort(F.collect_list(F.struct("match_class", "n_members", "offset", "n_agree", "bit_error"))).alias("links")
+    )
+    asked = vectors.where(F.col("vec_id") % 50 == 0).select("vec_id").distinct()
+    return asked.join(lists, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "links")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
