@@ -30,7 +30,7 @@ from .common import materialize
 
 BUCKETS = 1 << 16
 #: Most words of the literal dictionary: the only result that the driver gathers.
-DICTIONARY_WORDS = 1 << 16
+DICTIONARY_WORDS = 1 << 15
 LONG_WORD = 2048
 NONE = 2147483647
 END = "~"  # stands before the first and after the last piece; no key has it
