@@ -1,11 +1,12 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 Fitting takes a bounded sample of labelled rows (``PER_CLASS`` of each label, drawn by a hash of the id).
-Terms are words and beginnings of words that the labels single out in that sample (chi-square);
-their document frequencies are counted over all documents.  The examples' normalised vectors are
-stored as postings by term, in blocks of ``BLOCK`` examples with the greatest weight of each term in each
-block.  A search takes blocks by their upper bound, and ends when no bound reaches the k-th best cosine
-found, so the neighbours are exact.  Votes weigh more the nearer the example; an isotonic table fitted on
+Terms are all words and beginnings of words in that sample; none is left out.  A term weighs its idf, counted
+over all documents, times its phi coefficient with the labels in the sample, so a rare term that the labels
+single out counts, and the many that they don't weigh little.  The examples' normalised vectors are
+stored as postings by term, those of the ``DENSE`` most frequent terms in blocks of ``BLOCK`` examples with the
+greatest weight of each term in each block.  A search adds the short postings up, takes blocks by their upper
+bound, and ends when no bound reaches the k-th best cosine found, so the neighbours are exact.  Votes weigh more the nearer the example; an isotonic table fitted on
 leave-one-out votes turns them into calibrated scores.  The neighbours are returned as evidence.
 
 Cases: null and empty texts, and texts with no term, have no neighbours and get the share of label 1
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import as_text, held_out, materialize, slices
 
-#: Examples of each label; most terms; a term's least frequency, chi-square and chi-square per example in the sample.
-PER_CLASS, TERMS, LEAST_DF, LEAST_CHI, LEAST_PHI = 2000, 512, 5, 15.0, 0.01
+#: Examples of each label; most terms whose postings are stored in blocks; terms whose frequencies are counted in one row.
+PER_CLASS, DENSE, CHUNK = 2000, 2048, 8192
 #: Neighbours; examples of a block; lengths of word beginnings, in characters; share of a vote that the base rate has.
 NEIGHBOURS, BLOCK, PREFIXES, BASE = 15, 64, range(3, 9), 0.5
 #: Blocks that a search scans before it compares bounds with the k-th best cosine.
@@ -73,11 +74,30 @@ class Index:
         self.ids, self.labels, self.weights = [ids[i] for i in order], labels[order], weights[order]
         self.unit_vectors = [unit[i] for i in order]
         self.blocks = max(1, math.ceil(len(order) / BLOCK))
-        # postings of a term in a block, as the weights of the block's examples
-        self.postings = np.zeros((len(idf), self.blocks, BLOCK), np.float32)
-        for at, (terms, values) in enumerate(self.unit_vectors):
-            self.postings[terms, at // BLOCK, at % BLOCK] = values
-        self.bound = self.postings.max(2)
+        terms = np.concatenate([np.empty(0, int), *(t for t, _ in self.unit_vectors)])
+        by_term = np.argsort(terms, kind="stable")
+        self.starts = np.searchsorted(terms[by_term], np.arange(len(idf) + 1))
+        self.at = np.repeat(np.arange(len(order), dtype=np.int32), [len(t) for t, _ in self.unit_vectors])[by_term]
+        self.values = np.concatenate([np.empty(0), *(v for _, v in self.unit_vectors)])[by_term].astype(np.float32)
+        self._spread()
+
+    def _spread(self) -> None:
+        """Postings of the most frequent terms in a block, as the weights of the block's examples, and their bounds."""
+        often = np.argsort(-np.diff(self.starts), kind="stable")[:DENSE]
+        self.row = np.full(len(self.idf), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.postings = np.zeros((self.blocks, len(often), BLOCK), np.float32)
+        for row, t in enumerate(often):
+            own = slice(self.starts[t], self.starts[t + 1])
+            self.postings[self.at[own] // BLOCK, row, self.at[own] % BLOCK] = self.values[own]
+        self.bound = np.ascontiguousarray(self.postings.max(2).T)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("unit_vectors", "row", "postings", "bound")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._spread()
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         values = (1 + np.log(counts)) * self.idf[terms]
@@ -86,54 +106,80 @@ class Index:
 
     def search(self, terms: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the ``k`` nearest examples with a positive cosine, of equal ones the first; ``but`` is left out."""
-        if not len(terms):
-            return np.empty(0, int), np.empty(0)
-        values = values.astype(np.float32)
-        bounds = values @ self.bound[terms]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        places, cosines = self._scan(terms, values, order[:FIRST_BLOCKS], but)
-        kth = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
-        # bounds fall along the order, so the blocks that may hold a better example come next
-        rest = order[FIRST_BLOCKS:]
-        rest = rest[bounds[rest] >= kth - 1e-5]
-        if len(rest):
-            more, others = self._scan(terms, values, rest, but)
-            places, cosines = np.concatenate([places, more]), np.concatenate([cosines, others])
-        best = np.lexsort((places, -np.round(cosines, 5)))[:k]
-        return places[best], cosines[best].astype(float)
-
-    def _scan(self, terms: np.ndarray, values: np.ndarray, blocks: np.ndarray, but: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of all examples of the blocks with a positive cosine."""
-        scores = np.tensordot(values, self.postings[terms[:, None], blocks], 1)
-        block, at = np.nonzero(scores > 0)
-        places, cosines = blocks[block] * BLOCK + at, scores[block, at]
-        return (places[places != but], cosines[places != but]) if but >= 0 else (places, cosines)
+        return self.search_all([(terms, values)], k, [but])[0]
+
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``search`` for each of the queries (terms, values)."""
+        wanted = np.zeros((len(queries), len(self.bound)), np.float32)
+        scores = np.zeros((len(queries), self.blocks * BLOCK), np.float32)
+        for i, (terms, values) in enumerate(queries):
+            row = self.row[terms]
+            often = row >= 0
+            wanted[i, row[often]] = values[often]
+            starts, n = self.starts[terms[~often]], np.diff(self.starts)[terms[~often]]
+            places = np.repeat(starts - n.cumsum() + n, n) + np.arange(n.sum())
+            scores[i] = np.bincount(self.at[places], self.values[places] * np.repeat(values[~often], n), scores.shape[1])
+        bounds = wanted @ self.bound + scores.reshape(len(queries), self.blocks, BLOCK).max(2)
+        left_out = [(i, b) for i, b in enumerate(but or ()) if b >= 0]
+
+        def kth(scanned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Cosines of scanned blocks, and the k-th best of each query."""
+            known = np.where(np.repeat(scanned, BLOCK, 1), scores, 0)
+            for i, b in left_out:
+                known[i, b] = 0
+            return known, np.partition(known, -min(k, known.shape[1]), 1)[:, -min(k, known.shape[1])]
+
+        first = np.zeros(bounds.shape, bool)
+        np.put_along_axis(first, np.argsort(-bounds, 1, kind="stable")[:, :FIRST_BLOCKS], True, 1)
+        self._scan(wanted, scores, first)
+        # blocks that may hold a better example come next
+        rest = ~first & (bounds > 0) & (bounds >= kth(first)[1][:, None] - 1e-5)
+        self._scan(wanted, scores, rest)
+        out = []
+        for cosines, least in zip(*kth(first | rest)):
+            places = np.flatnonzero((cosines > 0) & (cosines >= least - 2e-5))
+            near = np.round(cosines[places].astype(float), 5)
+            best = np.lexsort((places, -near))[:k]
+            out.append((places[best], near[best]))
+        return out
+
+    def _scan(self, wanted: np.ndarray, scores: np.ndarray, blocks: np.ndarray) -> None:
+        """Adds the frequent terms' share to the scores of each query's ``blocks``."""
+        for b in np.flatnonzero(blocks.any(0)):
+            i = np.flatnonzero(blocks[:, b])
+            scores[i, b * BLOCK : (b + 1) * BLOCK] += wanted[i] @ self.postings[b]
 
 
 class Model:
     """Index, base rates and calibration."""
 
-    def __init__(self, vocabulary: dict[str, int], index: Index):
-        self.vocabulary, self.index = vocabulary, index
+    def __init__(self, index: Index):
+        self.index = index
         y, w = index.labels, index.weights
         bare = np.asarray([not len(t) for t, _ in index.unit_vectors], bool)
         share = lambda m: float((y * w)[m].sum() / w[m].sum()) if w[m].sum() else 0.0
         self.base, self.bare = share(np.ones(len(y), bool)), share(bare) if bare.any() else share(np.ones(len(y), bool))
         own = np.flatnonzero(~bare)
-        votes = np.asarray([self.vote(*index.search(*index.unit_vectors[i], but=int(i))) for i in own])
+        votes = np.asarray(
+            [
+                self.vote(*near)
+                for at in range(0, len(own), 256)
+                for near in index.search_all([index.unit_vectors[i] for i in own[at : at + 256]], but=own[at : at + 256].tolist())
+            ]
+        )
         self.knots, self.values = isotonic(votes, y[own], w[own])
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         near = self.index.weights[places] / (1.05 - cosines)
         return float((near @ self.index.labels[places] + BASE * self.base) / (near.sum() + BASE))
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        places, cosines = self.index.search(*self.index.unit(terms, counts))
-        if not len(places):
-            return self.bare, places, cosines
-        at = max(0, bisect.bisect_right(self.knots, self.vote(places, cosines)) - 1)
-        return self.values[at], places, cosines
+    def score(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, places and cosines of neighbours of each text, given by its terms and their counts."""
+        out = []
+        for places, cosines in self.index.search_all([self.index.unit(*v) for v in vectors]):
+            at = max(0, bisect.bisect_right(self.knots, self.vote(places, cosines)) - 1) if len(places) else None
+            out.append((self.bare if at is None else self.values[at], places, cosines))
+        return out
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[list[float], list[float]]:
@@ -172,8 +218,8 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFra
     return (drawn if drawn is not None else train.limit(0)), sizes
 
 
-def choose_terms(sample: DataFrame, drawn: dict[int, int], terms: int) -> dict[str, int]:
-    """At most ``terms`` terms that the labels of the sample single out, with their numbers."""
+def sample_terms(sample: DataFrame, drawn: dict[int, int]) -> tuple[dict[str, int], np.ndarray]:
+    """All terms of the sample with their numbers, and how far the labels single each out (its phi coefficient, 0 to 1)."""
 
     def term_counts(batches):
         import pyarrow as pa
@@ -192,10 +238,13 @@ def choose_terms(sample: DataFrame, drawn: dict[int, int], terms: int) -> dict[s
     n0, n1 = drawn.get(0, 0), drawn.get(1, 0)
     n = n0 + n1
     stats = sample.select("text", F.col("y").cast("int").alias("y")).mapInArrow(term_counts, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
-    df = F.col("a") + F.col("b")
-    chi = F.lit(float(n)) * F.pow(F.col("b") * n0 - F.col("a") * n1, 2) / (F.lit(float(max(n0, 1) * max(n1, 1))) * df * (n - df))
-    chosen = stats.where(df.between(LEAST_DF, n - 1)).withColumn("chi", chi).where(f"chi >= {max(LEAST_CHI, LEAST_PHI * n)}").orderBy(F.desc("chi"), F.length("term"), "term").limit(terms)
-    return {r["term"]: i for i, r in enumerate(chosen.collect())}
+    found = stats.toArrow()
+    a, b = (found.column(c).to_numpy().astype(float) for c in "ab")
+    names = found.column("term").to_pylist()
+    order = sorted(range(len(names)), key=lambda i: (-a[i] - b[i], names[i]))
+    df = a + b
+    phi = np.abs(b * n0 - a * n1) / np.sqrt(np.maximum(float(n0) * n1 * df * (n - df), 1.0))
+    return {names[i]: k for k, i in enumerate(order)}, phi[order]
 
 
 def term_vectors(docs: DataFrame, vocabulary: dict[str, int], keep: tuple[str, ...] = ()) -> DataFrame:
@@ -223,25 +272,36 @@ def term_vectors(docs: DataFrame, vocabulary: dict[str, int], keep: tuple[str, .
     return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, {kept}terms array<int>, counts array<int>")
 
 
-def document_frequencies(vectors: DataFrame) -> dict[int, int]:
-    """Documents that have each term, and under -1 the number of all; a task sends one row for each term."""
+def document_frequencies(vectors: DataFrame, terms: int) -> tuple[np.ndarray, int]:
+    """Documents that have each of the terms, and the number of all; a task sends one row for each ``CHUNK`` of terms."""
 
     def run(batches):
         import pyarrow as pa
 
-        found, total = Counter(), 0
+        found, total = np.zeros(terms, np.int64), 0
         for batch in batches:
             total += batch.num_rows
-            terms, counts = np.unique(batch.column("terms").flatten().to_numpy(zero_copy_only=False), return_counts=True)
-            found.update(dict(zip(terms.tolist(), counts.tolist())))
-        found[-1] = total
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["t", "n"])
+            found += np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=terms)
+        parts = [found[at : at + CHUNK] for at in range(0, terms, CHUNK)] + [np.asarray([total])]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["part", "n"])
+
+    def added(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n": [np.sum(list(pdf["n"]), axis=0)]})
+
+    rows = vectors.select("terms").mapInArrow(run, "part int, n array<long>").groupBy("part").applyInPandas(added, "part int, n array<long>")
+    counts = np.concatenate([np.empty(0, int), *(r["n"] for r in sorted(rows.collect()))])
+    return (counts[:-1], int(counts[-1])) if len(counts) else (np.zeros(terms, int), 0)
+
 
-    rows = vectors.select("terms").mapInArrow(run, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    return {r["t"]: r["n"] for r in rows.collect()}
+def arrays(column) -> list[np.ndarray]:
+    """A column of lists of integers, each as one array."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.split(flat, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if len(column) else []
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: int = TERMS) -> tuple[Model | None, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Model | None, DataFrame]:
     """A model from labelled rows that aren't held out, and the term vectors of all rows, which are written once.
 
     Document frequencies are counted over all rows.
@@ -249,19 +309,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, terms: i
     sample, sizes = _sample(docs, labels, per_class)
     sample = materialize(sample, "toxicity-sample")
     drawn = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    vocabulary = choose_terms(sample, drawn, terms) if drawn else {}
+    vocabulary, phi = sample_terms(sample, drawn) if drawn else ({}, np.empty(0))
     vectors = materialize(term_vectors(docs, vocabulary), "term-vectors")
     if not drawn:
         return None, vectors
-    seen = document_frequencies(vectors)
-    total = seen.get(-1, 0)
-    idf = np.asarray([1 + math.log((1 + total) / (1 + seen.get(t, 0))) for t in range(len(vocabulary))])
-    examples = term_vectors(sample.withColumn("y", F.col("y").cast("int")), vocabulary, ("y",)).collect()
-    examples.sort(key=lambda r: str(r["doc_id"]))
-    y = np.asarray([r["y"] for r in examples], float)
-    weights = np.asarray([sizes[r["y"]] / drawn[r["y"]] for r in examples])
-    index = Index(idf, [(np.asarray(r["terms"], int), np.asarray(r["counts"], float)) for r in examples], [r["doc_id"] for r in examples], y, weights)
-    return Model(vocabulary, index), vectors
+    seen, total = document_frequencies(vectors, len(vocabulary))
+    idf = 1 + np.log((1 + total) / (1 + seen))
+    examples = term_vectors(sample.withColumn("y", F.col("y").cast("int")), vocabulary, ("y",)).toArrow()
+    ids = examples.column("doc_id").to_pylist()
+    terms, counts = (arrays(examples.column(c).combine_chunks()) for c in ("terms", "counts"))
+    order = sorted(range(len(ids)), key=lambda i: str(ids[i]))
+    y = examples.column("y").to_numpy().astype(float)[order]
+    weights = np.asarray([sizes[int(v)] / drawn[int(v)] for v in y])
+    return Model(Index(idf * phi, [(terms[i], counts[i]) for i in order], [ids[i] for i in order], y, weights)), vectors
 
 
 def score(vectors: DataFrame, model: Model | None, evidence: int = 3) -> DataFrame:
@@ -279,17 +339,15 @@ def score(vectors: DataFrame, model: Model | None, evidence: int = 3) -> DataFra
         known: dict = {}
         for batch in slices(batches):
             ids = batch.column("doc_id")
-            scores, seen = [], []
-            for key in zip(map(tuple, batch.column("terms").to_pylist()), map(tuple, batch.column("counts").to_pylist())):
-                if key not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    s, places, cosines = m.score(np.asarray(key[0], int), np.asarray(key[1], float))
-                    near = zip(places[:evidence].tolist(), cosines.tolist())
-                    known[key] = s, [{"doc_id": m.index.ids[p], "label": int(m.index.labels[p]), "cosine": float(c)} for p, c in near]
-                s, near = known[key]
-                scores.append(s)
-                seen.append(near)
+            texts = list(zip(arrays(batch.column("terms")), arrays(batch.column("counts"))))
+            keys = [t.tobytes() + c.tobytes() for t, c in texts]
+            if len(known) > 5_000:
+                known.clear()
+            new = {k: t for k, t in zip(keys, texts) if k not in known}
+            for key, (s, places, cosines) in zip(new, m.score(list(new.values()))):
+                near = zip(places[:evidence].tolist(), cosines.tolist())
+                known[key] = s, [{"doc_id": m.index.ids[p], "label": int(m.index.labels[p]), "cosine": float(c)} for p, c in near]
+            scores, seen = [known[k][0] for k in keys], [known[k][1] for k in keys]
             row = pa.struct([("doc_id", ids.type), ("label", pa.int32()), ("cosine", pa.float64())])
             yield pa.RecordBatch.from_arrays(
                 [ids, batch.column("held_out"), pa.array(scores, pa.float64()), pa.array(seen, pa.list_(row))],

@@ -145,6 +145,25 @@ def test_toxicity_edges(spark, edge):
     assert toxicity.toxicity(edge.limit(0), labels).count() == 0
 
 
+def test_toxicity_rare_terms(spark):
+    """Insults that stand in few of many toxic examples make a text toxic, on a table of any size."""
+    rng = np.random.default_rng(0)
+    plain = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
+    text = lambda *more: " ".join([*rng.choice(plain, 20), *more])
+    insults = ["".join(rng.choice(list("opqrstuvw"), 6)) for _ in range(200)]
+    docs = [(i, text(), 0) for i in range(1200)] + [(2000 + i, text(*[insults[i % 200]] * 3), 1) for i in range(1200)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    out = toxicity.toxicity(rows.drop("toxic"), rows.drop("text")).join(rows, "doc_id").where("held_out").collect()
+    assert np.mean([r.predicted for r in out if r.toxic == 1]) > 0.9
+    assert np.mean([r.predicted for r in out if r.toxic == 0]) < 0.1
+
+
+def test_frequencies_of_all_terms(spark):
+    docs = spark.createDataFrame([(1, "b a a"), (2, "a"), (3, None)], "doc_id long, text string").repartition(3)
+    seen, total = toxicity.document_frequencies(toxicity.term_vectors(docs, {"a": 0, "b": 1, "c": 2}), 3)
+    assert (seen.tolist(), total) == ([2, 1, 0], 3)
+
+
 def test_isotonic_is_increasing():
     x, y = np.array([0.1, 0.2, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 0.0, 1.0])
     starts, values = toxicity.isotonic(x, y, np.ones(5))
