@@ -301,8 +301,8 @@ def arrays(column) -> list[np.ndarray]:
     return np.split(flat, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if len(column) else []
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Model | None, DataFrame]:
-    """A model from labelled rows that aren't held out, and the term vectors of all rows, which are written once.
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, keep: tuple[str, ...] = ()) -> tuple[Model | None, DataFrame]:
+    """A model from labelled rows that aren't held out, and the term vectors of all rows (with columns of ``keep``), which are written once.
 
     Document frequencies are counted over all rows.
     """
@@ -310,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     sample = materialize(sample, "toxicity-sample")
     drawn = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     vocabulary, phi = sample_terms(sample, drawn) if drawn else ({}, np.empty(0))
-    vectors = materialize(term_vectors(docs, vocabulary), "term-vectors")
+    vectors = materialize(term_vectors(docs, vocabulary, keep), "term-vectors")
     if not drawn:
         return None, vectors
     seen, total = document_frequencies(vectors, len(vocabulary))
@@ -324,12 +324,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     return Model(Index(idf * phi, [(terms[i], counts[i]) for i in order], [ids[i] for i in order], y, weights)), vectors
 
 
-def score(vectors: DataFrame, model: Model | None, evidence: int = 3) -> DataFrame:
+def score(vectors: DataFrame, model: Model | None, evidence: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids, labels and cosines of the nearest examples) for each row of term vectors."""
     id_type = vectors.schema["doc_id"].dataType.simpleString()
     kind = f"array<struct<doc_id: {id_type}, label: int, cosine: double>>"
     if model is None:
-        return vectors.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast(kind).alias("evidence"))
+        return vectors.select("doc_id", "held_out", *keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast(kind).alias("evidence"))
     shared = vectors.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -350,15 +350,16 @@ def score(vectors: DataFrame, model: Model | None, evidence: int = 3) -> DataFra
             scores, seen = [known[k][0] for k in keys], [known[k][1] for k in keys]
             row = pa.struct([("doc_id", ids.type), ("label", pa.int32()), ("cosine", pa.float64())])
             yield pa.RecordBatch.from_arrays(
-                [ids, batch.column("held_out"), pa.array(scores, pa.float64()), pa.array(seen, pa.list_(row))],
-                names=["doc_id", "held_out", "score", "evidence"],
+                [ids, *(batch.column(c) for c in ("held_out", *keep)), pa.array(scores, pa.float64()), pa.array(seen, pa.list_(row))],
+                names=["doc_id", "held_out", *keep, "score", "evidence"],
             )
 
-    out = vectors.mapInArrow(run, f"doc_id {id_type}, held_out boolean, score double, evidence {kind}")
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    kept = "".join(f"{c} {vectors.schema[c].dataType.simpleString()}, " for c in keep)
+    out = vectors.mapInArrow(run, f"doc_id {id_type}, held_out boolean, {kept}score double, evidence {kind}")
+    return out.select("doc_id", "held_out", *keep, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Fit on the labelled rows and score every row."""
-    model, vectors = fit(docs, labels, **options)
-    return score(vectors, model)
+def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """Fit on the labelled rows and score every row; columns of ``keep`` are kept."""
+    model, vectors = fit(docs, labels, keep=keep, **options)
+    return score(vectors, model, keep=keep)

@@ -13,15 +13,21 @@ from brinelake.llm import bpe, decontaminate, linededup, simhash, toxicity
 from brinelake.llm.common import materialize, table
 
 
+def _key():
+    """What tells rows apart: a hash of the id and the text, as only rows that repeat both whole share all decisions."""
+    own = F.coalesce(F.sha2(F.col("doc_id").cast("string").cast("binary"), 256), F.lit("-" * 64))
+    return F.sha2(F.concat(own, F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"), 256)
+
+
 def _drop(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``rejected``; a null id is like any other."""
-    rejected = rejected.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["__id"]), "left_anti")
+    """``docs`` without the rows whose key is in the column row_key of ``rejected``."""
+    rejected = rejected.select(F.col("row_key").alias("__key")).distinct()
+    return docs.join(rejected, _key() == F.col("__key"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator rejects go (of rows that repeat an id, all if one is rejected)."""
-    scored = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    """Documents that the toxicity operator rejects go, each row by its own text."""
+    scored = toxicity.toxicity(docs.withColumn("row_key", _key()), table(spark, sf_dir, "labels"), keep=("row_key",))
     return _drop(docs, scored.where("predicted = 1"))
 
 
@@ -33,14 +39,18 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays; rows that repeat it whole stay with it."""
-    groups = simhash.near_duplicates(docs)
-    return _drop(docs, groups.where("doc_id is distinct from component_id"))
+    """Of each group of near copies the row with the least id stays, null being the last and the key deciding between equal ids.
+
+    Rows that repeat it whole stay with it.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("is_null"), F.col("doc_id").alias("id"), _key().alias("row_key"))
+    groups = simhash.near_duplicates(docs.select(row.alias("row"), "text"), "row")
+    return _drop(docs, groups.where("row.row_key <> component_id.row_key").select("row.row_key"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go of whose words a twentieth or more stands in windows of benchmark items."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(docs.withColumn("row_key", _key()), table(spark, sf_dir, "benchmark"), id_col="row_key")
     return _drop(docs, found.where("contaminated"))
 
 

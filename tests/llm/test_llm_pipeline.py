@@ -87,5 +87,25 @@ def test_bpe_stage(stages):
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
 
 
+def test_rows_that_share_an_id_are_decided_apart(spark, tmp_path):
+    """Null and repeated ids: a rejected row takes no other text of its id with it."""
+    item = " ".join(f"question{chr(97 + i)}" for i in range(20))
+    spark.createDataFrame([("b1", item)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = lambda seed: " ".join(map(str, np.random.default_rng(seed).integers(10**6, 10**7, 60)))
+    clean = [(None, words(1)), (None, words(2)), (7, words(3))]
+    docs = spark.createDataFrame([*clean, (None, item), (7, item + " more")], "doc_id long, text string")
+    assert rows(corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))) == sorted(clean, key=repr)
+
+    copies = spark.createDataFrame([(1, words(4)), (9, words(4)), (9, words(5)), (None, words(4)), (None, words(6))], "doc_id long, text string")
+    assert rows(corpus_pipeline.drop_near_copies(spark, copies, "")) == sorted([(1, words(4)), (9, words(5)), (None, words(6))], key=repr)
+
+    toxic = [(100 + i, f"vile {words(100 + i)}", 1) for i in range(40)] + [(200 + i, f"kind {words(200 + i)}", 0) for i in range(40)]
+    labelled = spark.createDataFrame(toxic, "doc_id long, text string, toxic int")
+    labelled.select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    mixed = spark.createDataFrame([(None, "vile vile"), (None, "kind one"), (5, "vile"), (5, "kind")], "doc_id long, text string")
+    left = corpus_pipeline.drop_toxic(spark, labelled.drop("toxic").unionByName(mixed), str(tmp_path))
+    assert rows(left.where("doc_id is null or doc_id = 5")) == sorted([(None, "kind one"), (5, "kind")], key=repr)
+
+
 def test_vocabulary_file_is_read_from_its_package():
     assert len(bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))) == 50256
