@@ -69,12 +69,12 @@ def f13(spark, d):
 
 @query("w07_newest_periods", f"{SITES} SELECT * FROM newest")
 def w07(spark, d):
-    return R.newest_periods(R.incomplete(compared(spark, d)), 20)
+    return R.newest_periods(R.incomplete(compared(spark, d)))
 
 
 @query("a10_missing_stats", f"{SITES} SELECT origin, count(*) AS periods, max(start) AS newest, min(start) AS oldest FROM newest GROUP BY origin")
 def a10(spark, d):
-    return R.missing_stats(R.newest_periods(R.incomplete(compared(spark, d)), 20))
+    return R.missing_stats(R.newest_periods(R.incomplete(compared(spark, d))))
 
 
 @query("a11_completeness", f"{SITES} SELECT *, local_count / remote_count AS ratio FROM both_sites")
@@ -84,7 +84,7 @@ def a11(spark, d):
 
 def resend(spark, d):
     local, remote = sites(spark, d)
-    periods = R.newest_periods(R.incomplete(compared(spark, d)), 20)
+    periods = R.newest_periods(R.incomplete(compared(spark, d)))
     return R.resend_uuids(rollup.rows_per_uuid(remote, periods), rollup.rows_per_uuid(local, periods)), remote
 
 
