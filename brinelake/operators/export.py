@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.registry import checksum
+from ..sources.staging import stored
 
 MAGIC = "UdPbC\0"
 #: Groups of talker identifiers (fixed values of the transport standard); a group's address and port are settings.
@@ -24,10 +25,12 @@ def numbered(rows: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     """Adds the place of each row, from 0, in the order of ``order``, without one task for all rows.
 
     Rows are range-partitioned and sorted; a row's place is its place in the partition and the sizes of the
-    partitions before it, of which there is one number each.
+    partitions before it, of which there is one number each.  The placed rows are written once and both read from there:
+    two plans over the same exchange may draw different range bounds, and then sizes and places don't fit.
     """
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
     placed = sorted_rows.withColumn("__part", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id")
+    placed = stored(placed, "numbered")
     sizes = placed.groupBy("__part").agg(F.count("*").alias("__size"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_path
 from ..streaming import jobs as J
 from .feeds import MAPPED, table
 from .registry import query
@@ -33,8 +32,7 @@ def mapped_stream(spark, d):
 def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream over all that is there; the result is a table of files in the shared folder."""
     spark = stream.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/brinelake-shared"
-    at = f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    at = shared_path(spark, "stream")
     before = {k: spark.conf.get(k, None) for k in J.ROCKSDB}
     for k, v in J.ROCKSDB.items():
         spark.conf.set(k, v)
@@ -138,11 +136,6 @@ def s04(spark, d):
     return out.groupBy("context", "origin").agg(F.sum("n_updates").alias("n_updates"), F.sum("n_transferred").alias("n_transferred"))
 
 
-def shared(spark, name: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/brinelake-shared"
-    return f"{base.rstrip('/')}/{name}/{uuid.uuid4().hex}"
-
-
 @query("t05_streaming_latest", f"WITH {MAPPED} SELECT DISTINCT ON (context, path) context, path, seq, value FROM mapped ORDER BY context, path, time DESC, seq DESC")
 def t05(spark, d):
     return finished(J.latest(mapped_stream(spark, d)), "complete").select("context", "path", "seq", "value")
@@ -169,10 +162,10 @@ def u04_changes(spark, d):
     SELECT time, origin, context, connector, path, arg_max(value, seq) AS value, min(seq) AS seq FROM m GROUP BY ALL""",
 )
 def k02_stream(spark, d):
-    path = shared(spark, "upserts")
+    path = shared_path(spark, "upserts")
     stream = mapped_stream(spark, d).withColumn("time", F.date_trunc("day", "time"))
     for delivery in (1, 2):  # the second changes nothing
-        q = stream.writeStream.option("checkpointLocation", shared(spark, f"state{delivery}")).foreachBatch(J.upsert_batches(path)).trigger(availableNow=True).start()
+        q = stream.writeStream.option("checkpointLocation", shared_path(spark, f"state{delivery}")).foreachBatch(J.upsert_batches(path)).trigger(availableNow=True).start()
         q.awaitTermination()
     rows = spark.read.parquet(path)
     return rows.select(F.col("time").cast("timestamp_ntz").alias("time"), "origin", "context", "connector", "path", "value", "seq")
@@ -182,7 +175,7 @@ def k02_stream(spark, d):
 def k01(spark, d):
     from ..operators.upsert import append
 
-    path = shared(spark, "raw")
+    path = shared_path(spark, "raw")
     e = table(spark, d, "events").select(F.col("ts").alias("time"), F.col("event_id").alias("seq"), F.col("event_type").cast("binary").alias("value"))
     for part in (0, 1):
         append(e.where(F.col("seq") % 2 == part), path)
@@ -193,6 +186,6 @@ def k01(spark, d):
 def s05(spark, d):
     from ..sources.envelopes import lines
 
-    path = shared(spark, "lines")
+    path = shared_path(spark, "lines")
     table(spark, d, "events").select(F.concat(F.lit("line "), "event_id")).write.text(path)
     return lines(spark, path, "c0", "text").select(F.col("value").cast("string").alias("value"), "connector", "type")
