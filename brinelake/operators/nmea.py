@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,11 +95,18 @@ def ais_positions(rows: DataFrame, *keep: str) -> DataFrame:
     The payload's characters hold six bits each.  Values that mean "not available" are null.
     """
     some = whole_messages(rows.where(F.col("valid") & F.col("kind").isin("VDM", "VDO") & (_field(0) == "1")))
-    code = lambda c: F.ascii(c) - 48 - F.when(F.ascii(c) - 48 > 40, 8).otherwise(0)
-    letters = F.filter(F.split(_field(4), ""), lambda c: c != "")
-    binary = F.array_join(F.transform(letters, lambda c: F.lpad(F.bin(code(c).cast("long")), 6, "0")), "")
-    out = some.withColumn("__b", binary).where(F.length("__b") >= 137)
-    unsigned = lambda at, n: F.conv(F.substring("__b", at + 1, n), 2, 10).cast("long")
+    out = some.withColumn("__payload", _field(4)).where(F.length("__payload") * 6 >= 137)
+
+    def six(i: int) -> Column:
+        code = F.ascii(F.substring("__payload", i + 1, 1)) - 48
+        return (code - F.when(code > 40, 8).otherwise(0)).bitwiseAND(63).cast("long")
+
+    def unsigned(at: int, n: int) -> Column:
+        """The ``n`` bits from ``at``, by shifts of the characters that hold them: no text of bits is ever made."""
+        first, last = at // 6, (at + n - 1) // 6
+        whole = functools.reduce(lambda x, i: F.shiftleft(x, 6).bitwiseOR(six(i)), range(first + 1, last + 1), six(first))
+        return F.shiftright(whole, 6 * (last + 1) - at - n).bitwiseAND((1 << n) - 1)
+
     signed = lambda at, n: unsigned(at, n) - F.when(unsigned(at, 1) == 1, 1 << n).otherwise(0)
     kind, mmsi = unsigned(0, 6), unsigned(8, 30)
     turn, sog, lon, lat, cog, head = signed(42, 8), unsigned(50, 10), signed(61, 28), signed(89, 27), unsigned(116, 12), unsigned(128, 9)
