@@ -86,6 +86,9 @@ def volumes(readings: DataFrame, table: DataFrame) -> DataFrame:
     """
     steps = calibration_intervals(table).groupBy("tank").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "v0", "v1"))).alias("steps"))
     height = F.col("height") + F.coalesce(F.col("sensor_offset"), F.lit(0.0))
-    hit = F.try_element_at(F.filter("steps", lambda s: (height >= s["lo"]) & (s["hi"].isNull() | (height < s["hi"]))), F.lit(1))
-    volume = F.when(hit.isNull(), 0.0).when(hit["hi"].isNull(), hit["v0"]).otherwise(hit["v0"] + (height - hit["lo"]) * (hit["v1"] - hit["v0"]) / (hit["hi"] - hit["lo"]))
+    inside = lambda h: lambda s: (h >= s["lo"]) & (s["hi"].isNull() | (h < s["hi"]))
+    between = lambda h: lambda s: F.when(s["hi"].isNull(), s["v0"]).otherwise(s["v0"] + (h - s["lo"]) * (s["v1"] - s["v0"]) / (s["hi"] - s["lo"]))
+    # at most one interval holds the height, which is computed once
+    found = F.flatten(F.transform(F.array(height), lambda h: F.transform(F.filter("steps", inside(h)), between(h))))
+    volume = F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(0.0))
     return readings.join(steps, "tank").withColumn("volume", F.when(F.col("height").isNotNull(), volume)).drop("steps")

@@ -11,27 +11,26 @@ from ..operators import voyages as Y
 from .feeds import MAPPED, mapped, table
 from .registry import query
 
-#: Calibration of the sample tank: heights and volumes (fixed values of the sample).
-HEIGHTS = [1.23 + 0.0715 * i for i in range(21)]
-VOLUMES = [4.0 + 2.0 * i for i in range(21)]
+#: Calibration of two tanks, made up here by a rule: heights and volumes of 21 steps, the second tank having twice the volume.
+TANKS = [("t1" if k else "t", i, 1.23 + 0.0715 * i, (k + 1) * (4.0 + 2.0 * i)) for k in range(2) for i in range(21)]
 
 
 def tank(spark):
-    return spark.createDataFrame([("t", i, h, v) for i, (h, v) in enumerate(zip(HEIGHTS, VOLUMES))], "tank string, n int, height double, volume double")
+    return spark.createDataFrame(TANKS, "tank string, n int, height double, volume double")
 
 
-TANK_SQL = "tank(n, height, volume) AS (VALUES " + ", ".join(f"({i}, {h!r}::DOUBLE, {v!r}::DOUBLE)" for i, (h, v) in enumerate(zip(HEIGHTS, VOLUMES))) + ")"
+TANK_SQL = "tank(tank, n, height, volume) AS (VALUES " + ", ".join(f"('{t}', {i}, {h!r}::DOUBLE, {v!r}::DOUBLE)" for t, i, h, v in TANKS) + ")"
 
 
 @query(
     "j13_calibration",
-    f"""WITH {TANK_SQL}, steps AS (SELECT height AS lo, lead(height) OVER (ORDER BY height) AS hi, volume AS v0, lead(volume) OVER (ORDER BY height) AS v1 FROM tank),
-    r AS (SELECT l_orderkey, l_linenumber, l_quantity / 50 * 1.5 + 1.2 AS h FROM lineitem)
+    f"""WITH {TANK_SQL}, steps AS (SELECT tank, height AS lo, lead(height) OVER w AS hi, volume AS v0, lead(volume) OVER w AS v1 FROM tank WINDOW w AS (PARTITION BY tank ORDER BY height)),
+    r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 1 THEN 't1' ELSE 't' END AS tank, l_quantity / 50 * 1.5 + 1.2 AS h FROM lineitem)
     SELECT l_orderkey, l_linenumber, round(CASE WHEN lo IS NULL THEN 0 WHEN hi IS NULL THEN v0 ELSE v0 + (h - lo) * (v1 - v0) / (hi - lo) END, 9) AS volume
-    FROM r LEFT JOIN steps ON h >= lo AND (hi IS NULL OR h < hi)""",
+    FROM r LEFT JOIN steps ON r.tank = steps.tank AND h >= lo AND (hi IS NULL OR h < hi)""",
 )
 def j13(spark, d):
-    readings = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.lit("t").alias("tank"), (F.col("l_quantity") / 50 * 1.5).alias("height"), F.lit(1.2).alias("sensor_offset"))
+    readings = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 2 == 1, "t1").otherwise("t").alias("tank"), (F.col("l_quantity") / 50 * 1.5).alias("height"), F.lit(1.2).alias("sensor_offset"))
     return G.volumes(readings, tank(spark)).select("l_orderkey", "l_linenumber", F.round("volume", 9).alias("volume"))
 
 
@@ -105,8 +104,10 @@ def p10(spark, d):
         wide(F.lit(1), 6), wide(F.lit(0), 2), wide(200000000 + F.col("user_id"), 30), wide(F.lit(0), 4), wide(F.lit(0), 8), wide(k % 1000, 10), wide(F.lit(0), 1),
         wide(k * 77 % 1000000 - 500000, 28), wide(k * 31 % 1000000 - 500000, 27), wide(k % 3600, 12), wide(k % 360, 9), wide(F.lit(0), 31),
     )
-    letter = lambda v: F.char(v + F.when(v < 40, 48).otherwise(56))
-    payload = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(27)), lambda i: letter(F.conv(F.substring(bits, i * 6 + 1, F.lit(6)), 2, 10).cast("int"))), "")
+    letters = F.lit("".join(chr(v + (48 if v < 40 else 56)) for v in range(64)))
+    letter = lambda b, i: F.substring(letters, F.conv(F.substring(b, i * 6 + 1, F.lit(6)), 2, 10).cast("int") + 1, F.lit(1))
+    bound = F.transform(F.array(bits), lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(27)), lambda i: letter(b, i)), ""))
+    payload = F.element_at(bound, 1)
     rows = table(spark, d, "events").select("event_id", F.concat(F.lit("!AIVDM,1,1,,A,"), payload, F.lit(",0")).alias("value"))
     out = N.ais_positions(N.sentences(rows, allow_empty=True), "event_id")
     return out.select("event_id", "mmsi", "speed", "course", "heading", "latitude", "longitude")
