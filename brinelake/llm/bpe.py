@@ -1,39 +1,42 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
-Text is cut by the tokenizer's pattern into words.  A word is an array of byte pieces (as hex digits);
-a fold merges the adjacent pair of least rank, leftmost first, until no pair has a rank.  Ranks come
-from a literal map: an array of small maps, one for each value of crc32 mod ``BUCKETS``, because Spark
-looks a key up in a map by scanning it.
+Text is cut by the tokenizer's pattern into words.  A word is an array of byte pieces (binary); a fold merges the
+adjacent pair of least rank, leftmost first, until no pair has a rank.  Ranks come from a map that scalar
+subqueries put into the plan as a literal value, so that no plan text holds it: an array of small maps, one for each value
+of crc32 mod ``BUCKETS``, because Spark looks a key up in a map by scanning it.
 
-The distinct words of the corpus are counted, and those that are most frequent (at most
-``DICTIONARY_WORDS``, whatever the size of the corpus) are folded once and become a second literal map,
-which holds the bytes of a word's ids and the text that they decode to.  All other words are folded and
-decoded where they stand, so nothing but the word counts is shuffled, and the map only saves work: the
-result is the same without it.
+The distinct words of the corpus are counted, and those that are most frequent (at most ``DICTIONARY_WORDS``,
+whatever the size of the corpus) are folded once and become a second such map, which holds the bytes of a word's
+ids and the bytes that they decode to.  Words outside it, most of them words that occur once or twice, are folded
+and decoded where they stand, so nothing but the word counts is shuffled, and the map only saves work: the result is the
+same without it.
+
+Bytes are joined as strings of the characters U+0000 to U+00FF, one for each byte, since array_join takes
+a time in proportion to what it joins and a fold of concat doesn't.
 
 Cases: a null text counts as empty and has no ids; null ids of documents are kept; repeated rows each
 give a row.  Words of over ``LONG_WORD`` bytes are folded as text, all places of the least pair in one
-round, which takes a time in proportion to their length for each different pair.
+round, which takes a time in proportion to their length for each different pair.  That gives the same ids: when a pair
+(a, b) has the least rank, no pair that a merge of it makes ranks lower, because ranks are the order in which merges
+were learned, so what it makes was learned after it; and of places that overlap, both take the leftmost.
 """
 
 from __future__ import annotations
 
 import base64
-import json
-import zlib
-from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 BUCKETS = 1 << 16
-#: Most words of the literal dictionary: the only result that the driver gathers.
-DICTIONARY_WORDS = 1 << 15
+#: Most words of the dictionary, the only result that the driver gathers (about 100 bytes each).
+DICTIONARY_WORDS = 1 << 18
 LONG_WORD = 2048
-NONE = 2147483647
-END = "~"  # stands before the first and after the last piece; no key has it
+#: The rank of what has none; more than the places of a word that is folded as an array.
+NONE, PLACES = 2147483647, 1 << 12
+BYTES = "ISO-8859-1"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -42,18 +45,21 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _literal(entries: Iterable[tuple[str, object]], kind: str) -> Column:
-    buckets: list[str] = [""] * BUCKETS
-    for key, value in entries:
-        at = zlib.crc32(key.encode()) % BUCKETS
-        pair = f"{json.dumps(key, ensure_ascii=False)}:{json.dumps(value, ensure_ascii=False, separators=(',', ':'))}"
-        buckets[at] = f"{buckets[at]},{pair}" if buckets[at] else pair
-    return F.from_json(F.lit("[{" + "},{".join(buckets) + "}]"), f"array<map<string,{kind}>>")
+def _bucket(key: Column) -> Column:
+    return F.crc32(key.cast("binary")).bitwiseAND(BUCKETS - 1).cast("int")
+
+
+def literal_map(entries: DataFrame, key: str, value: str) -> Column:
+    """The rows (key, value) of a small table as one value: an array of maps by bucket of the key."""
+    held = entries.select(_bucket(F.col(key)).alias("bucket"), F.struct(F.col(key).alias("key"), F.col(value).alias("value")).alias("e"))
+    empty = entries.sparkSession.range(0, BUCKETS, 1, 1).select(F.col("id").cast("int").alias("bucket"), F.lit(None).cast(held.schema["e"].dataType).alias("e"))
+    buckets = held.unionByName(empty).groupBy("bucket").agg(F.collect_list("e").alias("es"))
+    return buckets.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "es"))), lambda b: F.map_from_entries(b["es"]))).scalar()
 
 
 def _look_up(literal: Column, key: Column) -> Column:
     """The value of ``key``, null if there is none."""
-    return F.try_element_at(F.get(literal, F.crc32(key.cast("binary")).bitwiseAND(BUCKETS - 1).cast("int")), key)
+    return F.try_element_at(F.get(literal, _bucket(key)), key)
 
 
 def _bind(value: Column, body) -> Column:
@@ -61,75 +67,84 @@ def _bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _chars(binary: Column) -> Column:
+    """One character for each byte."""
+    return F.decode(binary, BYTES)
+
+
 class Vocabulary:
-    """Literals for a rank file, and the column expressions made with them.
+    """Maps for a rank file, and the column expressions made with them.
 
-    Every literal stands once in an expression, bound to a lambda variable: plans are copied, printed and sent
-    to executors, and so are all literals in them.
+    Higher-order functions take no subqueries, so ``given`` adds the maps as columns first, and each of them stands once in an
+    expression, bound to a lambda variable: so the optimizer puts the subqueries back in their place, and no row carries them.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, spark: SparkSession, path: str, pattern: str, long_word: int = LONG_WORD):
+        import pyarrow as pa
+
         ranks = load_ranks(path)
-        self.pattern = "(?U)" + pattern  # \s is Unicode's white space
-        self.rank_map = _literal(((k.hex(), v) for k, v in ranks.items()), "int")
-        by_id = [b""] * (max(ranks.values()) + 1)
-        for k, v in ranks.items():
-            by_id[v] = k
-        self.pieces = F.split(F.lit(",".join(x.hex() for x in by_id)), ",")
-        self.id_bytes = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(len(by_id)))), ",")
+        self.pattern, self.long_word = "(?U)" + pattern, long_word  # \s is Unicode's white space
+        keys = pa.array(list(ranks), pa.binary())
+        table = spark.createDataFrame(pa.table({"piece": keys, "rank": pa.array(list(ranks.values()), pa.int32())}))
+        self.rank_map = literal_map(table, "piece", "rank")
+        # by id: the piece and the id's own four bytes
+        by_id = table.unionByName(spark.range(0, max(ranks.values()) + 1, 1, 1).select(F.lit(None).cast("binary").alias("piece"), F.col("id").cast("int").alias("rank")))
+        by_id = by_id.groupBy("rank").agg(F.coalesce(F.max("piece"), F.lit(b"")).alias("piece"))
+        four = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright("rank", 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)]))
+        by_id = by_id.agg(F.array_sort(F.collect_list(F.struct("rank", _chars(F.col("piece")).alias("piece"), _chars(four).alias("four")))).alias("all"))
+        self.pieces = by_id.select(F.transform("all", lambda x: x["piece"])).scalar()
+        self.id_bytes = by_id.select(F.transform("all", lambda x: x["four"])).scalar()
+        end = b"\xff\xff"  # no key has it
+        while any(end in key for key in ranks):
+            end += b"\xff"
+        self.end = F.lit(end)
+
+    def given(self, rows: DataFrame, *columns, **more: Column) -> DataFrame:
+        """The columns of ``rows``, the maps and ``more`` values of subqueries."""
+        maps = {"__ranks": self.rank_map, "__pieces": self.pieces, "__four": self.id_bytes, **more}
+        return rows.select(*columns, *[c.alias(name) for name, c in maps.items()])
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
     def fold(self, word: Column) -> Column:
-        """Ids of one word."""
-        return _bind(self.rank_map, lambda ranks: self._fold(ranks, word))
+        """Ids of one word, in rows that ``given`` made."""
+        return _bind(F.col("__ranks"), lambda ranks: self._fold(ranks, word))
 
     def _fold(self, ranks: Column, word: Column) -> Column:
         def rank(piece: Column) -> Column:
             return F.coalesce(_look_up(ranks, piece), F.lit(NONE))
 
-        digits = F.lower(F.hex(word.cast("binary")))
-        return F.when(F.octet_length(word) > LONG_WORD, self._fold_long(rank, digits)).otherwise(self._fold_short(rank, digits))
+        short = self._fold_short(rank, word.cast("binary"))
+        return F.when(F.octet_length(word) > self.long_word, self._fold_long(rank, F.hex(word.cast("binary")))).otherwise(short)
 
-    def _fold_short(self, rank, digits: Column) -> Column:
-        pieces = F.concat(
-            F.array(F.lit(END)),
-            F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda i: F.substring(digits, i, F.lit(2))),
-            F.array(F.lit(END)),
-        )
+    def _fold_short(self, rank, word: Column) -> Column:
+        def node(piece, pair):  # a piece, and the rank of its pair with the next one in steps of PLACES
+            return F.struct(piece.alias("p"), (rank(pair).cast("long") * PLACES).alias("r"))
 
-        def start(p):
-            ranks = F.transform(
-                F.sequence(F.lit(1), F.size(p) - 1), lambda i: rank(F.concat(F.element_at(p, i), F.element_at(p, i + 1)))
-            )
-            return F.struct(p.alias("p"), ranks.alias("r"))
+        def nodes(pieces):
+            return F.transform(pieces, lambda x, i: node(x, F.concat(x, F.coalesce(F.get(pieces, i + 1), self.end))))
 
-        def merge(s):
-            p, r = s["p"], s["r"]
-
-            def at(i):
-                def joined(m):
-                    rest = F.size(p)
-                    return F.struct(
-                        F.concat(F.slice(p, F.lit(1), i - 1), F.array(m), F.slice(p, i + 2, rest)).alias("p"),
-                        F.concat(
-                            F.slice(r, F.lit(1), i - 2),
-                            F.array(rank(F.concat(F.element_at(p, i - 1), m)), rank(F.concat(m, F.element_at(p, i + 2)))),
-                            F.slice(r, i + 2, rest),
-                        ).alias("r"),
-                    )
-
-                return _bind(F.concat(F.element_at(p, i), F.element_at(p, i + 1)), joined)
-
-            return _bind(F.array_position(r, F.array_min(r)).cast("int"), at)
+        def merge(s, k):
+            """The pair at k and k + 1 becomes one piece, which has other pairs on both sides."""
+            piece = lambda i: F.get(s, i)["p"]
+            return F.transform(
+                F.filter(s, lambda _, i: i != k + 1),
+                lambda x, i: F.when(i == k, node(F.concat(piece(k), piece(k + 1)), F.concat(piece(k), piece(k + 1), piece(k + 2))))
+                .when(i == k - 1, node(x["p"], F.concat(x["p"], piece(k), piece(k + 1))))
+                .otherwise(x),
+            )
 
         def step(s, _):
-            return F.when(F.array_min(s["r"]) == NONE, s).otherwise(merge(s))
+            # the least rank and, of equal ones, the first place, in one number (array_position would cost more than all the rest)
+            least = F.array_min(F.transform(s, lambda x, i: x["r"] + i))
+            return _bind(least, lambda n: F.when(n >= NONE * PLACES, s).otherwise(_bind((n % PLACES).cast("int"), lambda k: merge(s, k))))
 
-        rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(digits) / 2 - 1).cast("int"))
-        merged = F.aggregate(rounds, _bind(pieces, start), step, lambda s: s["p"])
-        return F.transform(F.filter(merged, lambda x: x != END), lambda x: rank(x))
+        # the end stands after the last piece
+        pieces = F.concat(F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1))), F.array(self.end))
+        rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word) - 1).cast("int"))
+        merged = F.aggregate(rounds, _bind(pieces, nodes), step)
+        return F.transform(F.slice(merged, F.lit(1), F.size(merged) - 1), lambda x: rank(x["p"]))
 
     def _fold_long(self, rank, digits: Column) -> Column:
         def pieces(s):
@@ -140,7 +155,7 @@ class Vocabulary:
                 pairs = F.transform(
                     F.sequence(F.lit(1), F.size(p) - 1),
                     lambda i: F.struct(
-                        rank(F.concat(F.element_at(p, i), F.element_at(p, i + 1))).alias("k"),
+                        rank(F.unhex(F.concat(F.element_at(p, i), F.element_at(p, i + 1)))).alias("k"),
                         F.element_at(p, i).alias("a"),
                         F.element_at(p, i + 1).alias("b"),
                     ),
@@ -155,26 +170,22 @@ class Vocabulary:
 
             return F.when(s["over"], s).otherwise(_bind(_bind(pieces(s["text"]), best), joined))
 
-        first = F.struct(F.regexp_replace(digits, "(..)", "<$1>").alias("text"), F.lit(False).alias("over"))
+        first = F.struct(F.regexp_replace(digits, "(..)", "<$1>").alias("text"), (F.length(digits) <= 2).alias("over"))
         text = F.aggregate(F.sequence(F.lit(1), F.length(digits)), first, step, lambda s: s["text"])
-        return F.transform(pieces(text), lambda x: rank(x))
+        return F.transform(pieces(text), lambda x: rank(F.unhex(x)))
 
     def code(self, word: Column) -> Column:
-        """ids (hex digits of the bytes) and text of one word."""
+        """ids and text of one word, a character for each byte, in rows that ``given`` made."""
         return self._bound(lambda tables: self._code(tables, word))
 
     def _bound(self, body) -> Column:
-        return _bind(self.rank_map, lambda ranks: _bind(self.pieces, lambda pieces: _bind(self.id_bytes, lambda id_bytes: body((ranks, pieces, id_bytes)))))
+        return _bind(F.col("__ranks"), lambda ranks: _bind(F.col("__pieces"), lambda pieces: _bind(F.col("__four"), lambda four: body((ranks, pieces, four)))))
 
     def _code(self, tables, word: Column) -> Column:
         ranks, pieces, id_bytes = tables
-
-        def both(ids):
-            # decoding concatenates the binary pieces of the ids
-            text = F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")).cast("string")
-            return F.struct(F.array_join(F.transform(ids, lambda i: F.get(id_bytes, i)), "").alias("ids"), text.alias("text"))
-
-        return _bind(self._fold(ranks, word), both)
+        join = lambda ids, of: F.array_join(F.transform(ids, lambda i: F.get(of, i)), "")
+        # decoding concatenates the binary pieces of the ids
+        return _bind(self._fold(ranks, word), lambda ids: F.struct(join(ids, id_bytes).alias("ids"), join(ids, pieces).alias("text")))
 
     def codes(self, text: Column, dictionary: Column) -> Column:
         """The codes of a text's words, in order."""
@@ -185,12 +196,12 @@ class Vocabulary:
         return self._bound(with_tables)
 
     def decode(self, ids: Column) -> Column:
-        """The bytes of an array of ids: their pieces, concatenated."""
-        return _bind(self.pieces, lambda pieces: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")))
+        """The bytes of an array of ids: their pieces, concatenated; in rows that ``given`` made."""
+        return _bind(F.col("__pieces"), lambda pieces: F.encode(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""), BYTES))
 
 
 def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str, limit: int) -> DataFrame:
-    """At most ``limit`` distinct words with their ids: all that occur at least as often as a threshold says.
+    """At most ``limit`` distinct words with their codes: all that occur at least as often as a threshold says.
 
     The threshold comes from a histogram of the logarithms of all counts, which has a few hundred rows.
     """
@@ -203,7 +214,8 @@ def frequent_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str, limit
         if kept > limit:
             break
         least = row["level"]
-    return counts.where(F.lit(False) if least is None else F.col("level") >= least).select("word", vocabulary.code(F.col("word")).alias("code"))
+    often = counts.where(F.lit(False) if least is None else F.col("level") >= least)
+    return materialize(vocabulary.given(often, "word").select("word", vocabulary.code(F.col("word")).alias("code")), "frequent-words")
 
 
 def encode_documents(
@@ -213,16 +225,16 @@ def encode_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     dictionary_words: int = DICTIONARY_WORDS,
+    long_word: int = LONG_WORD,
 ) -> DataFrame:
     """id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (the bytes that the ids stand for) for each row."""
-    vocabulary = Vocabulary(path, pattern)
+    vocabulary = Vocabulary(docs.sparkSession, path, pattern, long_word)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    known = frequent_words(texts, vocabulary, "__text", dictionary_words)
-    rows = ((r["word"], {"ids": r["ids"], "text": r["text"]}) for r in known.select("word", "code.*").toLocalIterator())
-    dictionary = _literal(rows, "struct<ids: string, text: string>")
-    codes = texts.select("__id", vocabulary.codes(F.col("__text"), dictionary).alias("c"))
-    ids = F.unhex(F.array_join("c.ids", ""))
-    out = codes.select(F.col("__id").alias(id_col), ids.alias("ids"), F.array_join("c.text", "").cast("binary").alias("decoded"))
+    dictionary = literal_map(frequent_words(texts, vocabulary, "__text", dictionary_words), "word", "code")
+    texts = vocabulary.given(texts, "__id", "__text", __known=dictionary)
+    codes = texts.select("__id", vocabulary.codes(F.col("__text"), F.col("__known")).alias("c"))
+    joined = lambda c: F.encode(F.array_join(c, ""), BYTES)
+    out = codes.select(F.col("__id").alias(id_col), joined("c.ids").alias("ids"), joined("c.text").alias("decoded"))
     return out.select(id_col, (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 
