@@ -19,6 +19,8 @@ rows that repeat a doc_id are ordered by a hash of their texts and each has its
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 
 import numpy as np
@@ -32,7 +34,8 @@ BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 #: Ids at which a block is closed after the current document; words between two anchors.
 BLOCK_IDS, ANCHOR = 1 << 16, 512
 END_ID = 0
-REMEMBER, REMEMBER_CHARS = 600_000, 48
+#: Pieces that a worker remembers, the longest of them, and the characters of new pieces that go to the library as one text.
+REMEMBER, REMEMBER_CHARS, CALL_CHARS = 1_000_000, 48, 4096
 _U = np.uint64
 
 
@@ -132,13 +135,14 @@ def unpack_range(words: np.ndarray, marks: np.ndarray, start: int, end: int) ->
 class ByteLevelEncoder:
     """Ids of a byte-level .json tokenizer, with whole texts cut at safe boundaries.
 
-    A space that follows no white space and precedes none starts a new piece of the pre-tokenizer,
-    so the text can be cut before it.  Pieces that were met before aren't encoded again.
+    A space that no white space follows starts a new piece of the pre-tokenizer, so the text can be cut before it.  Pieces
+    that were met before aren't encoded again.  New ones of Latin letters and ASCII punctuation are one pre-token or two, which
+    the library's model encodes directly (if the tokenizer is of the kind that allows it).  All others go to the library joined to texts of
+    about ``CALL_CHARS``, since a call for each costs more than its encoding; as every token stands for a known number of bytes,
+    its ids are cut at the pieces again.
     """
 
     def __init__(self, path: str):
-        import re
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -146,27 +150,89 @@ class ByteLevelEncoder:
         self.tokenizer.no_padding()
         # spaces that don't start a piece: those before white space (as Python or as Unicode has it) or the end
         self.unsafe = re.compile(r" (?:[\s\x1c-\x1f\x85]|$)")
-        self.safe = re.compile(r"(?= [^\s\x1c-\x1f\x85])")
-        self.known: dict[str, bytes] = {}
+        self.safe = re.compile(r" (?=[^\s\x1c-\x1f\x85])")
+        self.known: dict[str, bytes] = {}  # by the piece without the space it starts with
+        self.marks: dict[str, bytes] = {}
+        added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        # letters that no version of Unicode moves, and what may follow them in a piece
+        self.plain = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\[-`{-~]*)")
+        self.direct = self._is_plain(json.loads(self.tokenizer.to_str()))
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level token
+        hidden = [b for b in range(256) if b not in shown]
+        self.shown = {b: 256 + k for k, b in enumerate(hidden)}
+        for token, i in vocabulary.items():  # a character of a byte-level token is a byte
+            self.sizes[i] = added.get(i, len(token))
 
     def pieces(self, text: str) -> list[str]:
-        if self.unsafe.search(text):
-            return self.safe.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+        """The text cut at the spaces that start pieces, without those spaces."""
+        return self.safe.split(text) if self.unsafe.search(text) else text.split(" ")
+
+    def _is_plain(self, kind: dict) -> bool:
+        """Whether words are pre-tokens with the space before them, whose ids the model alone decides."""
+        cut, model = kind["pre_tokenizer"] or {}, kind["model"]
+        # no added token can be found inside letters and the punctuation after them
+        own = all(re.search(r"[!-/:-@\[-`{-~][^!-/:-@\[-`{-~]", t["content"]) for t in kind["added_tokens"])
+        usual = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and kind["normalizer"] is None
+        return own and usual and model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "unk_token"))
+
+    def _model(self, pretoken: str) -> bytes:
+        text = pretoken.encode().decode("latin-1").translate(self.shown)
+        return np.asarray([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words that a space stands before."""
+        calls, held = [[]], 0
+        for w in words:
+            if self.direct and (m := self.plain.fullmatch(w)):
+                letters, marks = m.groups()
+                if letters not in self.known:
+                    self.known[letters] = self._model(" " + letters)
+                if marks:
+                    if marks not in self.marks:
+                        self.marks[marks] = self._model(marks)
+                    self.known[w] = self.known[letters] + self.marks[marks]
+                continue
+            calls[-1].append(w)
+            held += len(w) + 1
+            if held > CALL_CHARS:
+                calls.append([])
+                held = 0
+        calls = [c for c in calls if c]
+        texts = [" " + " ".join(c) for c in calls]
+        for own, text, encoded in zip(calls, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.asarray(encoded.ids, "<u4")
+            ends = np.cumsum(self.sizes[ids])
+            wanted = np.cumsum(np.fromiter((len(w) if w.isascii() else len(w.encode()) for w in own), np.int64, len(own)) + 1)
+            cuts = np.searchsorted(ends, wanted)
+            if not len(ids) or cuts[-1] >= len(ends) or (ends[cuts] != wanted).any() or ends[-1] != wanted[-1]:
+                self.known.update(zip(own, self._each([" " + w for w in own])))  # a tokenizer whose tokens aren't its bytes
+                continue
+            whole, at = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()]
+            self.known.update(zip(own, [whole[a:b] for a, b in zip(at, at[1:])]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
-        known, split = self.known, [self.pieces(t) for t in texts]
+        known = self.known
         if len(known) > REMEMBER:
             known.clear()
-        new = list({p for pieces in split for p in pieces if p not in known})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[p] = np.asarray(e.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
-        for p in new:
-            if len(p) > REMEMBER_CHARS:
-                del known[p]
+            self.marks.clear()
+        split = [self.pieces(t) for t in texts]
+        firsts = self._each([words[0] for words in split])
+        for words in split:
+            words[0] = ""  # encoded apart, as no space stands before it
+        new = set().union(*split).difference(known)
+        new.discard("")
+        self._learn(list(new))
+        known[""] = b""
+        out = [first + b"".join(map(known.__getitem__, words)) for first, words in zip(firsts, split)]
+        for w in new:
+            if len(w) > REMEMBER_CHARS:
+                del known[w]
         return out
 
 
