@@ -111,6 +111,36 @@ def merged_fields(mapped: DataFrame, fields: list[str], arrival: str = "seq") ->
     return mapped.select(*[F.last(c, ignorenulls=True).over(w).alias(c) if c in fields else F.col(c) for c in mapped.columns])
 
 
+#: Shapes whose values merge field by field with one of the same shape; a spectrum stays whatever merging value comes after it.
+MERGING, STAYING = ("position", "length", "notification", "draft"), "spectrum"
+
+
+def merged_shapes(mapped: DataFrame, fields: list[str], lists: list[str] = (), shape: str = "shape", arrival: str = "seq") -> DataFrame:
+    """The stored value of a (context, path) after each row, as its shape and its fields, by the rules of each shape.
+
+    Values of the same merging shape merge: fields by the last that wasn't null, ``lists`` by the last that wasn't empty.  A
+    spectrum that is stored stays until a value comes whose shape doesn't merge.  All else replaces what is stored.
+    """
+    of = Window.partitionBy(*KEYS).orderBy(arrival)
+    merges = F.coalesce(F.col(shape).isin(*MERGING, STAYING), F.lit(False))
+    # each value that doesn't merge begins a block; in a block all is merged until a spectrum comes, and then it stays
+    rows = mapped.withColumn("__block", F.sum(F.when(merges, 0).otherwise(1)).over(of))
+    block = Window.partitionBy(*KEYS, "__block").orderBy(arrival)
+    rows = rows.withColumn("__stays", F.max(F.coalesce(F.col(shape) == STAYING, F.lit(False))).over(block))
+    before = F.lag(shape).over(block)
+    rows = rows.withColumn("__change", (~F.col("__stays") & ~before.eqNullSafe(F.col(shape))).cast("int"))
+    rows = rows.withColumn("__run", F.when(F.col("__stays"), -1).otherwise(F.sum("__change").over(block)))
+    run = Window.partitionBy(*KEYS, "__block", "__run").orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0)
+
+    def stored(c: str) -> Column:
+        given = F.when(F.size(c) > 0, F.col(c)) if c in lists else F.col(c)
+        return F.when(F.col("__stays"), F.first(c).over(run)).otherwise(F.coalesce(F.last(given, ignorenulls=True).over(run), F.col(c))).alias(c)
+
+    wanted = {shape, *fields, *lists}
+    kept = [F.first(c).over(run).alias(c) if c == shape else stored(c) if c in wanted else F.col(c) for c in mapped.columns]
+    return rows.select(*kept)
+
+
 def final_fields(mapped: DataFrame, fields: list[str], arrival: str = "seq") -> DataFrame:
     """The merge after the last row, by aggregation."""
     return mapped.groupBy(*KEYS).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(arrival))).alias(c) for c in fields])

@@ -226,6 +226,40 @@ def a08_final(spark, d):
     return S.final_fields(positions(spark, d), NAMES)
 
 
+#: Values of six shapes, of which the number and the text don't merge.
+SHAPED = """p AS (SELECT seq, context, path, CASE seq * 7 % 11 WHEN 0 THEN 'number' WHEN 1 THEN 'spectrum' WHEN 2 THEN 'text' WHEN 3 THEN 'draft' WHEN 4 THEN 'draft' ELSE 'position' END AS shape, value FROM mapped),
+  q AS (SELECT seq, context, path, shape, CASE WHEN shape IN ('number', 'text') OR shape = 'draft' AND seq % 2 = 0 THEN value END AS number, CASE WHEN shape = 'position' AND seq % 3 = 0 THEN value END AS latitude,
+    CASE WHEN shape = 'position' AND seq % 3 = 1 THEN value END AS longitude, CASE WHEN shape = 'spectrum' THEN [value, seq::DOUBLE] WHEN shape = 'draft' AND seq % 3 > 0 THEN [value] ELSE [] END AS list FROM p)"""
+
+
+@query(
+    "a08_merge_shapes",
+    f"""WITH RECURSIVE {MAPPED}, {SHAPED}, o AS (SELECT *, row_number() OVER (PARTITION BY context, path ORDER BY seq) AS n FROM q),
+    s AS (SELECT * FROM o WHERE n = 1 UNION ALL
+      SELECT o.seq, o.context, o.path, CASE WHEN stays THEN s.shape ELSE o.shape END, CASE WHEN stays THEN s.number WHEN joins THEN coalesce(o.number, s.number) ELSE o.number END,
+        CASE WHEN stays THEN s.latitude WHEN joins THEN coalesce(o.latitude, s.latitude) ELSE o.latitude END, CASE WHEN stays THEN s.longitude WHEN joins THEN coalesce(o.longitude, s.longitude) ELSE o.longitude END,
+        CASE WHEN stays OR joins AND len(o.list) = 0 THEN s.list ELSE o.list END, o.n
+      FROM s JOIN o ON o.context = s.context AND o.path = s.path AND o.n = s.n + 1, LATERAL (SELECT s.shape = 'spectrum' AND o.shape NOT IN ('number', 'text') AS stays,
+        s.shape = o.shape AND s.shape IN ('draft', 'position') AS joins))
+    SELECT seq, context, path, shape, number, latitude, longitude, list_sum(list) AS total, len(list) AS n_list FROM s""",
+)
+def a08_shapes(spark, d):
+    k, v = F.col("seq"), F.col("value")
+    kinds = F.array(*map(F.lit, ["number", "spectrum", "text", "draft", "draft", *["position"] * 6]))
+    m = mapped(spark, d).select("seq", "context", "path", "value", F.get(kinds, (k * 7 % 11).cast("int")).alias("shape"))
+    s = F.col("shape")
+    m = m.select(
+        "seq", "context", "path", "shape",
+        F.when(s.isin("number", "text") | ((s == "draft") & (k % 2 == 0)), v).alias("number"),
+        F.when((s == "position") & (k % 3 == 0), v).alias("latitude"),
+        F.when((s == "position") & (k % 3 == 1), v).alias("longitude"),
+        F.when(s == "spectrum", F.array(v, k.cast("double"))).when((s == "draft") & (k % 3 > 0), F.array(v)).otherwise(F.array().cast("array<double>")).alias("list"),
+    )
+    out = S.merged_shapes(m, ["number", "latitude", "longitude"], ["list"])
+    total = F.when(F.size("list") > 0, F.aggregate("list", F.lit(0.0), lambda a, x: a + x))
+    return out.select("seq", "context", "path", "shape", "number", "latitude", "longitude", total.alias("total"), F.size("list").cast("long").alias("n_list"))
+
+
 @query(
     "j03_last_known_combine",
     f"""WITH {MAPPED}, k AS (SELECT *, last_value(CASE WHEN path = 'click' THEN value END IGNORE NULLS) OVER w AS a,
@@ -279,6 +313,30 @@ def u01_bits(spark, d):
     )
 
 
+@query(
+    "u01_rule_functions",
+    """WITH b AS (SELECT event_id, CAST(event_id * 7919 % 65536 AS BIGINT) AS x, value, event_type FROM events)
+    SELECT event_id, x // 256 * 256 + x % 256 AS word, (x >> 3) % 2 = 1 AS fourth, CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END * CAST(event_id % 64 + 128 AS DOUBLE) / 128 AS single,
+    (value + event_id) / 2 AS average, value > 50 AS state, event_type AS message,
+    CASE WHEN value < 10 THEN 0 WHEN value < 30 THEN 100 + (value - 10) / 20 * 100 WHEN value < 70 THEN 200 + (value - 30) / 40 * 500 ELSE 700 END AS volume FROM b""",
+)
+def u01_rules(spark, d):
+    """The functions of rules as their SQL text, over columns."""
+    x = "CAST(event_id * 7919 % 65536 AS INT)"
+    e = table(spark, d, "events")
+    note = F.get(fn.call("notify", "value > 50", "event_type"), F.lit(0))
+    return e.select(
+        "event_id",
+        fn.call("toUInt", f"{x} div 256", f"{x} % 256").cast("long").alias("word"),
+        fn.call("isBitSet", x, "3").alias("fourth"),
+        fn.call("toFloat", "IF(event_id % 3 = 0, 32768, 0) + 16256 + event_id % 64", "0").alias("single"),
+        fn.call("movingAverage", "array(value, CAST(event_id AS DOUBLE))").alias("average"),
+        note["state"].alias("state"),
+        note["message"].alias("message"),
+        fn.call("heightToVolume", "value - 1D", "1D", "array(10D, 30D, 70D)", "array(100D, 200D, 700D)").alias("volume"),
+    )
+
+
 @query("u01_string_functions", "SELECT event_id, translate(CAST(event_id AS VARCHAR) || '.5,1', '.,', ',.') AS swapped, replace(event_type || '.x.y', '.', '_') AS flat, md5(event_type) AS digest FROM events")
 def u01_strings(spark, d):
     e = table(spark, d, "events")
