@@ -15,6 +15,15 @@ GRAVITY = 9.8  # the value that results are defined with
 SQL_BODIES = {
     "currentToRatio": ("x DOUBLE", "(x - 4000) / 16000", "DOUBLE"),
     "pressureToHeight": ("p DOUBLE, density DOUBLE", f"p / (density * {GRAVITY}D)", "DOUBLE"),
+    "heightToVolume": (
+        # heights and volumes rise strictly, or the result is null
+        "height DOUBLE, sensorOffset DOUBLE, heights ARRAY<DOUBLE>, volumes ARRAY<DOUBLE>",
+        "CASE WHEN size(heights) <> size(volumes) THEN NULL WHEN size(heights) = 0 THEN 0D "
+        "WHEN exists(slice(sequence(1, size(heights)), 2, size(heights)), i -> NOT (element_at(heights, i - 1) < element_at(heights, i) AND element_at(volumes, i - 1) < element_at(volumes, i))) THEN NULL "
+        "ELSE aggregate(sequence(1, size(heights)), 0D, (v, i) -> CASE WHEN height + sensorOffset < element_at(heights, i) THEN v WHEN i = size(heights) THEN element_at(volumes, i) "
+        "ELSE element_at(volumes, i) + least(1D, (height + sensorOffset - element_at(heights, i)) / (element_at(heights, i + 1) - element_at(heights, i))) * (element_at(volumes, i + 1) - element_at(volumes, i)) END) END",
+        "DOUBLE",
+    ),
     "powerW": ("r DOUBLE, t DOUBLE", "abs(2 * pi() * r * t)", "DOUBLE"),
     "copySign": ("f DOUBLE, s DOUBLE", "abs(f) * IF(s < 0 OR (s = 0 AND startswith(CAST(s AS STRING), '-')), -1, 1)", "DOUBLE"),
     "toUInt": ("hi INT, lo INT", "hi * 256 + lo", "INT"),
