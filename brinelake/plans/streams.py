@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import shared_path
 from ..streaming import jobs as J
-from .feeds import MAPPED, table
+from .feeds import MAPPED, mapped, table
 from .registry import query
 from .stateful import LIMITED
 
@@ -54,6 +54,56 @@ def t01(spark, d):
     return finished(J.period_counts(mapped_stream(spark, d)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+def in_files(spark, d, *parts):
+    """``mapped`` as a stream that reads the rows of each condition in a batch of its own, one after another."""
+    at = shared_path(spark, "arrivals")
+    m = mapped(spark, d).withColumn("time", F.col("time").cast("timestamp"))
+    for k, part in enumerate(parts):
+        m.where(part).coalesce(1).write.mode("append").parquet(at)
+    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(at)
+    return stream
+
+
+#: The newest time, and rows that arrive an hour or more after all others.
+NEWEST = "z AS (SELECT max(time) FILTER (WHERE seq % 10 > 0) AS newest FROM mapped)"
+
+
+def arrivals(spark, d):
+    """Rows in time but each tenth, the last two hours of them, and then each tenth row, which is late."""
+    newest = mapped(spark, d).where("seq % 10 > 0").agg(F.max("time")).first()[0]
+    early = F.col("time") < F.lit(newest) - F.expr("INTERVAL 2 HOURS")
+    in_time = F.col("seq") % 10 > 0
+    return in_files(spark, d, in_time & early, in_time & ~early, F.col("time") == F.lit(newest), ~in_time)
+
+
+@query(
+    "t01_streaming_final_counts",
+    f"""WITH {MAPPED}, {NEWEST}, a AS (SELECT mapped.*, time_bucket(INTERVAL 5 MINUTE, time) AS start FROM mapped, z
+      WHERE seq % 10 > 0 OR time_bucket(INTERVAL 5 MINUTE, time) + INTERVAL 5 MINUTE > newest - INTERVAL 1 HOUR
+      UNION ALL SELECT mapped.*, time_bucket(INTERVAL 5 MINUTE, time) FROM mapped, z WHERE time = newest)
+    SELECT start, origin, count(*) AS count FROM a, z WHERE start + INTERVAL 5 MINUTE <= newest - INTERVAL 1 HOUR GROUP BY ALL""",
+)
+def t01_final(spark, d):
+    """Periods are given once, when the watermark passes their end; rows that come later than that count nowhere."""
+    return finished(J.period_counts(arrivals(spark, d))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(
+    "u04_streaming_absence",
+    f"""WITH {MAPPED}, {NEWEST}, m AS (SELECT * FROM mapped, z WHERE seq % 10 > 0 AND (connector <> 'c2' OR time < newest - INTERVAL 3 HOURS))
+    SELECT connector, max(time) AS last_seen FROM m, z WHERE connector = 'c2' GROUP BY connector HAVING max(time) + INTERVAL 30 MINUTE < max(z.newest) - INTERVAL 1 HOUR""",
+)
+def u04_absence(spark, d):
+    """One source stays away for the last hours: the watermark, which the others move, reports it."""
+    newest = mapped(spark, d).where("seq % 10 > 0").agg(F.max("time")).first()[0]
+    there = (F.col("seq") % 10 > 0) & ((F.col("connector") != "c2") | (F.col("time") < F.lit(newest) - F.expr("INTERVAL 3 HOURS")))
+    early = F.col("time") < F.lit(newest) - F.expr("INTERVAL 2 HOURS")
+    stream = in_files(spark, d, there & early, there & ~early, F.col("time") == F.lit(newest)).withWatermark("time", "1 hour")
+    machine = J.run_machine(stream, ["connector"], J.Absence(1800), "connector string, last_seen timestamp, next_seen timestamp", "EventTime")
+    out = finished(machine).where("next_seen is null")
+    return out.select("connector", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
+
+
 @query("t09_streaming_redelivery", f"WITH {MAPPED} SELECT count(*) AS n FROM (SELECT DISTINCT time, origin, context, connector, path FROM mapped)")
 def t09(spark, d):
     return finished(J.without_redelivery(mapped_stream(spark, d))).agg(F.count("*").alias("n"))
@@ -103,8 +153,6 @@ def s01(spark, d):
 def s02(spark, d):
     from ..operators.flatten import rebuild
     from ..sources.envelopes import delta_messages
-    from .feeds import mapped
-
     m = rebuild(mapped(spark, d).withColumn("value", F.floor("value").cast("long")).withColumn("uuid", F.col("seq").cast("string")))
     out = delta_messages(m.select(F.to_json(F.struct("*")).alias("value"))).where("reason is null")
     rows = out.select("context", "origin", F.explode("updates").alias("u")).select("context", "origin", "u.source.uuid", F.explode("u.values").alias("v"))
@@ -114,8 +162,6 @@ def s02(spark, d):
 @query("s03_single_values", f"WITH {MAPPED} SELECT seq, context, path, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS value FROM mapped")
 def s03(spark, d):
     from ..sources.envelopes import single_values
-    from .feeds import mapped
-
     m = mapped(spark, d)
     source = F.struct(F.col("connector").alias("label"), "type", F.col("seq").cast("string").alias("uuid"))
     text = F.to_json(F.struct("context", "origin", "path", F.floor("value").cast("long").alias("value"), F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"), source.alias("source")))
@@ -128,8 +174,6 @@ def s04(spark, d):
     from ..operators.export import batches
     from ..operators.flatten import rebuild
     from ..sources.envelopes import batch_messages
-    from .feeds import mapped
-
     m = mapped(spark, d).withColumn("transfer_uuid", F.when(F.col("seq") % 4 == 0, F.lit("t")))
     deltas = rebuild(m, "seq")
     out = batch_messages(batches(deltas, F.to_json(F.struct("context", "origin", "updates")), 100).select(F.col("payload").alias("value")))

@@ -111,6 +111,30 @@ class Silence(StatefulProcessor):
         yield pd.DataFrame(found, columns=["connector", "last_seen", "next_seen"])
 
 
+class Absence(Silence):
+    """As Silence, and a row without a next time as soon as the watermark says that a key has been silent for longer than the timeout.
+
+    Each key has one event-time timer, that of its newest row; a key that returns later gives a row with that time too.
+    """
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        for out in super().handleInputRows(key, rows, timerValues):
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            last = pd.Timestamp(self.last.get()[0])
+            self.handle.registerTimer(int(last.timestamp() * 1000 + self.seconds * 1000))
+            yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        found = pd.DataFrame([(key[0], self.last.get()[0])], columns=["connector", "last_seen"])
+        found["next_seen"] = pd.Series([pd.NaT], dtype="datetime64[ns]")
+        yield found
+
+
 class Combine(_Scan):
     """Derived rows (context, time, value, seq) of an expression over the last values of several paths."""
 
@@ -139,9 +163,12 @@ class Combine(_Scan):
         yield pd.DataFrame(out, columns=["context", "time", "value", "seq"])
 
 
-def run_machine(stream: DataFrame, keys: list[str], machine: StatefulProcessor, schema=None, ttl: str = "None") -> DataFrame:
-    """The rows a state machine gives; the same rows as the input's unless ``schema`` says otherwise."""
-    return stream.groupBy(*keys).transformWithStateInPandas(machine, schema or stream.schema, "Append", ttl)
+def run_machine(stream: DataFrame, keys: list[str], machine: StatefulProcessor, schema=None, time_mode: str = "None") -> DataFrame:
+    """The rows a state machine gives; the same rows as the input's unless ``schema`` says otherwise.
+
+    ``time_mode`` is EventTime for machines with timers, whose stream needs a watermark.
+    """
+    return stream.groupBy(*keys).transformWithStateInPandas(machine, schema or stream.schema, "Append", time_mode)
 
 
 def upsert_batches(path: str) -> Callable[[DataFrame, int], None]:
