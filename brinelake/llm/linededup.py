@@ -5,9 +5,9 @@ boilerplate, and is removed wherever it stands but in the first document that ha
 first place there.  A site is a value of ``source``.
 
 Lines are known by two hashes.  Counts per hash are a plain aggregation, and only lines that occur
-as often as the threshold go on, as no other line can be on so many sites.  For those, HyperLogLog
-sketches of the sites merge by aggregation, and hashes whose estimate is near the threshold get an exact
-distinct count.  The documents meet the removed lines in one join by id.
+as often as the threshold go on, as no other line can be on so many sites.  For those, each task sketches the
+sites of a line (HyperLogLog), the sketches merge by aggregation, and hashes whose estimate is near the threshold get an exact
+distinct count.  The documents meet the places of the removed lines in one join by id and a hash of the text.
 
 Cases: empty lines are neither counted nor removed; a null text stays null with no lines; a null
 source is no site; a null id sorts first; a text all of whose lines go becomes empty; rows that repeat
@@ -37,11 +37,11 @@ def _trim(line: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """id, site, pos, key of every line that isn't empty."""
+    """id, text_key, site, pos, key of every line that isn't empty."""
     split = docs.select(
-        F.col(id_col).alias("id"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line")
+        F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line")
     )
-    return split.select("id", "site", "pos", _trim(F.col("line")).alias("line")).where("line <> ''").select("id", "site", "pos", _key(F.col("line")).alias("key"))
+    return split.select("id", "text_key", "site", "pos", _trim(F.col("line")).alias("line")).where("line <> ''").select("id", "text_key", "site", "pos", _key(F.col("line")).alias("key"))
 
 
 def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
@@ -52,10 +52,8 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
     often = counts.where((F.col("n") >= sites) & ((F.lit(sites) <= 1) | (F.col("s0") != F.col("s1")))).select("key", "first")
     often = materialize(often, "frequent-lines")
     with_site = lines.where("site is not null").join(often.select("key"), "key", "left_semi").select("key", "site")
-    # a site's many copies of a line are one row before any sketch is made
-    spread = materialize(
-        with_site.groupBy("key", "site").agg(F.lit(1).alias("one")).groupBy("key").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")), "line-sites"
-    )
+    # every task sends one sketch for each of its lines, however often the line and its sites repeat
+    spread = materialize(with_site.groupBy("key").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")), "line-sites")
     estimate = spread.select("key", F.hll_sketch_estimate("sketch").alias("estimate"))
     clear = estimate.where(F.col("estimate") > sites * (1 + NEAR)).select("key")
     near = estimate.where(F.col("estimate").between(sites * (1 - NEAR) - 1, sites * (1 + NEAR))).select("key")
@@ -71,18 +69,18 @@ def remove_boilerplate(
     """All columns of ``docs`` with the text cleaned, n_lines and n_removed added."""
     lines = lines_of(docs, id_col, text_col, site_col)
     found = boilerplate(lines, sites)
-    hit = lines.join(found, "key").groupBy("id").agg(
-        F.collect_set("key").alias("__keys"),
-        F.collect_set(F.when(F.struct("id", "pos").eqNullSafe(F.col("first")), F.col("pos"))).alias("__kept"),
-    )
-    joined = docs.join(hit, docs[id_col].eqNullSafe(hit["id"]), "left")
+    hit = lines.join(found, "key").where(~F.struct("id", "pos").eqNullSafe(F.col("first")))
+    hit = hit.groupBy("id", "text_key").agg(F.array_sort(F.collect_set("pos")).alias("__gone"))
+    joined = docs.join(hit, docs[id_col].eqNullSafe(hit["id"]) & (F.xxhash64(docs[text_col]) == hit["text_key"]), "left")
     split = F.split(F.col(text_col), "\n")
 
-    def stays(line, pos):
-        trimmed = _trim(line)
-        return (trimmed == "") | ~F.array_contains("__keys", _key(trimmed)) | F.array_contains("__kept", pos)
+    def between(lines):
+        """What stands before, between and after the places that go: a slice each, so that a long text takes time in proportion."""
+        edges = F.concat(F.array(F.lit(-1)), F.col("__gone"), F.array(F.size(lines)))
+        cut = lambda e: F.transform(F.slice(e, F.lit(2), F.size(e) - 1), lambda end, k: F.slice(lines, F.get(e, k) + 2, end - F.get(e, k) - 1))
+        return F.flatten(F.flatten(F.transform(F.array(edges), cut)))
 
-    kept = F.when(F.col("__keys").isNull(), split).otherwise(F.filter(split, stays))
+    kept = F.when(F.col("__gone").isNull(), split).otherwise(F.flatten(F.transform(F.array(split), between)))
     full = lambda a: F.coalesce(F.size(F.filter(a, lambda x: _trim(x) != "")), F.lit(0)).cast("long")
     out = joined.withColumn("__lines", kept).withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(full(split)))
     out = out.withColumn("n_removed", F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(F.col("n_lines") - full(F.col("__lines"))))
