@@ -14,26 +14,24 @@ from pyspark.sql import functions as F
 KEYS = ("context", "path")
 
 
-def sorted_scan(df: DataFrame, keys: list[str], order: list[str], keep, start=None) -> DataFrame:
-    """Rows for which ``keep(state, row) -> (kept, state)`` holds, row by row in the order of each key.
+def sorted_scan(df: DataFrame, keys: list[str], order: list[str], reads: list[str], keep, start=None) -> DataFrame:
+    """Rows for which ``keep(state, *values) -> (kept, state)`` holds, row by row in the order of each key.
 
-    Rows are hash-partitioned by key and sorted inside partitions, so a long key streams through its
-    task in Arrow batches; no group is gathered.
+    ``values`` are those of the columns ``reads``; no other columns but the keys become Python objects.  Rows are hash-partitioned
+    by key and sorted inside partitions, so a long key streams through its task in Arrow batches; no group is gathered.
     """
-    columns = df.columns
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         key, state = object(), start
         for batch in batches:
-            data = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            of = dict(zip(columns, data))
+            own, values = ([batch.column(c).to_pylist() for c in names] for names in (keys, reads))
             kept = []
-            for i, k in enumerate(zip(*[of[c] for c in keys])):
+            for k, row in zip(zip(*own), zip(*values)):
                 if k != key:
                     key, state = k, start
-                ok, state = keep(state, {c: of[c][i] for c in columns})
+                ok, state = keep(state, *row)
                 kept.append(ok)
             yield batch.filter(pa.array(kept))
 
@@ -56,14 +54,15 @@ def rate_limit(
         first = mapped.groupBy(*KEYS).agg(F.min(arrival).alias("__first"))
         rows = mapped.join(first, list(KEYS)).withColumn("__free", F.col(arrival) == F.col("__first")).drop("__first")
 
-    def keep(last, row):
-        if row.get("__free"):
+    def keep(last, time, path, free=False):
+        if free:
             return True, last
-        if last is None or row["time"] > last + steps.get(row["path"], default):
-            return True, row["time"]
+        if last is None or time > last + steps.get(path, default):
+            return True, time
         return False, last
 
-    return sorted_scan(rows, ["context", "path", "connector"], [arrival], keep).select(*mapped.columns)
+    reads = ["time", "path"] if record_first else ["time", "path", "__free"]
+    return sorted_scan(rows, ["context", "path", "connector"], [arrival], reads, keep).select(*mapped.columns)
 
 
 def changes(mapped: DataFrame, value: str = "value", arrival: str = "seq") -> DataFrame:
@@ -82,12 +81,12 @@ def without_late(mapped: DataFrame, arrival: str = "seq") -> DataFrame:
 def changes_without_late(mapped: DataFrame, value: str = "value", arrival: str = "seq") -> DataFrame:
     """Both at once, the stored row being the last that was kept."""
 
-    def keep(stored, row):
-        if stored is not None and (row["time"] < stored[0] or row[value] == stored[1]):
+    def keep(stored, time, given):
+        if stored is not None and (time < stored[0] or given == stored[1]):
             return False, stored
-        return True, (row["time"], row[value])
+        return True, (time, given)
 
-    return sorted_scan(mapped, list(KEYS), [arrival], keep)
+    return sorted_scan(mapped, list(KEYS), [arrival], ["time", value], keep)
 
 
 def moving_average(mapped: DataFrame, retention: str, value: str = "value") -> DataFrame:

@@ -189,15 +189,23 @@ def registry_rows(spark, d):
     return mapped(spark, d).withColumn("path", path).withColumn("value", value)
 
 
-REGISTRY_SQL = f"""r AS (SELECT context, seq, list_extract({REGISTRY_PATHS}, CAST(seq % 7 + 1 AS INT)) AS path,
-  CAST(floor(value) AS BIGINT) AS n FROM mapped),
-  u AS (SELECT context, {', '.join(f"arg_max({'CAST(n AS DOUBLE)' if c in upsert.NUMBERS else chr(39) + 'n' + chr(39) + ' || n'}, seq) FILTER (WHERE path = '{p}') AS {c}" for c, (p, _) in upsert.REGISTRY.items())} FROM r GROUP BY context)"""
+def registry_sql(name: str, where: str) -> str:
+    columns = ", ".join(f"arg_max({'CAST(n AS DOUBLE)' if c in upsert.NUMBERS else chr(39) + 'n' + chr(39) + ' || n'}, seq) FILTER (WHERE path = '{p}') AS {c}" for c, (p, _) in upsert.REGISTRY.items())
+    return f"{name} AS (SELECT context, {columns} FROM r WHERE {where} GROUP BY context)"
 
 
-@query("k04_registry", f"WITH {MAPPED}, {REGISTRY_SQL} SELECT * FROM u")
+REGISTRY_ROWS = f"r AS (SELECT context, seq, list_extract({REGISTRY_PATHS}, CAST(seq % 7 + 1 AS INT)) AS path, CAST(floor(value) AS BIGINT) AS n FROM mapped)"
+
+
+@query(
+    "k04_registry",
+    f"""WITH {MAPPED}, {REGISTRY_ROWS}, {registry_sql("a", "seq % 10 = 0")}, {registry_sql("b", "seq % 10 > 6")}
+    SELECT coalesce(b.context, a.context) AS context, {', '.join(f"coalesce(b.{c}, a.{c}) AS {c}" for c in upsert.REGISTRY)} FROM a FULL JOIN b ON a.context = b.context""",
+)
 def k04(spark, d):
+    """Updates over stored rows: what they don't give stays, and contexts of either side remain."""
     m = registry_rows(spark, d)
-    return upsert.merge_registry(upsert.registry_updates(m.where("seq % 5 = 0")).limit(0), upsert.registry_updates(m))
+    return upsert.merge_registry(upsert.registry_updates(m.where("seq % 10 = 0")), upsert.registry_updates(m.where("seq % 10 > 6")))
 
 
 @query("k12_transfer_log", f"{WITH} SELECT start + INTERVAL 5 MINUTE AS time, origin, '{{\"count\":' || count || '}}' AS message FROM counts")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import export as X
@@ -73,10 +76,17 @@ def f10(spark, d):
     return D.without_overwritten(m, m.where("value > 50 and path = 'click'"), "seq").select("seq", "path")
 
 
-@query("x04_set_equality", "SELECT true AS equal")
+@query(
+    "x04_set_equality",
+    f"""WITH {MAPPED} SELECT 'reordered' AS change, true AS equal UNION ALL SELECT 'a value', count(*) FILTER (WHERE seq % 97 = 3) = 0 FROM mapped
+    UNION ALL SELECT 'repeated rows', count(*) FILTER (WHERE seq % 89 = 5) = 0 FROM mapped""",
+)
 def x04(spark, d):
     m = texts(spark, d)
-    return D.same_values(m, D.flatten(D.rebuild(m.orderBy(F.desc("seq")))))
+    changed = m.withColumn("value", F.when(F.col("seq") % 97 == 3, F.concat(F.lit("x"), F.col("value").cast("string"))).otherwise(F.col("value").cast("string")))
+    plain = m.withColumn("value", F.col("value").cast("string"))
+    cases = {"reordered": D.same_values(m, D.flatten(D.rebuild(m.orderBy(F.desc("seq"))))), "a value": D.same_values(plain, changed), "repeated rows": D.same_values(m, m.unionByName(m.where("seq % 89 = 5")))}
+    return functools.reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("change"), "equal") for name, df in cases.items()])
 
 
 @query("x01_union_all", f"WITH {MAPPED} SELECT seq, path FROM mapped UNION ALL SELECT seq, path FROM mapped WHERE origin = 'v1'")
@@ -223,7 +233,7 @@ def p04(spark, d):
 
 @query("f08_prefix", "SELECT event_id FROM events WHERE event_type LIKE 'c%'")
 def f08(spark, d):
-    return table(spark, d, "events").where(F.col("event_type").startswith("c")).select("event_id")
+    return R.csv_fields(table(spark, d, "events"), "event_type", "c").select("event_id")
 
 
 @query("p07_binary_mapping", "SELECT event_id, event_id % 256 AS low, event_id // 256 % 256 AS high FROM events")

@@ -131,6 +131,20 @@ def f02(spark, d):
     return S.rate_limit(mapped(spark, d), 6 * 3600).select("seq", "context", "path")
 
 
+@query(
+    "f02_rate_limit_first_free",
+    f"""WITH RECURSIVE {MAPPED}, f AS (SELECT *, seq = min(seq) OVER (PARTITION BY context, path) AS free FROM mapped),
+    m AS (SELECT *, row_number() OVER (PARTITION BY context, path, connector ORDER BY seq) AS n FROM f WHERE NOT free),
+    scan AS (SELECT context, path, connector, n, seq, time AS last, true AS kept FROM m WHERE n = 1
+      UNION ALL SELECT m.context, m.path, m.connector, m.n, m.seq, CASE WHEN m.time > s.last + INTERVAL 6 HOUR THEN m.time ELSE s.last END, m.time > s.last + INTERVAL 6 HOUR
+      FROM scan s JOIN m ON m.context = s.context AND m.path = s.path AND m.connector = s.connector AND m.n = s.n + 1)
+    SELECT seq, context, path FROM scan WHERE kept UNION ALL SELECT seq, context, path FROM f WHERE free""",
+)
+def f02_free(spark, d):
+    """The very first row of a path passes without being remembered."""
+    return S.rate_limit(mapped(spark, d), 6 * 3600, record_first=False).select("seq", "context", "path")
+
+
 VALUES = "v AS (SELECT * REPLACE (CAST(floor(value / 40) AS BIGINT) AS value) FROM mapped)"
 
 
