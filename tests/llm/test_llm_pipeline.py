@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 import public_tokenizers as P
+from pyspark.sql import functions as F
 from brinelake.llm import bpe, decontaminate, toxicity
 from tests.llm.test_llm_operators import clean_by_hand, components_by_hand, fingerprint_by_hand, tiktoken_encoding
 
@@ -109,3 +110,26 @@ def test_rows_that_share_an_id_are_decided_apart(spark, tmp_path):
 
 def test_vocabulary_file_is_read_from_its_package():
     assert len(bpe.load_ranks(P.path("byte_bpe_multi_50k.tiktoken"))) == 50256
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, toxic int", "benchmark": "item_id string, text string"}
+    for name, kind in kinds.items():
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_rows_of_nulls(spark, tmp_path):
+    """Null ids and texts, and columns whose names the operators use, go through all stages."""
+    docs = spark.createDataFrame([(None, None), (None, ""), (None, "one"), (3, None), (3, "two words")], "doc_id long, text string")
+    docs = docs.withColumns({c: F.lit("x") for c in ("source", "n_chars", "row_key", "key", "id", "row", "fp", "h")})
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("i", "other text")], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+    # of the three texts without words the one with the least id stays
+    assert sorted((str(r.doc_id), r.n_tokens > 0) for r in docs.collect()) == [("3", False), ("3", True), ("None", True)]
