@@ -3,7 +3,9 @@
 Fitting takes a bounded sample of labelled rows (``PER_CLASS`` of each label, drawn by a hash of the id).
 Terms are all words and beginnings of words in that sample; none is left out.  A term weighs its idf, counted
 over all documents, times its phi coefficient with the labels in the sample, so a rare term that the labels
-single out counts, and the many that they don't weigh little.  The examples' normalised vectors are
+single out counts, and the many that they don't weigh little.  As a term's own beginnings are terms too, a word is known by
+the longest term that it is or begins with; a text is stored as those and counted up to all of its terms when
+they are needed.  The examples' normalised vectors are
 stored as postings by term, those of the ``DENSE`` most frequent terms in blocks of ``BLOCK`` examples with the
 greatest weight of each term in each block.  A search adds the short postings up, takes blocks by their upper
 bound, and ends when no bound reaches the k-th best cosine found, so the neighbours are exact.  Votes weigh more the nearer the example; an isotonic table fitted on
@@ -22,13 +24,15 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_text, held_out, materialize, slices
 
 #: Examples of each label; most terms whose postings are stored in blocks; terms whose frequencies are counted in one row.
 PER_CLASS, DENSE, CHUNK = 2000, 2048, 8192
+#: Words whose terms a worker remembers.
+REMEMBER = 200_000
 #: Neighbours; examples of a block; lengths of word beginnings, in characters; share of a vote that the base rate has.
 NEIGHBOURS, BLOCK, PREFIXES, BASE = 15, 64, range(3, 9), 0.5
 #: Blocks that a search scans before it compares bounds with the k-th best cosine.
@@ -37,29 +41,99 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def terms_of(word: str) -> list[str]:
-    """The word, and its beginnings (marked by a star)."""
-    return [word, *(word[:n] + "*" for n in PREFIXES if n < len(word))]
-
-
-class _Terms:
-    """Term ids of words, remembered."""
-
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.known = vocabulary, {}
-
-    def counts(self, text: str) -> Counter:
-        out: Counter = Counter()
+    """The word, and its beginnings (marked by a star), the longest first."""
+    return [word, *(word[:n] + "*" for n in reversed(PREFIXES) if n < len(word))]
+
+
+class Tree:
+    """The next shorter term of each term (-1 for none), by their numbers."""
+
+    def __init__(self, parent: np.ndarray):
+        self.parent, self.size = parent, len(parent)
+
+    def all_terms(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """From (longest terms, counts) of each text: all its terms in ascending order and their counts."""
+        sizes = [len(t) for t, _ in texts]
+        if not sum(sizes):
+            return [(np.empty(0, np.int32), np.empty(0, np.int32))] * len(texts)
+        text = np.repeat(np.arange(len(texts)), sizes)
+        term, count = (np.concatenate([x[i] for x in texts]).astype(np.int64) for i in (0, 1))
+        keys, counts = [], []
+        while len(term):
+            keys.append(text * self.size + term)
+            counts.append(count)
+            term = self.parent[term]
+            on = term >= 0
+            text, term, count = text[on], term[on].astype(np.int64), count[on]
+        key, count = np.concatenate(keys), np.concatenate(counts)
+        if len(key) < 1 << 24 and len(texts) * self.size < 1 << 39:  # sorting values is faster than sorting places by them
+            key = np.sort(key << 24 | np.arange(len(key)))
+            key, count = key >> 24, count[key & 0xFFFFFF]
+        else:
+            order = np.argsort(key)
+            key, count = key[order], count[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        key, count = key[first], np.add.reduceat(count, first)
+        ends = np.searchsorted(key, np.arange(1, len(texts)) * self.size)
+        return list(zip(np.split((key % self.size).astype(np.int32), ends), np.split(count.astype(np.int32), ends)))
+
+
+class Lexicon:
+    """Numbers of terms, which are their places in the list given, and the next shorter term of each (-1 for none)."""
+
+    def __init__(self, terms: list[str]):
+        self.terms = terms
+        self._tables()
+        shorter = [terms_of(t) if t[-1] != "*" else [t, t[:-2] + "*"] for t in terms]
+        self.tree = Tree(np.fromiter((next((self.beginnings[c[:-1]] for c in own[1:] if c[:-1] in self.beginnings), -1) for own in shorter), np.int32, len(terms)))
+
+    def _tables(self) -> None:
+        self.words = {t: i for i, t in enumerate(self.terms) if t[-1] != "*"}
+        self.beginnings = {t[:-1]: i for i, t in enumerate(self.terms) if t[-1] == "*"}
+
+    def __getstate__(self) -> str:
+        return "\n".join(self.terms)
+
+    def __setstate__(self, state: str) -> None:  # only the tables, which texts need
+        self.terms = state.split("\n") if state else []
+        self._tables()
+        del self.terms
+
+    def longest(self, word: str) -> int:
+        """The number of the longest term that the word is or begins with, or -1."""
+        found = self.words.get(word)
+        if found is not None:
+            return found
+        for n in range(min(PREFIXES[-1], len(word) - 1), PREFIXES[0] - 1, -1):
+            found = self.beginnings.get(word[:n])
+            if found is not None:
+                return found
+        return -1
+
+
+class _Words:
+    """Longest terms of words, remembered."""
+
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon, self.known = lexicon, {}
+
+    def counts(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+        """For each text its longest terms in ascending order, and how often each occurs."""
+        found = [_WORD.findall(t.lower()) for t in texts]
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > REMEMBER:
             known.clear()
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            ids = known.get(word)
-            if ids is None:
-                ids = tuple(self.vocabulary[t] for t in terms_of(word) if t in self.vocabulary)
-                if len(word) <= 48:
-                    known[word] = ids
-            for t in ids:
-                out[t] += n
+        new = set().union(*found).difference(known)
+        known.update(zip(new, map(self.lexicon.longest, new)))
+        out = []
+        for words in found:
+            sums = Counter(map(known.__getitem__, words))
+            sums.pop(-1, None)
+            terms = sorted(sums)
+            out.append((terms, [sums[t] for t in terms]))
+        for w in new:
+            if len(w) > 48:
+                del known[w]
         return out
 
 
@@ -74,11 +148,11 @@ class Index:
         self.ids, self.labels, self.weights = [ids[i] for i in order], labels[order], weights[order]
         self.unit_vectors = [unit[i] for i in order]
         self.blocks = max(1, math.ceil(len(order) / BLOCK))
-        terms = np.concatenate([np.empty(0, int), *(t for t, _ in self.unit_vectors)])
+        terms = np.concatenate([np.empty(0, np.int32), *(t for t, _ in self.unit_vectors)])
         by_term = np.argsort(terms, kind="stable")
         self.starts = np.searchsorted(terms[by_term], np.arange(len(idf) + 1))
         self.at = np.repeat(np.arange(len(order), dtype=np.int32), [len(t) for t, _ in self.unit_vectors])[by_term]
-        self.values = np.concatenate([np.empty(0), *(v for _, v in self.unit_vectors)])[by_term].astype(np.float32)
+        self.values = np.concatenate([np.empty(0, np.float32), *(v for _, v in self.unit_vectors)])[by_term]
         self._spread()
 
     def _spread(self) -> None:
@@ -100,8 +174,8 @@ class Index:
         self._spread()
 
     def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        values = (1 + np.log(counts)) * self.idf[terms]
-        norm = math.sqrt(float((values * values).sum()))
+        values = ((1 + np.log(counts)) * self.idf[terms]).astype(np.float32)
+        norm = math.sqrt(float(np.square(values, dtype=float).sum()))
         return terms, values / norm if norm else values
 
     def search(self, terms: np.ndarray, values: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +190,7 @@ class Index:
             row = self.row[terms]
             often = row >= 0
             wanted[i, row[often]] = values[often]
-            starts, n = self.starts[terms[~often]], np.diff(self.starts)[terms[~often]]
+            starts, n = self.starts[terms[~often]], self.starts[terms[~often] + 1] - self.starts[terms[~often]]
             places = np.repeat(starts - n.cumsum() + n, n) + np.arange(n.sum())
             scores[i] = np.bincount(self.at[places], self.values[places] * np.repeat(values[~often], n), scores.shape[1])
         bounds = wanted @ self.bound + scores.reshape(len(queries), self.blocks, BLOCK).max(2)
@@ -206,20 +280,25 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[list[float],
 def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """A bounded sample of training rows, and the number of training rows of each label."""
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    train = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(~held_out()).join(known, "doc_id")
-    sizes = {r["y"]: r["count"] for r in train.select("y").groupBy("y").count().collect()}
+    # ids and hashes meet the labels; texts never move but those that are drawn
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(~held_out() & F.col("doc_id").isNotNull())
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    train = materialize(rows.select("doc_id", "h").join(known, "doc_id"), "labelled-rows")
+    sizes = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000))
-    drawn = None
-    for y, n in sorted(sizes.items()):
-        # a share by hash first, so that the final order covers few rows
-        part = train.where((F.col("y") == y) & (draw < int(min(1.0, 1.5 * per_class / n) * 1_000_000)))
-        part = part.orderBy(draw, "doc_id").limit(per_class)
-        drawn = part if drawn is None else drawn.unionByName(part)
-    return (drawn if drawn is not None else train.limit(0)), sizes
+    # a share by hash first, so that the final order covers few rows
+    share = F.lit(0)
+    for y, n in sizes.items():
+        share = F.when(F.col("y") == y, int(min(1.0, 1.5 * per_class / n) * 1_000_000)).otherwise(share)
+    place = F.row_number().over(Window.partitionBy("y").orderBy(draw, "doc_id", "h"))
+    drawn = train.where(draw < share).distinct().withColumn("place", place).where(F.col("place") <= per_class).drop("place")
+    # at most per_class rows of each label
+    found = rows.join(F.broadcast(drawn), ["doc_id", "h"]).groupBy("doc_id", "h", "y").agg(F.min("text").alias("text"))
+    return found.drop("h"), sizes
 
 
-def sample_terms(sample: DataFrame, drawn: dict[int, int]) -> tuple[dict[str, int], np.ndarray]:
-    """All terms of the sample with their numbers, and how far the labels single each out (its phi coefficient, 0 to 1)."""
+def sample_terms(sample: DataFrame, drawn: dict[int, int]) -> tuple[Lexicon, np.ndarray]:
+    """All terms of the sample, and how far the labels single each out (its phi coefficient, 0 to 1)."""
 
     def term_counts(batches):
         import pyarrow as pa
@@ -238,32 +317,30 @@ def sample_terms(sample: DataFrame, drawn: dict[int, int]) -> tuple[dict[str, in
     n0, n1 = drawn.get(0, 0), drawn.get(1, 0)
     n = n0 + n1
     stats = sample.select("text", F.col("y").cast("int").alias("y")).mapInArrow(term_counts, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("a"), F.sum("n1").alias("b"))
-    found = stats.toArrow()
+    found = stats.withColumn("df", F.col("a") + F.col("b")).toArrow().sort_by([("df", "descending"), ("term", "ascending")])
     a, b = (found.column(c).to_numpy().astype(float) for c in "ab")
-    names = found.column("term").to_pylist()
-    order = sorted(range(len(names)), key=lambda i: (-a[i] - b[i], names[i]))
     df = a + b
     phi = np.abs(b * n0 - a * n1) / np.sqrt(np.maximum(float(n0) * n1 * df * (n - df), 1.0))
-    return {names[i]: k for k, i in enumerate(order)}, phi[order]
+    return Lexicon(found.column("term").to_pylist()), phi
 
 
-def term_vectors(docs: DataFrame, vocabulary: dict[str, int], keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, columns of ``keep``, and the terms of each text with their counts, in the order of terms."""
+def term_vectors(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, columns of ``keep``, and the longest terms of each text with their counts, in the order of terms."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     kept = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
         import pyarrow as pa
 
-        lookup = _Terms(shared.value)
+        words = _Words(shared.value)
         for batch in slices(batches):
-            counts = [sorted(lookup.counts(t).items()) for t in as_text(batch.column("text"))]
+            counts = words.counts(as_text(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("doc_id", "held_out", *keep)),
-                    pa.array([[t for t, _ in c] for c in counts], pa.list_(pa.int32())),
-                    pa.array([[n for _, n in c] for c in counts], pa.list_(pa.int32())),
+                    pa.array([t for t, _ in counts], pa.list_(pa.int32())),
+                    pa.array([n for _, n in counts], pa.list_(pa.int32())),
                 ],
                 names=["doc_id", "held_out", *keep, "terms", "counts"],
             )
@@ -272,16 +349,18 @@ def term_vectors(docs: DataFrame, vocabulary: dict[str, int], keep: tuple[str, .
     return rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, {kept}terms array<int>, counts array<int>")
 
 
-def document_frequencies(vectors: DataFrame, terms: int) -> tuple[np.ndarray, int]:
+def document_frequencies(vectors: DataFrame, tree: Tree) -> tuple[np.ndarray, int]:
     """Documents that have each of the terms, and the number of all; a task sends one row for each ``CHUNK`` of terms."""
+    terms, shared = tree.size, vectors.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches):
         import pyarrow as pa
 
         found, total = np.zeros(terms, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             total += batch.num_rows
-            found += np.bincount(batch.column("terms").flatten().to_numpy(zero_copy_only=False), minlength=terms)
+            for own, _ in shared.value.all_terms(list(zip(arrays(batch.column("terms")), arrays(batch.column("counts"))))):
+                found[own] += 1
         parts = [found[at : at + CHUNK] for at in range(0, terms, CHUNK)] + [np.asarray([total])]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.list_(pa.int64()))], names=["part", "n"])
 
@@ -290,7 +369,7 @@ def document_frequencies(vectors: DataFrame, terms: int) -> tuple[np.ndarray, in
 
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "n": [np.sum(list(pdf["n"]), axis=0)]})
 
-    rows = vectors.select("terms").mapInArrow(run, "part int, n array<long>").groupBy("part").applyInPandas(added, "part int, n array<long>")
+    rows = vectors.select("terms", "counts").mapInArrow(run, "part int, n array<long>").groupBy("part").applyInPandas(added, "part int, n array<long>")
     counts = np.concatenate([np.empty(0, int), *(r["n"] for r in sorted(rows.collect()))])
     return (counts[:-1], int(counts[-1])) if len(counts) else (np.zeros(terms, int), 0)
 
@@ -301,41 +380,41 @@ def arrays(column) -> list[np.ndarray]:
     return np.split(flat, np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if len(column) else []
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, keep: tuple[str, ...] = ()) -> tuple[Model | None, DataFrame]:
-    """A model from labelled rows that aren't held out, and the term vectors of all rows (with columns of ``keep``), which are written once.
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, keep: tuple[str, ...] = ()) -> tuple[Model | None, DataFrame, Tree]:
+    """A model from labelled rows that aren't held out, the term vectors of all rows (with columns of ``keep``), which are written once, and the tree of their terms.
 
     Document frequencies are counted over all rows.
     """
     sample, sizes = _sample(docs, labels, per_class)
     sample = materialize(sample, "toxicity-sample")
     drawn = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    vocabulary, phi = sample_terms(sample, drawn) if drawn else ({}, np.empty(0))
-    vectors = materialize(term_vectors(docs, vocabulary, keep), "term-vectors")
+    lexicon, phi = sample_terms(sample, drawn) if drawn else (Lexicon([]), np.empty(0))
+    vectors = materialize(term_vectors(docs, lexicon, keep), "term-vectors")
     if not drawn:
-        return None, vectors
-    seen, total = document_frequencies(vectors, len(vocabulary))
+        return None, vectors, lexicon.tree
+    seen, total = document_frequencies(vectors, lexicon.tree)
     idf = 1 + np.log((1 + total) / (1 + seen))
-    examples = term_vectors(sample.withColumn("y", F.col("y").cast("int")), vocabulary, ("y",)).toArrow()
+    examples = term_vectors(sample.withColumn("y", F.col("y").cast("int")), lexicon, ("y",)).toArrow()
     ids = examples.column("doc_id").to_pylist()
-    terms, counts = (arrays(examples.column(c).combine_chunks()) for c in ("terms", "counts"))
+    terms, counts = zip(*lexicon.tree.all_terms(list(zip(*(arrays(examples.column(c).combine_chunks()) for c in ("terms", "counts"))))))
     order = sorted(range(len(ids)), key=lambda i: str(ids[i]))
     y = examples.column("y").to_numpy().astype(float)[order]
     weights = np.asarray([sizes[int(v)] / drawn[int(v)] for v in y])
-    return Model(Index(idf * phi, [(terms[i], counts[i]) for i in order], [ids[i] for i in order], y, weights)), vectors
+    return Model(Index(idf * phi, [(terms[i], counts[i]) for i in order], [ids[i] for i in order], y, weights)), vectors, lexicon.tree
 
 
-def score(vectors: DataFrame, model: Model | None, evidence: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+def score(vectors: DataFrame, model: Model | None, tree: Tree, evidence: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (ids, labels and cosines of the nearest examples) for each row of term vectors."""
     id_type = vectors.schema["doc_id"].dataType.simpleString()
     kind = f"array<struct<doc_id: {id_type}, label: int, cosine: double>>"
     if model is None:
         return vectors.select("doc_id", "held_out", *keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.array().cast(kind).alias("evidence"))
-    shared = vectors.sparkSession.sparkContext.broadcast(model)
+    shared = vectors.sparkSession.sparkContext.broadcast((model, tree))
 
     def run(batches):
         import pyarrow as pa
 
-        m: Model = shared.value
+        m, tree = shared.value
         known: dict = {}
         for batch in slices(batches):
             ids = batch.column("doc_id")
@@ -344,7 +423,7 @@ def score(vectors: DataFrame, model: Model | None, evidence: int = 3, keep: tupl
             if len(known) > 5_000:
                 known.clear()
             new = {k: t for k, t in zip(keys, texts) if k not in known}
-            for key, (s, places, cosines) in zip(new, m.score(list(new.values()))):
+            for key, (s, places, cosines) in zip(new, m.score(tree.all_terms(list(new.values())))):
                 near = zip(places[:evidence].tolist(), cosines.tolist())
                 known[key] = s, [{"doc_id": m.index.ids[p], "label": int(m.index.labels[p]), "cosine": float(c)} for p, c in near]
             scores, seen = [known[k][0] for k in keys], [known[k][1] for k in keys]
@@ -361,5 +440,5 @@ def score(vectors: DataFrame, model: Model | None, evidence: int = 3, keep: tupl
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
     """Fit on the labelled rows and score every row; columns of ``keep`` are kept."""
-    model, vectors = fit(docs, labels, keep=keep, **options)
-    return score(vectors, model, keep=keep)
+    model, vectors, tree = fit(docs, labels, keep=keep, **options)
+    return score(vectors, model, tree, keep=keep)
