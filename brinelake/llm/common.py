@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where lineage is cut if the session names no spark.checkpoint.dir (local runs and tests).
-LOCAL_SHARED = "/tmp/brinelake-shared"
+from ..sources.staging import stored as materialize  # noqa: F401  cuts lineage with a copy that survives lost executors
+from ..sources.staging import shared_path  # noqa: F401
+
 #: Rows of an Arrow batch that are turned into Python objects at a time.
 SLICE_ROWS = 256
 
@@ -18,22 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", LOCAL_SHARED)
-    return f"{base.rstrip('/')}/brinelake/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage with a copy that survives lost executors.
-    """
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: str = "doc_id"):
     """Rows whose labels are never learned from: crc32(doc_id as text) mod 5 is 0 (a null id is hashed as '')."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
