@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import shared_path
 from ..streaming import jobs as J
+from .decoding import BLOCKS
 from .feeds import MAPPED, mapped, table
 from .registry import query
 from .stateful import LIMITED
@@ -104,6 +105,43 @@ def u04_absence(spark, d):
     return out.select("connector", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
 
 
+def by_time(spark, d):
+    """The rows in three batches, each later than the one before."""
+    low, high = mapped(spark, d).agg(F.min("time"), F.max("time")).first()
+    one, two = low + (high - low) / 3, low + 2 * (high - low) / 3
+    t = F.col("time")
+    return in_files(spark, d, t < F.lit(one), (t >= F.lit(one)) & (t < F.lit(two)), t >= F.lit(two))
+
+
+@query("t06_streaming_blocks", f"{BLOCKS} SELECT p.context, p.path, s.block, CAST(n % 4 AS INT) AS place, value, us / 1e6 AS duration FROM p JOIN s ON p.context = s.context AND p.path = s.path AND n // 4 = s.block")
+def t06_blocks(spark, d):
+    kind = "context string, path string, block bigint, place int, value double, duration double"
+    return finished(J.run_machine(by_time(spark, d), ["context", "path"], J.SampleBlocks(4), kind))
+
+
+@query(
+    "t03_streaming_average",
+    f"""WITH {MAPPED} SELECT seq, round(avg(value) OVER (PARTITION BY context, path ORDER BY time RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW), 6) AS average FROM mapped""",
+)
+def t03_average(spark, d):
+    out = finished(J.run_machine(by_time(spark, d), ["context", "path"], J.MovingAverage(86400), "seq bigint, average double"))
+    return out.select("seq", F.round("average", 6).alias("average"))
+
+
+@query(
+    "t07_streaming_batches",
+    f"""WITH {MAPPED}, m AS (SELECT *, seq % 3 AS trigger, row_number() OVER (PARTITION BY seq % 3 ORDER BY seq) - 1 AS n FROM mapped)
+    SELECT trigger, n // 101 AS batch, '[' || string_agg('{{"context":"' || context || '","path":"' || path || '"}}', ',' ORDER BY seq) || ']' AS payload FROM m GROUP BY ALL""",
+)
+def t07_batches(spark, d):
+    """Batches of a stream, flushed by count or by the trigger."""
+    at = shared_path(spark, "batches")
+    stream = in_files(spark, d, *[F.col("seq") % 3 == k for k in range(3)])
+    write = J.batch_writer(f"{at}/rows", F.to_json(F.struct("context", "path")), 100)
+    stream.writeStream.option("checkpointLocation", f"{at}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/rows").select(F.col("trigger").cast("bigint").alias("trigger"), "batch", "payload")
+
+
 @query("t09_streaming_redelivery", f"WITH {MAPPED} SELECT count(*) AS n FROM (SELECT DISTINCT time, origin, context, connector, path FROM mapped)")
 def t09(spark, d):
     return finished(J.without_redelivery(mapped_stream(spark, d))).agg(F.count("*").alias("n"))

@@ -135,6 +135,75 @@ class Absence(Silence):
         yield found
 
 
+class _Samples(StatefulProcessor):
+    """Base of machines that keep the newest samples of a key, in order of time; of equal times the last to arrive counts."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("samples", "done bigint, times array<timestamp>, values array<double>")
+
+    def close(self) -> None:
+        pass
+
+    def merged(self, rows, one_per_time: bool):
+        """The number of blocks given so far, and kept and new samples by time."""
+        import pandas as pd
+
+        done, times, values = self.state.get() if self.state.exists() else (0, [], [])
+        old = pd.DataFrame({"time": pd.to_datetime(pd.Series(list(times), dtype="object")), "seq": -1, "value": list(values)})
+        new = pd.concat([part[["time", "seq", "value"]] for part in rows])
+        out = pd.concat([old, new]) if len(old) else new
+        out = out.sort_values(["time", "seq"], kind="stable")
+        return done, out.drop_duplicates("time", keep="last") if one_per_time else out
+
+    def keep(self, done: int, samples) -> None:
+        self.state.update((int(done), [t.to_pydatetime() for t in samples["time"]], samples["value"].tolist()))
+
+
+class SampleBlocks(_Samples):
+    """Blocks of ``size`` samples of a (context, path): place, value, and seconds from the block's first sample to the next block's.
+
+    A block is given once the next one is full, so fewer than twice ``size`` samples are ever kept.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        n = self.size
+        done, samples = self.merged(rows, True)
+        out = []
+        while len(samples) >= 2 * n:
+            own, after = samples.iloc[:n], samples.iloc[n]
+            duration = (after["time"] - own["time"].iloc[0]).total_seconds()
+            out += [(*key, done, k, v, duration) for k, v in enumerate(own["value"])]
+            samples, done = samples.iloc[n:], done + 1
+        self.keep(done, samples)
+        yield pd.DataFrame(out, columns=["context", "path", "block", "place", "value", "duration"])
+
+
+class MovingAverage(_Samples):
+    """The average of a (context, path) over the ``seconds`` before each row; older samples leave the state."""
+
+    def __init__(self, seconds: float):
+        self.seconds = seconds
+
+    def handleInputRows(self, key, rows, timerValues):
+        import numpy as np
+        import pandas as pd
+
+        _, samples = self.merged(rows, False)
+        times = samples["time"].to_numpy("datetime64[us]").astype("int64")
+        sums = np.concatenate([[0.0], np.cumsum(samples["value"].to_numpy(float))])
+        first = np.searchsorted(times, times - round(self.seconds * 1e6), side="left")
+        last = np.searchsorted(times, times, side="right")
+        average = (sums[last] - sums[first]) / (last - first)
+        new = samples["seq"].to_numpy() >= 0
+        self.keep(0, samples.iloc[first[-1] :])
+        yield pd.DataFrame({"seq": samples["seq"].to_numpy()[new], "average": average[new]})
+
+
 class Combine(_Scan):
     """Derived rows (context, time, value, seq) of an expression over the last values of several paths."""
 
@@ -197,6 +266,19 @@ def upsert_batches(path: str) -> Callable[[DataFrame, int], None]:
     return merge
 
 
+def batch_writer(path: str, delta, size: int) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that writes a trigger's deltas in batches of ``size`` + 1 and what is left over: a flush by count or by the trigger's interval.
+
+    Each trigger has a folder of its own, so that delivering it again changes nothing.
+    """
+    from ..operators.export import batches
+
+    def write(batch: DataFrame, number: int) -> None:
+        batches(batch, delta, size).write.mode("overwrite").parquet(f"{path}/trigger={number}")
+
+    return write
+
+
 def latest(stream: DataFrame) -> DataFrame:
     """The newest value of each (context, path), kept up to date."""
     return stream.groupBy("context", "path").agg(F.max_by(F.struct("time", "value", "seq"), F.struct("time", "seq")).alias("r")).select("context", "path", "r.*")
