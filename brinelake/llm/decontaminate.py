@@ -3,8 +3,9 @@
 The patterns are windows of 13 consecutive words of benchmark items (an item of fewer words is
 one window).  A searcher for windows of one length looks at the block of three words at the end
 of the current window: the shift table says how far the window can move without missing an
-occurrence, a shift of zero selects the bucket of test windows with that suffix and prefix, and
-comparing all words confirms an occurrence.
+occurrence, a shift of zero selects the bucket of test windows with that suffix, which is ordered by prefix, and
+comparing all words confirms an occurrence.  Words are numbered, a block is one integer, and windows are
+places in arrays, so that a set of items takes about 30 times its text in a worker's memory.
 
 Cases: a null or empty text has no words and is never contaminated; a null item_id is ignored;
 rows of benchmark that repeat an item_id are one item; repeated rows of documents each give a row;
@@ -15,17 +16,19 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, materialize, slices
 
 WINDOW = 13
 BLOCK = 3
-#: Bytes of benchmark text that one pass over the documents holds; more items take more passes.
-PASS_BYTES = 32 << 20
+#: Bytes of benchmark text that one pass over the documents holds (about 30 times as much in each worker); more items take more passes.
+PASS_BYTES = 4 << 20
 #: A-Z to a-z; other ASCII but digits and a-z to a space; bytes from 0x80 stay.
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -38,73 +41,132 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class WuManber:
-    """Searches word lists for windows of one length."""
+    """Searches lists of word numbers for windows of one length.
 
-    def __init__(self, length: int, windows: dict[tuple, list[str]]):
-        self.length, self.block = length, min(BLOCK, length)
+    ``numbers`` are the words of all items, one after another, below ``base``; windows start at ``starts``.
+    """
+
+    def __init__(self, length: int, numbers: np.ndarray, starts: np.ndarray, items: np.ndarray, base: int):
+        self.length, self.block, self.base = length, min(BLOCK, length), base
         self.far = length - self.block + 1
-        self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, dict[tuple, list]] = {}
-        for window, items in windows.items():
-            for end in range(self.block, length + 1):
-                key = window[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, self.far), length - end)
-            tests = self.buckets.setdefault(window[-self.block :], {})
-            tests.setdefault(window[: self.block], []).append((window, items))
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, list[str]]]:
-        """(start, items) of every occurrence, in ascending order of start."""
-        length, block, far, shift = self.length, self.block, self.far, self.shift
-        end, n = length, len(words)
-        while end <= n:
-            key = tuple(words[end - block : end])
-            step = shift.get(key, far)
-            if step:
+        size = self.block
+        keys = numbers.astype(np.int64)
+        blocks = keys[: len(keys) - size + 1].copy()
+        for k in range(1, size):  # the block at each place as one integer: base is below 2^21
+            blocks = blocks * base + keys[k : len(keys) - size + 1 + k]
+        suffix, prefix = blocks[starts + length - size], blocks[starts]
+        order = np.lexsort((starts, prefix, suffix))
+        self.numbers = numbers
+        self.starts, self.items, self.prefix = starts[order], items[order], prefix[order]
+        suffix = suffix[order]
+        self.shift: dict[int, int] = {}
+        for back in range(length - size, 0, -1):  # places nearer to the end come later and hold
+            self.shift.update(dict.fromkeys(np.unique(blocks[starts + length - size - back]).tolist(), back))
+        first = np.flatnonzero(np.diff(suffix, prepend=-1))
+        self.bounds = np.append(first, len(suffix))
+        # a shift of zero stands as the number of its bucket, 0 or less
+        self.shift.update(zip(suffix[first].tolist(), range(0, -len(first), -1)))
+
+    def search(self, words: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """(start, items) of every occurrence, in ascending order of start; words that no item has are -1."""
+        length, size, far, shift, n = self.length, self.block, self.far, self.shift, len(words)
+        if n < length:
+            return
+        wide = words.astype(np.int64)
+        blocks, known = wide[: n - size + 1].copy(), wide[: n - size + 1] >= 0
+        for k in range(1, size):
+            part = wide[k : n - size + 1 + k]
+            blocks = blocks * self.base + part
+            known &= part >= 0
+        blocks[~known] = -1
+        at = blocks.tolist()
+        end, last = length - size, n - size  # where the block at the end of the window begins
+        while end <= last:
+            step = shift.get(at[end], far)
+            if step > 0:
                 end += step
                 continue
-            start = end - length
-            tests = self.buckets[key].get(tuple(words[start : start + block]))
-            if tests:
-                here = tuple(words[start:end])
-                for window, items in tests:
-                    if window == here:
-                        yield start, items
+            start = end + size - length
+            lo, hi = self.bounds[-step], self.bounds[1 - step]
+            prefix = at[start]
+            k = lo + int(np.searchsorted(self.prefix[lo:hi], prefix))
+            found, here = [], words[start : start + length]
+            while k < hi and self.prefix[k] == prefix:
+                own = self.starts[k]
+                if np.array_equal(self.numbers[own : own + length], here):
+                    found.append(int(self.items[k]))
+                k += 1
+            if found:
+                yield start, found
             end += 1
 
 
-def build(items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> list[WuManber]:
-    """One searcher for each length of window that the items have."""
-    by_length: dict[int, dict[tuple, list[str]]] = {}
-    for item_id, words in items:
-        length = min(window, len(words))
-        if length:
-            for window_words in {tuple(words[i : i + length]) for i in range(len(words) - length + 1)}:
-                by_length.setdefault(length, {}).setdefault(window_words, []).append(item_id)
-    return [WuManber(length, windows) for length, windows in sorted(by_length.items())]
-
-
-_built: dict = {}
-
-
-def _searchers(shared) -> list[WuManber]:
+class Searchers:
+    """One searcher for each length of window that the items (id, words) have."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+        items = [(i, w) for i, w in items if w]
+        self.ids = [i for i, _ in items]
+        self.number: dict[bytes, int] = {}
+        numbers = np.fromiter((self.number.setdefault(x, len(self.number)) for _, w in items for x in w), np.int32)
+        base = len(self.number)
+        if base >= 1 << 21:
+            raise ValueError("more than two million different words in one set of items; use a smaller pass_bytes")
+        sizes = np.asarray([len(w) for _, w in items], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        self.all: list[WuManber] = []
+        for length in sorted({min(window, int(n)) for n in sizes}):
+            own = np.flatnonzero(np.minimum(sizes, window) == length)
+            count = sizes[own] - length + 1
+            of = np.repeat(own, count)
+            place = np.repeat(starts[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            self.all.append(WuManber(length, numbers, place, of.astype(np.int32), base))
+
+    def search(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Spans of all occurrences, and the items that have them."""
+        spans, found = [], set()
+        if words and self.all:
+            numbers = np.fromiter((self.number.get(w, -1) for w in words), np.int32, len(words))
+            for s in self.all:
+                for start, items in s.search(numbers):
+                    spans.append((start, start + s.length))
+                    found.update(self.ids[i] for i in items)
+        return spans, found
+
+
+_built: dict[str, Searchers] = {}
+
+
+def _searchers(digest: str, items: list[tuple[str, bytes]]) -> Searchers:
     """The searchers of a broadcast set of items, built once in each worker."""
-    key = shared[0]
-    if key not in _built:
+    if digest not in _built:
         _built.clear()
-        _built[key] = build([(i, words_of(t)) for i, t in shared[1]])
-    return _built[key]
+        _built[digest] = Searchers([(i, words_of(t)) for i, t in items])
+    return _built[digest]
+
+
+def _digest(items: list[tuple[str, bytes]]) -> str:
+    """What tells sets of items apart: all ids and texts."""
+    h = hashlib.sha256()
+    for item, body in items:
+        for x in (item.encode(), body):
+            h.update(len(x).to_bytes(8, "little") + x)
+    return h.hexdigest()
 
 
-def _passes(benchmark: DataFrame, item_col: str, text_col: str, pass_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in sets of about ``pass_bytes`` at most, one after another."""
+def _passes(benchmark: DataFrame, item_col: str, text_col: str, pass_bytes: int) -> tuple[int, Callable[[int], list[tuple[str, bytes]]]]:
+    """The number of sets of about ``pass_bytes`` at most, and what gathers one of them."""
     items = benchmark.select(
         F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body")
     ).where("item is not null")
     size = items.agg(F.sum(F.length("body"))).first()[0] or 0
     n = max(1, math.ceil(size / pass_bytes))
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else items
-        yield [(r.item, bytes(r.body)) for r in part.collect()]
+
+    def gather(k: int) -> list[tuple[str, bytes]]:
+        part = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(n)) == k) if n > 1 else items
+        return sorted((r.item, bytes(r.body)) for r in part.collect())
+
+    return n, gather
 
 
 def find_contamination(
@@ -118,53 +180,55 @@ def find_contamination(
 ) -> DataFrame:
     """For each document row: id, n_words, hit spans (word positions, merged), items found (sorted).
 
-    The documents are read once and never shuffled.  Items are broadcast in sets whose size is
-    checked; each set is one more step over the same rows, and spans of all steps are merged.
+    Items are broadcast in sets whose size is checked.  With one set the documents are read once and never shuffled.
+    More sets take one pass each over a copy of the rows, so that a worker and the driver hold one set at a time; only what
+    they find is kept, and gathered by row at the end.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, body string, n_words long, spans array<int>, items array<string>"
-    out = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(text_col).cast("string").alias("body"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast("array<int>").alias("spans"),
-        F.array().cast("array<string>").alias("items"),
-    )
-    sc = docs.sparkSession.sparkContext
-    for items in _passes(benchmark, item_col, item_text_col, pass_bytes):
-        shared = sc.broadcast((hash((len(items), *items[:50])), items))
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("body"))
+    n, gather = _passes(benchmark, item_col, item_text_col, pass_bytes)
 
-        def step(batches, shared=shared):
+    def search(rows: DataFrame, items: list[tuple[str, bytes]], keep: list[str], only_hits: bool) -> tuple[DataFrame, Broadcast]:
+        shared = spark.sparkContext.broadcast((_digest(items), items))
+        kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+
+        def run(batches):
             import pyarrow as pa
 
-            searchers = _searchers(shared.value)
+            searchers = _searchers(*shared.value)
             for batch in slices(batches):
                 counts, spans, found = [], [], []
-                for body, old_spans, old_items in zip(
-                    as_bytes(batch.column("body")), batch.column("spans").to_pylist(), batch.column("items").to_pylist()
-                ):
+                for body in as_bytes(batch.column("body")):
                     words = words_of(body)
-                    hits, names = list(zip(old_spans[::2], old_spans[1::2])), set(old_items)
-                    for s in searchers:
-                        for start, items_here in s.search(words):
-                            hits.append((start, start + s.length))
-                            names.update(items_here)
+                    hits, names = searchers.search(words)
                     counts.append(len(words))
                     spans.append(merge_spans(hits))
                     found.append(sorted(names))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id"),
-                        batch.column("body"),
-                        pa.array(counts, pa.int64()),
-                        pa.array(spans, pa.list_(pa.int32())),
-                        pa.array(found, pa.list_(pa.string())),
-                    ],
-                    names=["id", "body", "n_words", "spans", "items"],
+                out = pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in keep), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))],
+                    names=[*keep, "n_words", "spans", "items"],
                 )
+                yield out.filter(pa.array([bool(x) for x in found])) if only_hits else out
+
+        return rows.mapInArrow(run, f"{kinds}, n_words long, spans array<int>, items array<string>"), shared
 
-        out = out.mapInArrow(step, schema)
-    return out.select(F.col("id").alias(id_col), F.col("body").alias(text_col), "n_words", "spans", "items")
+    if n == 1:
+        out = search(rows, gather(0), ["id", "body"], False)[0]
+        return out.select(F.col("id").alias(id_col), F.col("body").alias(text_col), "n_words", "spans", "items")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "documents")
+    found = None
+    for k in range(n):
+        part, shared = search(rows, gather(k), ["row"], k > 0)
+        part = materialize(part, "occurrences")
+        shared.destroy()
+        found = part if found is None else found.unionByName(part)
+    sums = found.groupBy("row").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
+    merged = F.pandas_udf(lambda c: c.map(lambda x: merge_spans(list(zip(x[::2], x[1::2])))), "array<int>")
+    out = rows.join(sums, "row")
+    return out.select(F.col("id").alias(id_col), F.col("body").alias(text_col), "n_words", merged("spans").alias("spans"), "items")
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[int]:
