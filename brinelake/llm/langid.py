@@ -1,6 +1,7 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-A sequence is one word of the text between two spaces, in pieces of ``MAX_BYTES`` at most.  The network
+A sequence is one word of the text with the spaces around it, in pieces of ``MAX_BYTES`` at most that are cut between
+characters; the recurrence doesn't cross from word to word, so that a word is labelled once.  The network
 reads its bytes in both directions and labels every position; a document's probabilities are the pooled
 (geometric mean) probabilities of all positions of all its words.  Training is backpropagation through
 time with Adam, in numpy on the driver, over a bounded sample: ``DOCS_PER_LANG`` documents of each language,
@@ -14,7 +15,7 @@ ones, aren't learned from; if nothing can be learned everything is ``und``.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, as_text, held_out, slices
@@ -29,10 +30,14 @@ def sequences(words: list[bytes]) -> tuple[list[bytes], list[int]]:
     """Sequences of words, and the word each belongs to."""
     out, of = [], []
     for k, w in enumerate(words):
-        w = b" " + w + b" "
-        for at in range(0, len(w), MAX_BYTES):
-            out.append(w[at : at + MAX_BYTES])
+        w, at = b" " + w + b" ", 0
+        while at < len(w):
+            end = at + MAX_BYTES
+            while at + 4 < end < len(w) and w[end] & 0xC0 == 0x80:  # not inside a character
+                end -= 1
+            out.append(w[at:end])
             of.append(k)
+            at = end
     return out, of
 
 
@@ -200,7 +205,7 @@ class Labeller:
 def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_doc: int = WORDS_PER_DOC, steps: int = STEPS) -> Network | None:
     """Train on a bounded sample of the rows that have lang and aren't held out."""
     train = docs.where("lang is not null and text is not null").where(~held_out())
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in train.groupBy(F.col("lang").cast("string").alias("lang")).count().collect()}
     if not sizes:
         return None
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000))
@@ -214,18 +219,20 @@ def fit(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, words_per_doc: int
                 words = text.split()
                 step = max(1, len(words) / words_per_doc)
                 rows.append([words[int(i * step)] for i in range(min(len(words), words_per_doc))])
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(rows, pa.list_(pa.binary()))], names=["lang", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), pa.array(rows, pa.list_(pa.binary()))], names=["lang", "place", "words"])
 
     langs = sorted(sizes)
+    share = F.lit(0)  # by hash first, so that the final order covers few rows
+    for lang, n in sizes.items():
+        share = F.when(F.col("lang") == lang, int(min(1.0, 1.5 * docs_per_lang / n) * 1_000_000)).otherwise(share)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", F.xxhash64("text")))
+    drawn = train.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(draw < share)
+    drawn = drawn.withColumn("place", place).where(F.col("place") <= docs_per_lang)
     words: list[bytes] = []
     y: list[int] = []
-    for k, lang in enumerate(langs):
-        share = int(min(1.0, 1.5 * docs_per_lang / sizes[lang]) * 1_000_000)
-        part = train.where((F.col("lang") == lang) & (draw < share)).orderBy(draw, "doc_id").limit(docs_per_lang)
-        part = part.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-        for row in part.mapInArrow(words_of, "lang string, words array<binary>").collect():
-            words += [bytes(w) for w in row["words"]]
-            y += [k] * len(row["words"])
+    for row in sorted(drawn.select("lang", "place", "text").mapInArrow(words_of, "lang string, place int, words array<binary>").collect()):
+        words += [bytes(w) for w in row["words"]]
+        y += [langs.index(row["lang"])] * len(row["words"])
     if not words:
         return None
     network = Network(langs)
