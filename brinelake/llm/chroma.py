@@ -8,7 +8,8 @@ sixteen of them make one packed 32-bit integer for each frame.
 Two recordings are aligned by the histogram of frame offsets at which their integers agree; the best offset is
 confirmed by the bit error rate of all frames that overlap there.  Query integers meet the catalogue's in one
 equi-join, and offsets are counted by aggregation, so no recording is compared with all others; recordings
-with the same integers are aligned once for all of them.
+with the same integers are aligned once for all of them.  All places of an integer count.  Places in a row are one run: what two
+runs add to the histogram rises, stays and falls in straight lines, so that four changes of slope stand for all of their places.
 
 Cases: null or too short recordings have no integers and no alignment; a silent frame has equal classes; rows
 that repeat an id and its samples count once when aligned; equal histogram peaks take the least offset.
@@ -17,7 +18,7 @@ that repeat an id and its samples count once when aligned; equal histogram peaks
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
@@ -29,8 +30,10 @@ FILTERS = tuple((shape, y, h, w) for shape, h, w in ((0, 3, 8), (1, 4, 4), (2, 4
 LEVELS = (-0.25, 0.0, 0.25)
 WIDTH = max(w for *_, w in FILTERS)
 GRAY = (0, 1, 3, 2)
-#: Least integers that agree at the best offset, and the greatest share of wrong bits, of an alignment.
+#: Least places that agree at the best offset, and the greatest share of wrong bits, of an alignment.
 LEAST_AGREE, BIT_ERRORS = 4, 0.35
+#: Parts that the runs of one integer are dealt to; every searching run goes to all of them.
+PARTS = 8
 
 
 def pitch_classes(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
@@ -97,6 +100,15 @@ def fingerprints(recordings: DataFrame, id_col: str, samples_col: str, rate: int
     return rows.mapInArrow(run, f"id {id_type}, prints array<long>").withColumnRenamed("id", id_col)
 
 
+def _runs(prints):
+    """(p, at, n): each integer, its first place and how often it stands in a row."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(prints) - 1), lambda i: (i == 0) | (F.get(prints, i) != F.get(prints, i - 1)))
+    run = lambda s: F.transform(
+        s, lambda at, k: F.struct(F.get(prints, at).alias("p"), at.alias("at"), (F.coalesce(F.get(s, k + 1), F.size(prints)) - at).alias("n"))
+    )
+    return F.flatten(F.transform(F.array(starts), run))
+
+
 def align(prints: DataFrame, is_query, id_col: str, least: int = LEAST_AGREE, errors: float = BIT_ERRORS) -> DataFrame:
     """query, match_class, n_members, offset, n_agree, bit_error: each query row with each class of recordings that it aligns with.
 
@@ -109,17 +121,21 @@ def align(prints: DataFrame, is_query, id_col: str, least: int = LEAST_AGREE, er
         F.min("id").alias("name"), F.count_distinct("id").alias("n_members"), F.max(is_query).alias("asked"), F.first("prints").alias("prints")
     )
     classes = materialize(classes, "classes")
-    # an integer that a recording holds often, as in a steady tone, counts once: at its first place
-    places = classes.select("name", "asked", F.posexplode("prints").alias("at", "p")).groupBy("name", "asked", "p").agg(F.min("at").alias("at"))
-    met = (
-        places.where("asked")
-        .select(F.col("name").alias("q"), "p", F.col("at").alias("q_at"))
-        .join(places.select(F.col("name").alias("m"), "p", "at"), "p")
-        .where("q <> m")
-    )
-    offsets = met.groupBy("q", "m", (F.col("at") - F.col("q_at")).alias("offset")).count().where(F.col("count") >= least)
-    best = offsets.groupBy("q", "m").agg(F.max(F.struct(F.col("count").alias("n"), (-F.col("offset")).alias("o"))).alias("b"))
-    best = best.select("q", "m", (-F.col("b.o")).alias("offset"), F.col("b.n").alias("n_agree"))
+    part = lambda row: F.pmod(F.xxhash64(row), F.lit(PARTS))  # noqa: E731  a common integer's runs are dealt to several tasks
+    runs = classes.select("name", "asked", F.explode(_runs(F.col("prints"))).alias("r")).select("name", "asked", "r.*")
+    asked = runs.where("asked").select(F.col("name").alias("q"), "p", F.col("at").alias("q_at"), F.col("n").alias("q_n"))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>")))
+    met = asked.join(runs.select(F.col("name").alias("m"), "p", "at", "n", part("name").alias("part")), ["p", "part"]).where("q <> m")
+    first = F.col("at") - F.col("q_at") - F.col("q_n") + 1  # the least offset at which the two runs meet
+    changes = [(first, 1), (first + F.col("q_n"), -1), (first + F.col("n"), -1), (first + F.col("q_n") + F.col("n"), 1)]
+    change = F.explode(F.array(*[F.struct(o.cast("long").alias("offset"), F.lit(c).cast("long").alias("change")) for o, c in changes])).alias("c")
+    slopes = met.select("q", "m", change).groupBy("q", "m", "c.offset").agg(F.sum("c.change").alias("change")).where("change <> 0")
+    w = Window.partitionBy("q", "m").orderBy("offset")
+    slopes = slopes.withColumn("slope", F.sum("change").over(w)).withColumn("next", F.lead("offset").over(w))
+    # the count at the last offset that has this slope
+    peaks = slopes.withColumn("n", F.sum(F.col("slope") * (F.col("next") - F.col("offset"))).over(w)).where((F.col("slope") > 0) & (F.col("n") >= least))
+    best = peaks.groupBy("q", "m").agg(F.max(F.struct("n", (1 - F.col("next")).alias("o"))).alias("b"))
+    best = best.select("q", "m", (-F.col("b.o")).cast("int").alias("offset"), F.col("b.n").alias("n_agree"))
     pair = best.join(classes.select(F.col("name").alias("q"), F.col("prints").alias("qp")), "q").join(
         classes.select(F.col("name").alias("m"), F.col("prints").alias("mp"), "n_members"), "m"
     )
@@ -132,7 +148,7 @@ def align(prints: DataFrame, is_query, id_col: str, least: int = LEAST_AGREE, er
     )
     found = pair.select("q", F.col("m").alias("match_class"), "n_members", "offset", F.col("n_agree").cast("long").alias("n_agree"), (wrong / (32.0 * n)).alias("bit_error"))
     same = classes.where("asked and n_members > 1").select(
-        F.col("name").alias("q"), F.col("name").alias("match_class"), "n_members", F.lit(0).alias("offset"), F.size(F.array_distinct("prints")).cast("long").alias("n_agree"), F.lit(0.0).alias("bit_error")
+        F.col("name").alias("q"), F.col("name").alias("match_class"), "n_members", F.lit(0).alias("offset"), F.size("prints").cast("long").alias("n_agree"), F.lit(0.0).alias("bit_error")
     )
     found = found.where(F.col("bit_error") <= errors).unionByName(same)
     queries = rows.where(is_query).select(F.col("id").alias("query"), "key").join(classes.select("key", F.col("name").alias("q")), "key")
