@@ -29,6 +29,8 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Rows of a tile; least number of groups; most distinct fingerprints of a group.
 TILE, GROUPS, GROUP_ROWS = 1024, 16, 1_000_000
 _CHUNK = 1 << 16
+#: A fingerprint of over one in so many rows is a heavy one; there can't be more of them than that.
+HEAVY = 1000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -184,7 +186,7 @@ def link_forest(fps: DataFrame, radius: int = RADIUS, groups: int = GROUPS, grou
     dealt = (
         cell.join(F.broadcast(cell_rows), ["p", "q"])
         .select("fp", (F.col("g") + F.pmod(F.xxhash64("fp"), F.col("k").cast("long"))).cast("int").alias("g"))
-        .join(F.broadcast(part_rows), "g")
+        .join(part_rows, "g")  # Spark knows the size of this list, and broadcasts it only if it is small
         .select("pair", "side", "own", "fp")
     )
 
@@ -209,13 +211,16 @@ def near_duplicates(
 ) -> DataFrame:
     """id, fingerprint (16 lowercase hex digits), component_id for each row."""
     prints = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    least = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
+    least = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "distinct-fingerprints")
     edges = materialize(link_forest(least.select("fp"), radius, groups), "links")
     roots = connected_components(edges)
     named = least.join(roots.withColumnRenamed("node", "fp"), "fp")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = named.join(smallest, "root").select("fp", "component_id")
-    of_fp = least.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(of_fp, "fp").select(
-        id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    of_fp = materialize(least.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id")), "components")
+    # a heavy fingerprint's rows stay where they are: at most HEAVY rows are broadcast
+    total = of_fp.agg(F.sum("n")).first()[0] or 0
+    heavy = of_fp.where(F.col("n") * HEAVY > total).drop("n")
+    rest = prints.join(F.broadcast(heavy.select("fp")), "fp", "left_anti").join(of_fp.drop("n"), "fp")
+    out = prints.join(F.broadcast(heavy), "fp").select(*rest.columns).unionByName(rest)
+    return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
