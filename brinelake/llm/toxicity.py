@@ -242,6 +242,7 @@ class Model:
             ]
         )
         self.knots, self.values = isotonic(votes, y[own], w[own])
+        index.unit_vectors = []  # only fitting needs them
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         near = self.index.weights[places] / (1.05 - cosines)
@@ -397,10 +398,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, keep: tu
     examples = term_vectors(sample.withColumn("y", F.col("y").cast("int")), lexicon, ("y",)).toArrow()
     ids = examples.column("doc_id").to_pylist()
     terms, counts = zip(*lexicon.tree.all_terms(list(zip(*(arrays(examples.column(c).combine_chunks()) for c in ("terms", "counts"))))))
+    tree = lexicon.tree
+    del lexicon
     order = sorted(range(len(ids)), key=lambda i: str(ids[i]))
     y = examples.column("y").to_numpy().astype(float)[order]
     weights = np.asarray([sizes[int(v)] / drawn[int(v)] for v in y])
-    return Model(Index(idf * phi, [(terms[i], counts[i]) for i in order], [ids[i] for i in order], y, weights)), vectors, lexicon.tree
+    return Model(Index(idf * phi, [(terms[i], counts[i]) for i in order], [ids[i] for i in order], y, weights)), vectors, tree
 
 
 def score(vectors: DataFrame, model: Model | None, tree: Tree, evidence: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
