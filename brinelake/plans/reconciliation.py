@@ -17,7 +17,7 @@ SITES = f"""WITH {MAPPED},
     FROM local l RIGHT JOIN remote r ON l.start = r.start AND l.origin = r.origin
     WHERE r.start BETWEEN (SELECT min(start) FROM local) AND (SELECT max(start) FROM local)),
   incomplete AS (SELECT * FROM both_sites WHERE local_count < remote_count * 0.99),
-  newest AS (SELECT * FROM incomplete QUALIFY row_number() OVER (PARTITION BY origin ORDER BY start DESC) <= 21)"""
+  newest AS (SELECT * FROM incomplete QUALIFY row_number() OVER (PARTITION BY origin ORDER BY start DESC) <= 501)"""
 PER_UUID = f"""{SITES},
   have AS (SELECT p.origin, p.start, m.uuid, count(*) AS count FROM newest p JOIN mapped m ON m.origin = p.origin
     AND m.time BETWEEN p.start AND p.start + INTERVAL 5 MINUTE WHERE m.seq % 10 <> 0 GROUP BY ALL),
