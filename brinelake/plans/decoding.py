@@ -155,6 +155,26 @@ def a12(spark, d):
     return s.select("context", "path", "block", F.round(F.element_at("coefficients", 1)["magnitude"], 6).alias("magnitude"))
 
 
+@query(
+    "a12_spectrum_bins",
+    f"""WITH RECURSIVE {MAPPED}, o AS (SELECT origin, time, arg_max(value, seq) AS value FROM mapped GROUP BY ALL),
+    p AS (SELECT *, row_number() OVER w - 1 AS n, lead(time, 64) OVER w AS t, lead(time, 127) OVER w AS r FROM o WINDOW w AS (PARTITION BY origin ORDER BY time)),
+    s AS (SELECT origin, n // 64 AS block, (epoch_us(t) - epoch_us(time)) / 1e6 AS duration FROM p WHERE n % 64 = 0 AND r IS NOT NULL),
+    f AS (SELECT p.origin, s.block, duration, k, sum(value * cos(2 * pi() * k * (n % 64) / 64)) AS re, -sum(value * sin(2 * pi() * k * (n % 64) / 64)) AS im
+      FROM p JOIN s ON p.origin = s.origin AND n // 64 = s.block, range(33) t(k) GROUP BY ALL),
+    b AS (SELECT origin, block, k, re, im, 0 AS bin, k / duration > 1e-5 AS closed FROM f WHERE k = 0
+      UNION ALL SELECT f.origin, f.block, f.k, f.re + CASE WHEN closed THEN 0 ELSE b.re END, f.im + CASE WHEN closed THEN 0 ELSE b.im END,
+        b.bin + CAST(closed AS INT), f.k / f.duration > (b.bin + CAST(closed AS INT)) * 2e-5 + 1e-5
+      FROM b JOIN f ON f.origin = b.origin AND f.block = b.block AND f.k = b.k + 1)
+    SELECT origin, CAST(block AS BIGINT) AS block, bin, round(2 * sqrt(re * re + im * im) / 64, 6) AS magnitude, round(2 * re / 64, 6) AS cosine FROM b WHERE closed""",
+)
+def a12_bins(spark, d):
+    """Blocks of 64 samples, with a step of about three coefficients to a bin."""
+    rows = mapped(spark, d).withColumn("context", F.col("origin")).withColumn("path", F.lit("all"))
+    s = P.spectra(rows, 64, 2e-5).select(F.col("context").alias("origin"), "block", F.posexplode("coefficients").alias("bin", "c"))
+    return s.select("origin", "block", "bin", F.round("c.magnitude", 6).alias("magnitude"), F.round(F.col("c.magnitude") * F.cos("c.phase"), 6).alias("cosine"))
+
+
 LEG_ROWS = """r AS (SELECT context, seq, time, value AS speed, value > 20 AS moving FROM mapped WHERE path = 'click'),
   c AS (SELECT *, lag(moving) OVER w AS b, lag(speed) OVER w AS s, lag(time) OVER w AS t FROM r WINDOW w AS (PARTITION BY context ORDER BY time, seq)),
   g AS (SELECT *, sum(CASE WHEN moving <> b THEN 1 ELSE 0 END) OVER (PARTITION BY context ORDER BY time, seq) AS leg FROM c),
