@@ -113,6 +113,33 @@ def by_time(spark, d):
     return in_files(spark, d, t < F.lit(one), (t >= F.lit(one)) & (t < F.lit(two)), t >= F.lit(two))
 
 
+@query(
+    "t05_streaming_life",
+    f"""WITH RECURSIVE {MAPPED}, z AS (SELECT epoch_us(min(time)) AS low, epoch_us(max(time)) - epoch_us(min(time)) AS span FROM mapped),
+    v AS (SELECT * REPLACE (CAST(floor(value / 40) AS BIGINT) AS value), CASE WHEN epoch_us(time) < low + span // 3 THEN 0 WHEN epoch_us(time) < low + 2 * span // 3 THEN 1 ELSE 2 END AS part FROM mapped, z),
+    old AS (SELECT context, path, max(time) AS t, arg_max(value, struct_pack(a := time, b := seq)) AS x FROM v WHERE part = 0 GROUP BY ALL),
+    m AS (SELECT *, row_number() OVER (PARTITION BY context, path ORDER BY part, seq) AS n FROM v WHERE part > 0),
+    scan AS (SELECT m.context, m.path, 0 AS n, CAST(NULL AS BIGINT) AS seq, t, x, false AS kept FROM m LEFT JOIN old ON m.context = old.context AND m.path = old.path WHERE n = 1
+      UNION ALL SELECT m.context, m.path, m.n, m.seq, CASE WHEN c.x IS NULL OR m.value <> c.x OR m.time > c.t + INTERVAL 36 HOUR THEN m.time ELSE c.t END,
+        CASE WHEN c.x IS NULL OR m.value <> c.x OR m.time > c.t + INTERVAL 36 HOUR THEN m.value ELSE c.x END, c.x IS NULL OR m.value <> c.x OR m.time > c.t + INTERVAL 36 HOUR
+      FROM scan c JOIN m ON m.context = c.context AND m.path = c.path AND m.n = c.n + 1)
+    SELECT seq, context, path FROM scan WHERE kept""",
+)
+def t05_life(spark, d):
+    """New values over what was stored before the stream began; a stored value that is 36 hours old counts no more."""
+    from datetime import timedelta
+
+    low, high = mapped(spark, d).agg(F.min("time"), F.max("time")).first()
+    span = (high - low) // timedelta(microseconds=1)
+    one, two = (low + timedelta(microseconds=k * span // 3) for k in (1, 2))
+    whole = F.floor(F.col("value") / 40).cast("long")
+    stored = mapped(spark, d).where(F.col("time") < F.lit(one)).groupBy("context", "path").agg(F.max_by(F.struct("time", "value"), F.struct("time", "seq")).alias("r"))
+    seed = stored.select("context", "path", F.col("r.time").cast("timestamp").alias("time"), F.col("r.value").alias("value")).withColumn("value", whole)
+    t = F.col("time")
+    stream = in_files(spark, d, (t >= F.lit(one)) & (t < F.lit(two)), t >= F.lit(two)).withColumn("value", whole).withWatermark("time", "0 seconds")
+    return finished(J.run_machine(stream, ["context", "path"], J.NewValues(36 * 3600), None, "EventTime", seed)).select("seq", "context", "path")
+
+
 @query("t06_streaming_blocks", f"{BLOCKS} SELECT p.context, p.path, s.block, CAST(n % 4 AS INT) AS place, value, us / 1e6 AS duration FROM p JOIN s ON p.context = s.context AND p.path = s.path AND n // 4 = s.block")
 def t06_blocks(spark, d):
     kind = "context string, path string, block bigint, place int, value double, duration double"

@@ -135,6 +135,50 @@ class Absence(Silence):
         yield found
 
 
+class NewValues(_Scan):
+    """Rows whose value isn't the stored one of the key, or whose stored one is older than its life (seconds of event time).
+
+    The state can be seeded from stored rows (time and value), and a timer removes what has outlived its life.
+    """
+
+    STATE = "time timestamp, value string"
+
+    def __init__(self, seconds: float):
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def keep(self, state, row):
+        from datetime import timedelta
+
+        if state is not None and str(row.value) == state[1] and row.time <= state[0] + timedelta(seconds=self.seconds):
+            return False, state
+        return True, (row.time, str(row.value))
+
+    def _renew(self) -> None:
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if self.state.exists():
+            self.handle.registerTimer(int((self.state.get()[0].timestamp() + self.seconds) * 1000) + 1)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = initialState.sort_values("time").iloc[-1]
+        self.state.update((row["time"].to_pydatetime(), str(row["value"])))
+        self._renew()
+
+    def handleInputRows(self, key, rows, timerValues):
+        yield from super().handleInputRows(key, rows, timerValues)
+        self._renew()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        self.state.clear()
+        yield pd.DataFrame()
+
+
 class _Samples(StatefulProcessor):
     """Base of machines that keep the newest samples of a key, in order of time; of equal times the last to arrive counts."""
 
@@ -232,12 +276,13 @@ class Combine(_Scan):
         yield pd.DataFrame(out, columns=["context", "time", "value", "seq"])
 
 
-def run_machine(stream: DataFrame, keys: list[str], machine: StatefulProcessor, schema=None, time_mode: str = "None") -> DataFrame:
+def run_machine(stream: DataFrame, keys: list[str], machine: StatefulProcessor, schema=None, time_mode: str = "None", seed: DataFrame | None = None) -> DataFrame:
     """The rows a state machine gives; the same rows as the input's unless ``schema`` says otherwise.
 
-    ``time_mode`` is EventTime for machines with timers, whose stream needs a watermark.
+    ``time_mode`` is EventTime for machines with timers, whose stream needs a watermark.  ``seed`` has stored rows to begin with.
     """
-    return stream.groupBy(*keys).transformWithStateInPandas(machine, schema or stream.schema, "Append", time_mode)
+    first = None if seed is None else seed.groupBy(*keys)
+    return stream.groupBy(*keys).transformWithStateInPandas(machine, schema or stream.schema, "Append", time_mode, first)
 
 
 def upsert_batches(path: str) -> Callable[[DataFrame, int], None]:
