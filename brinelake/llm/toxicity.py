@@ -84,8 +84,19 @@ class Lexicon:
     def __init__(self, terms: list[str]):
         self.terms = terms
         self._tables()
-        shorter = [terms_of(t) if t[-1] != "*" else [t, t[:-2] + "*"] for t in terms]
-        self.tree = Tree(np.fromiter((next((self.beginnings[c[:-1]] for c in own[1:] if c[:-1] in self.beginnings), -1) for own in shorter), np.int32, len(terms)))
+        self.tree = Tree(np.fromiter(map(self._shorter, terms), np.int32, len(terms)))
+
+    def _shorter(self, term: str) -> int:
+        """The longest beginning of the term that is a term itself."""
+        whole = term.removesuffix("*")
+        return self._beginning(whole, len(whole) - 1)
+
+    def _beginning(self, word: str, most: int) -> int:
+        for n in range(min(PREFIXES[-1], most), PREFIXES[0] - 1, -1):
+            found = self.beginnings.get(word[:n])
+            if found is not None:
+                return found
+        return -1
 
     def _tables(self) -> None:
         self.words = {t: i for i, t in enumerate(self.terms) if t[-1] != "*"}
@@ -102,13 +113,7 @@ class Lexicon:
     def longest(self, word: str) -> int:
         """The number of the longest term that the word is or begins with, or -1."""
         found = self.words.get(word)
-        if found is not None:
-            return found
-        for n in range(min(PREFIXES[-1], len(word) - 1), PREFIXES[0] - 1, -1):
-            found = self.beginnings.get(word[:n])
-            if found is not None:
-                return found
-        return -1
+        return found if found is not None else self._beginning(word, len(word) - 1)
 
 
 class _Words:
