@@ -56,19 +56,23 @@ def register(spark: SparkSession) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
 
 
-def call(name: str, *args: Column | str) -> Column:
-    """The expression of a named function over columns, without registering anything."""
+def inlined(name: str, *args: str) -> str:
+    """The SQL text of a named function over texts of arguments."""
     import re
 
     parameters, body, kind = SQL_BODIES[name]
-    out = body
-    names = []
-    for p, a in zip((x.split(" ", 1) for x in parameters.split(", ")), args, strict=True):
-        text = a if isinstance(a, str) else a._jc.toString()
-        names.append((p[0], f"CAST(({text}) AS {p[1]})"))
-    for p, text in names:
-        out = re.sub(rf"(?<![\w'$]){p}(?![\w'(])", text.replace("\\", r"\\"), out)
-    return F.expr(f"CAST({out} AS {kind})")
+    given = {}
+    for p, text in zip((x.split(" ", 1) for x in parameters.split(", ")), args, strict=True):
+        given[p[0]] = f"CAST(({text}) AS {p[1]})"
+    # all at once, so that a parameter's name inside an argument stays
+    names = "|".join(sorted(given, key=len, reverse=True))
+    out = re.sub(rf"(?<![\w'$])({names})(?![\w'(])", lambda m: given[m[1]], body)
+    return f"CAST({out} AS {kind})"
+
+
+def call(name: str, *args: Column | str) -> Column:
+    """The expression of a named function over columns, without registering anything."""
+    return F.expr(inlined(name, *[a if isinstance(a, str) else a._jc.toString() for a in args]))
 
 
 def current_to_ratio(x: Column) -> Column:

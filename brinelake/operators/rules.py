@@ -7,6 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from .guarded import guarded
 
 
 @dataclass
@@ -21,7 +24,7 @@ class Rule:
     overwrite: bool = False
 
 
-def compiled(rule: Rule, expression: str | None = None) -> Column:
+def rule_text(rule: Rule, expression: str | None = None) -> str:
     """The expression with the rule's constants in place of their names; a constant hides a column of its name."""
     import re
 
@@ -29,15 +32,16 @@ def compiled(rule: Rule, expression: str | None = None) -> Column:
     for name, value in rule.constants.items():
         literal = "'" + value.replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
         text = re.sub(rf"(?<![\w.'\"]){re.escape(name)}(?![\w('\"])", literal.replace("\\", r"\\"), text)
-    return F.expr(text)
+    return text
 
 
 def project(rows: DataFrame, rules: Sequence[Rule], *keep: str) -> DataFrame:
     """One row (keep, path, value) for each rule that has a result; values are doubles or texts by ``kind``.
 
-    All rules are evaluated in one pass over the row, without a join.
+    A rule whose expression fails on a row has no result there, and the others have theirs.  All rules are evaluated in one
+    pass over the row, without a join.
     """
-    cells = [F.struct(F.lit(r.path).alias("path"), compiled(r).cast("string").alias("value")) for r in rules]
+    cells = [F.struct(F.lit(r.path).alias("path"), guarded(rows, rule_text(r)).value.cast("string").alias("value")) for r in rules]
     return rows.select(*keep, F.explode(F.array(*cells)).alias("c")).select(*keep, "c.path", "c.value").where("value is not null")
 
 
@@ -51,13 +55,19 @@ def time_override(time: Column, texts: Sequence[Column], max_age_days: int = 365
 
 
 def drop_where(rows: DataFrame, rules: Sequence[Rule], message: str | None = None) -> DataFrame:
-    """Rows for which no rule of their path is true; a rule without result rejects the row's whole ``message``."""
+    """Rows for which no rule of their path is true.
+
+    A rule that fails, or whose result isn't true or false, rejects the row's whole ``message`` (the row alone without one).
+    """
     drop, failed = F.lit(False), F.lit(False)
     for r in rules:
         here = F.col("path").isin(list(r.source_paths) or [r.path])
-        value = compiled(r).cast("boolean")
-        drop = drop | (here & F.coalesce(value, F.lit(False)))
-        failed = failed | (here & value.isNull())
+        g = guarded(rows, rule_text(r))
+        if isinstance(g.kind, BooleanType):
+            drop = drop | (here & F.coalesce(g.value, F.lit(False)))
+            failed = failed | (here & g.value.isNull())
+        else:
+            failed = failed | here
     if message is None:
         return rows.where(~drop & ~failed)
     bad = rows.where(failed).select(message).distinct()

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .guarded import guarded
+
 KEYS = ("context", "path")
 
 
@@ -145,12 +147,12 @@ def final_fields(mapped: DataFrame, fields: list[str], arrival: str = "seq") ->
     return mapped.groupBy(*KEYS).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(arrival))).alias(c) for c in fields])
 
 
-def combine(mapped: DataFrame, sources: list[str], expression: Column, path: str, arrival: str = "seq", overwrite: bool = False) -> DataFrame:
+def combine(mapped: DataFrame, sources: list[str], expression: Column | str, path: str, arrival: str = "seq", overwrite: bool = False) -> DataFrame:
     """Input rows and, for each row of a source path once all sources are known, a derived row.
 
     ``expression`` reads the last values as columns named like the paths with dots as underscores.  The derived row
     has the newest source time so far, and the uuid of the row that caused it.  With ``overwrite`` inputs on the
-    derived path go.
+    derived path go.  An expression given as text may fail on a row, which then has no derived row.
     """
     names = {p: p.replace(".", "_") for p in sources}
     w = Window.partitionBy("context").orderBy(arrival).rowsBetween(Window.unboundedPreceding, 0)
@@ -161,6 +163,7 @@ def combine(mapped: DataFrame, sources: list[str], expression: Column, path: str
     ready = known
     for name in names.values():
         ready = ready.where(F.col(name).isNotNull())
-    derived = ready.withColumn("value", expression).withColumn("path", F.lit(path)).where(F.col("value").isNotNull()).select(*mapped.columns)
+    result = guarded(ready, expression).value if isinstance(expression, str) else expression
+    derived = ready.withColumn("value", result).withColumn("path", F.lit(path)).where(F.col("value").isNotNull()).select(*mapped.columns)
     kept = mapped.where(F.col("path") != path) if overwrite else mapped
     return kept.unionByName(derived)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import core, decoding, mapping, reconciliation, stateful, streams
+from . import core, decoding, failures, mapping, reconciliation, stateful, streams
 from .registry import ORACLES, QUERIES
 
-__all__ = ["all_oracles", "all_queries", "core", "decoding", "mapping", "reconciliation", "stateful", "streams"]
+__all__ = ["all_oracles", "all_queries", "core", "decoding", "failures", "mapping", "reconciliation", "stateful", "streams"]
 
 
 def all_queries() -> dict:
