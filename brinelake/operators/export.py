@@ -9,15 +9,73 @@ from ..functions.registry import checksum
 from ..sources.staging import stored
 
 MAGIC = "UdPbC\0"
-#: Groups of talker identifiers (fixed values of the transport standard); a group's address and port are settings.
+#: Fixed values of the transport standard: talker identifiers and their group, whose address and port are settings.
 TALKERS = {
-    "NAVD": "AG AP DF EC EI GA GL GN GP HC HF IN LC SD VD VM VW",
-    "TGTD": "AI RA",
-    "MISC": "BI DU ER II NL RC SG SI SS U0 U1 U2 U3 U4 U5 U6 U7 U8 U9 UP VR WI YX",
-    "VDRD": "BN FD FE FR FS HD HS WD WL",
-    "RCOM": "CD CR CS CT CV CX EP",
-    "SATD": "HE HN TI",
-    "TIME": "ZA ZC ZQ ZV",
+    "AG": "NAVD",
+    "AI": "TGTD",
+    "AP": "NAVD",
+    "BI": "MISC",
+    "BN": "VDRD",
+    "CD": "RCOM",
+    "CR": "RCOM",
+    "CS": "RCOM",
+    "CT": "RCOM",
+    "CV": "RCOM",
+    "CX": "RCOM",
+    "DF": "NAVD",
+    "DU": "MISC",
+    "EC": "NAVD",
+    "EI": "NAVD",
+    "EP": "RCOM",
+    "ER": "MISC",
+    "FD": "VDRD",
+    "FE": "VDRD",
+    "FR": "VDRD",
+    "FS": "VDRD",
+    "GA": "NAVD",
+    "GL": "NAVD",
+    "GN": "NAVD",
+    "GP": "NAVD",
+    "HC": "NAVD",
+    "HD": "VDRD",
+    "HE": "SATD",
+    "HF": "NAVD",
+    "HN": "SATD",
+    "HS": "VDRD",
+    "II": "MISC",
+    "IN": "NAVD",
+    "LC": "NAVD",
+    "NL": "MISC",
+    "RA": "TGTD",
+    "RC": "MISC",
+    "SD": "NAVD",
+    "SG": "MISC",
+    "SI": "MISC",
+    "SS": "MISC",
+    "TI": "SATD",
+    "U0": "MISC",
+    "U1": "MISC",
+    "U2": "MISC",
+    "U3": "MISC",
+    "U4": "MISC",
+    "U5": "MISC",
+    "U6": "MISC",
+    "U7": "MISC",
+    "U8": "MISC",
+    "U9": "MISC",
+    "UP": "MISC",
+    "VD": "NAVD",
+    "VM": "NAVD",
+    "VR": "MISC",
+    "VW": "NAVD",
+    "WD": "VDRD",
+    "WI": "NAVD",
+    "WL": "VDRD",
+    "YX": "MISC",
+    "ZA": "TIME",
+    "ZC": "TIME",
+    "ZQ": "TIME",
+    "ZV": "TIME",
 }
 
 
@@ -56,7 +114,8 @@ def feed(rows: DataFrame) -> DataFrame:
 
 
 def talker_table(spark, addresses: dict[str, tuple[str, int]]) -> DataFrame:
-    rows = [(t, g, *addresses[g]) for g, talkers in TALKERS.items() if g in addresses for t in talkers.split()]
+    """The routing table of the talkers whose group has an address."""
+    rows = [(t, g, *addresses[g]) for t, g in TALKERS.items() if g in addresses]
     return spark.createDataFrame(rows, "talker string, target string, address string, port int")
 
 

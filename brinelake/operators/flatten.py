@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A delta: context, origin and updates, each with a source, a time and path/value pairs (values as JSON text).
@@ -59,20 +59,34 @@ def _by_number(a, b):
     return F.when(a["update_no"] < b["update_no"], -1).when(a["update_no"] > b["update_no"], 1).otherwise(0)
 
 
-def merge_same_path(rows: DataFrame, key: list[str], is_list: str = "value LIKE '[%'") -> DataFrame:
-    """One value for each (key, path): the last one, or of values that are all lists their concatenation.
+def list_kind(value: Column) -> Column:
+    """The element type of a JSON list, null for anything else; objects are notifications, and so is what an empty list has."""
+    kind = F.schema_of_variant(F.try_parse_json(value))
+    element = F.substring(kind, F.lit(7), F.length(kind) - 7)
+    element = F.when(element.startswith("OBJECT") | (element == "VOID"), "OBJECT").otherwise(element)
+    return F.when(kind.startswith("ARRAY<"), F.regexp_replace(element, r"^DECIMAL.*$|^DOUBLE$", "NUMBER"))
 
-    The merged value's place is that of the last.
+
+def merge_same_path(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One value (JSON text) for each (key, path), folded in the order of value_no.
+
+    A value replaces the one before it, but a list after a list with the same type of elements is appended to it.  So only what follows
+    the last replacement counts: places of replacements are numbered by a running sum, and the last number's values are
+    joined.  The merged value's place is that of the last.
     """
-    listed = F.expr(is_list)
-    inner = F.expr("substring(value, 2, length(value) - 2)")
-    ordered = F.array_sort(F.collect_list(F.struct("value_no", inner.alias("x"))))
-    parts = F.filter(F.transform(ordered, lambda e: e["x"]), lambda x: x != "")
-    return (
-        rows.groupBy(*key, "path")
-        .agg(F.max("value_no").alias("value_no"), F.max_by("value", "value_no").alias("last"), F.bool_and(listed).alias("lists"), F.array_join(parts, ",").alias("all"))
-        .select(*key, "path", "value_no", F.when(F.col("lists"), F.concat(F.lit("["), "all", F.lit("]"))).otherwise(F.col("last")).alias("value"))
+    order = Window.partitionBy(*key, "path").orderBy("value_no")
+    typed = rows.withColumn("__kind", list_kind(F.col("value")))
+    replaces = F.coalesce(F.col("__kind") != F.lag("__kind").over(order), F.lit(True))
+    parts = typed.withColumn("__replaces", replaces.cast("int")).withColumn("__part", F.sum("__replaces").over(order))
+    inner = F.btrim(F.expr("substring(btrim(value), 2, length(btrim(value)) - 2)"))
+    grouped = parts.groupBy(*key, "path").agg(
+        F.max("value_no").alias("value_no"),
+        F.max_by(F.struct("value", "__kind", "__part"), "value_no").alias("last"),
+        F.array_sort(F.collect_list(F.when(F.col("__kind").isNotNull(), F.struct("value_no", "__part", inner.alias("x"))))).alias("lists"),
     )
+    own = F.filter("lists", lambda e: (e["__part"] == F.col("last.__part")) & (e["x"] != ""))
+    joined = F.concat(F.lit("["), F.array_join(F.transform(own, lambda e: e["x"]), ","), F.lit("]"))
+    return grouped.select(*key, "path", "value_no", F.when(F.col("last.__kind").isNotNull(), joined).otherwise(F.col("last.value")).alias("value"))
 
 
 def with_updates(deltas: DataFrame) -> DataFrame:

@@ -40,6 +40,30 @@ def sorted_scan(df: DataFrame, keys: list[str], order: list[str], reads: list[st
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, df.schema)
 
 
+def sorted_fold(df: DataFrame, keys: list[str], order: list[str], reads: list[str], writes: list[str], step) -> DataFrame:
+    """As ``sorted_scan``, for ``step(state, *values) -> (state, out)``: rows with ``out`` stay, and it replaces the columns ``writes``."""
+    schema = df.schema
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        key, state = object(), None
+        for batch in batches:
+            own, values = ([batch.column(c).to_pylist() for c in names] for names in (keys, reads))
+            results = []
+            for k, row in zip(zip(*own), zip(*values)):
+                if k != key:
+                    key, state = k, None
+                state, out = step(state, *row)
+                results.append(out)
+            kept = batch.filter(pa.array([r is not None for r in results]))
+            new = dict(zip(writes, zip(*[r for r in results if r is not None]))) if kept.num_rows else {}
+            columns = [pa.array(list(new[c]), kept.schema.field(c).type) if c in new else kept.column(c) for c in kept.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, schema=kept.schema)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def rate_limit(
     mapped: DataFrame, interval: float, per_path: dict[str, float] | None = None, record_first: bool = True, arrival: str = "seq"
 ) -> DataFrame:
@@ -113,7 +137,7 @@ def merged_fields(mapped: DataFrame, fields: list[str], arrival: str = "seq") ->
 
 
 #: Shapes whose values merge field by field with one of the same shape; a spectrum stays whatever merging value comes after it.
-MERGING, STAYING = ("position", "length", "notification", "draft"), "spectrum"
+MERGING, STAYING = ("position", "vesselInfo", "vesselType", "length", "notification", "draft"), "spectrum"
 
 
 def merged_shapes(mapped: DataFrame, fields: list[str], lists: list[str] = (), shape: str = "shape", arrival: str = "seq") -> DataFrame:
@@ -142,6 +166,39 @@ def merged_shapes(mapped: DataFrame, fields: list[str], lists: list[str] = (), s
     return rows.select(*kept)
 
 
+def merge_step(stored: tuple | None, shape, given: tuple, lists: tuple[bool, ...]) -> tuple:
+    """(shape, values) that are stored after a value comes: the rules of ``merged_shapes`` for one value."""
+    if stored is None or shape not in (*MERGING, STAYING) or stored[0] not in (*MERGING, STAYING):
+        return shape, given
+    if stored[0] == STAYING:
+        return stored
+    if stored[0] != shape:
+        return shape, given
+    return shape, tuple(old if (not new if is_list else new is None) else new for old, new, is_list in zip(stored[1], given, lists))
+
+
+def merged_changes(mapped: DataFrame, fields: list[str], lists: list[str] = (), shape: str = "shape", arrival: str = "seq") -> DataFrame:
+    """Changes over merged values: rows whose value isn't the stored one of the (context, path) and that aren't older than it.
+
+    The incoming value is compared with what was merged so far, then its time with that of the last row kept; a row that is kept has
+    the merged value.  Which rows are merged depends on which were kept, so this is a scan in order of arrival with one value of
+    state for each key.  Null lists are empty.
+    """
+    columns, is_list = [*fields, *lists], (False,) * len(fields) + (True,) * len(lists)
+
+    def plain(values):
+        return tuple((v or None) if l else v for v, l in zip(values, is_list))
+
+    def step(state, time, kind, *given):
+        value = kind, plain(given)
+        if state is not None and (value == state[1] or time < state[0]):
+            return state, None
+        value = merge_step(state[1] if state else None, *value, is_list)
+        return (time, value), (value[0], *((v or []) if l else v for v, l in zip(value[1], is_list)))
+
+    return sorted_fold(mapped, list(KEYS), [arrival], ["time", shape, *columns], [shape, *columns], step)
+
+
 def final_fields(mapped: DataFrame, fields: list[str], arrival: str = "seq") -> DataFrame:
     """The merge after the last row, by aggregation."""
     return mapped.groupBy(*KEYS).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(arrival))).alias(c) for c in fields])

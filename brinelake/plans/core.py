@@ -148,6 +148,57 @@ def k10(spark, d):
     return latest.documents(whole(mapped(spark, d)))
 
 
+#: Paths of one to four parts, some of them beginnings of others, a key with quotes, and vessel information on the empty path.
+TREE = """t AS (SELECT time, seq, connector, type, context, uuid, CASE seq % 8 WHEN 0 THEN path WHEN 1 THEN path || '.rate' WHEN 2 THEN path || '.rate.max' WHEN 3 THEN path || '.a "b"'
+    WHEN 4 THEN '' WHEN 5 THEN '' WHEN 6 THEN path || '.rate.max.day' ELSE path || '.value.x' END AS path,
+    CASE seq % 8 WHEN 0 THEN CAST(seq AS VARCHAR) WHEN 1 THEN '{"latitude":' || seq || '}' WHEN 2 THEN '"t' || seq || '"' WHEN 3 THEN '[' || seq || ',2]' WHEN 4 THEN '{"mmsi":"' || seq || '"}'
+    WHEN 5 THEN '{"name":"n ' || seq || '"}' WHEN 6 THEN 'true' ELSE 'x' || seq END AS value FROM mapped),
+  l AS (SELECT DISTINCT ON (context, path) *, string_split(path, '.') AS p FROM t WHERE path <> '' ORDER BY context, path, time DESC, seq DESC),
+  leaf AS (SELECT context, p, '"source":{"label":"' || connector || '","type":"' || type || '","uuid":"' || uuid || '"},"timestamp":"' || strftime(time, '%Y-%m-%dT%H:%M:%S.%fZ') || '","value":'
+      || CASE WHEN value LIKE 'x%' THEN '"' || value || '"' ELSE value END AS text FROM l
+    WHERE NOT (len(p) > 2 AND p[2] = 'value' AND EXISTS (SELECT 1 FROM l o WHERE o.context = l.context AND o.path = l.p[1]))),
+  info AS (SELECT context, arg_max(value, (time, seq)) FILTER (WHERE seq % 8 = 4) AS mmsi, arg_max(value, (time, seq)) FILTER (WHERE seq % 8 = 5) AS name FROM t WHERE path = '' GROUP BY context),
+  n4 AS (SELECT context, p[1:3] AS p, '"' || p[4] || '":{' || text || '}' AS text, p[4] AS k FROM leaf WHERE len(p) = 4),
+  n3 AS (SELECT context, p[1:2] AS p, '"' || p[3] || '":{' || string_agg(text, ',' ORDER BY k) || '}' AS text, p[3] AS k
+    FROM (SELECT context, p, '' AS k, text FROM leaf WHERE len(p) = 3 UNION ALL SELECT context, p, k, text FROM n4) GROUP BY context, p),
+  n2 AS (SELECT context, p[1:1] AS p, '"' || replace(p[2], '"', chr(92) || '"') || '":{' || string_agg(text, ',' ORDER BY k) || '}' AS text, p[2] AS k
+    FROM (SELECT context, p, '' AS k, text FROM leaf WHERE len(p) = 2 UNION ALL SELECT context, p, k, text FROM n3) GROUP BY context, p),
+  n1 AS (SELECT context, '"' || p[1] || '":{' || string_agg(text, ',' ORDER BY k) || '}' AS text, p[1] AS k
+    FROM (SELECT context, p, '' AS k, text FROM leaf WHERE len(p) = 1 UNION ALL SELECT context, p, k, text FROM n2) GROUP BY context, p)"""
+
+
+def tree_rows(spark, d):
+    k, path = F.col("seq"), F.col("path")
+    paths = [path, F.concat(path, F.lit(".rate")), F.concat(path, F.lit(".rate.max")), F.concat(path, F.lit('.a "b"')), F.lit(""), F.lit(""), F.concat(path, F.lit(".rate.max.day")), F.concat(path, F.lit(".value.x"))]
+    text = k.cast("string")
+    wrapped = lambda a, b: F.concat(F.lit(a), text, F.lit(b))
+    values = [text, wrapped('{"latitude":', "}"), wrapped('"t', '"'), wrapped("[", ",2]"), wrapped('{"mmsi":"', '"}'), wrapped('{"name":"n ', '"}'), F.lit("true"), wrapped("x", "")]
+    of = lambda cases: F.get(F.array(*cases), (k % 8).cast("int"))
+    return mapped(spark, d).select("time", "seq", "connector", "type", F.concat(F.lit("vessels."), "context").alias("context"), "uuid", of(values).alias("value"), of(paths).alias("path"))
+
+
+@query(
+    "k10_model_tree",
+    f"""WITH {MAPPED}, {TREE}, a AS (SELECT context, text, k FROM n1
+      UNION ALL SELECT context, '"mmsi":' || substr(mmsi, 9, length(mmsi) - 9), 'mmsi' FROM info WHERE mmsi IS NOT NULL UNION ALL SELECT context, '"name":' || substr(name, 9, length(name) - 9), 'name' FROM info WHERE name IS NOT NULL)
+    SELECT 'vessels.' || context AS context, 'vessels' AS root, context AS name, '{{' || string_agg(text, ',' ORDER BY k) || '}}' AS document FROM a GROUP BY context""",
+)
+def k10_tree(spark, d):
+    return latest.model_tree(tree_rows(spark, d))
+
+
+@query(
+    "k11_pointer",
+    f"""WITH {MAPPED}, {TREE} SELECT 'vessels.' || context AS context, CASE path WHEN 'click.rate.max' THEN value ELSE '"' || uuid || '"' END AS document FROM l
+    WHERE context = 'v1' AND path IN ('click.rate.max', 'view.a "b"') OR context = 'v2' AND path = 'click'""",
+)
+def k11_pointer(spark, d):
+    """Pointers into leaves; their conditions on context and path reach the scan."""
+    rows = tree_rows(spark, d)
+    found = [latest.pointer(rows, f"/vessels/{p}") for p in ("v1/click/rate/max/value", 'v1/view/a "b"/source/uuid', "v2/click/source/uuid")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query(
     "k11_subtree",
     f"""WITH {MAPPED}, {LATEST_WHOLE} SELECT context AS root, '' AS name, context, path, {LEAF_SQL} AS leaf FROM l

@@ -64,6 +64,32 @@ def p13(spark, d):
     return D.merge_same_path(rows, ["msg", "context"])
 
 
+MIXED = """x AS (SELECT seq // 16 AS msg, context, CAST(seq % 16 AS INT) AS n, CASE WHEN seq * 7919 % 10 < 2 THEN 'number' WHEN seq * 7919 % 10 < 7 THEN 'note' WHEN seq * 7919 % 10 < 9 THEN 'float' ELSE 'none' END AS kind, seq FROM mapped),
+  y AS (SELECT *, CASE kind WHEN 'number' THEN CAST(seq AS VARCHAR) WHEN 'note' THEN '{"message":"m' || seq || '"}' WHEN 'float' THEN seq || '.5,' || seq || '.25' ELSE '' END AS item FROM x)"""
+
+
+@query(
+    "p13_ordered_fold",
+    f"""WITH RECURSIVE {MAPPED}, {MIXED}, o AS (SELECT *, CASE kind WHEN 'none' THEN 'note' ELSE kind END AS t, row_number() OVER (PARTITION BY msg, context ORDER BY n) AS i FROM y),
+    f AS (SELECT msg, context, n, i, t, item AS acc FROM o WHERE i = 1
+      UNION ALL SELECT o.msg, o.context, o.n, o.i, o.t, CASE WHEN o.t = f.t AND o.t <> 'number' THEN CASE WHEN f.acc = '' THEN o.item WHEN o.item = '' THEN f.acc ELSE f.acc || ',' || o.item END ELSE o.item END
+      FROM f JOIN o ON o.msg = f.msg AND o.context = f.context AND o.i = f.i + 1)
+    SELECT DISTINCT ON (msg, context) msg, context, n AS value_no, CASE t WHEN 'number' THEN acc ELSE '[' || acc || ']' END AS value FROM f ORDER BY msg, context, i DESC""",
+)
+def p13_fold(spark, d):
+    """Scalars, lists of two element types and empty lists on one path, in turns."""
+    k = F.col("seq")
+    roll, text = k * 7919 % 10, k.cast("string")
+    value = (
+        F.when(roll < 2, text)
+        .when(roll < 7, F.concat(F.lit('[{"message":"m'), text, F.lit('"}]')))
+        .when(roll < 9, F.concat(F.lit("["), text, F.lit(".5,"), text, F.lit(".25]")))
+        .otherwise("[]")
+    )
+    rows = mapped(spark, d).select(F.expr("seq div 16").alias("msg"), "context", F.lit("p").alias("path"), (k % 16).cast("int").alias("value_no"), value.alias("value"))
+    return D.merge_same_path(rows, ["msg", "context"]).drop("path")
+
+
 @query("f09_empty_updates", f"WITH {MAPPED} SELECT seq FROM mapped WHERE seq % 3 <> 0")
 def f09(spark, d):
     m = D.rebuild(texts(spark, d), "seq")
@@ -303,6 +329,32 @@ def s10(spark, d):
     return fan_in(*[m.where(F.col("connector") == f"c{i}") for i in range(3)]).groupBy("connector").agg(F.count("*").alias("n"))
 
 
+#: A talker of each group by the standard's own table, as SQL; ZZ and QQ are unknown.
+TALKER_SQL = """talkers(talker, target) AS (VALUES
+  ('AG', 'NAVD'), ('AI', 'TGTD'), ('AP', 'NAVD'), ('BI', 'MISC'), ('BN', 'VDRD'), ('CD', 'RCOM'), ('CR', 'RCOM'), ('CS', 'RCOM'), ('CT', 'RCOM'), ('CV', 'RCOM'), ('CX', 'RCOM'),
+  ('DF', 'NAVD'), ('DU', 'MISC'), ('EC', 'NAVD'), ('EI', 'NAVD'), ('EP', 'RCOM'), ('ER', 'MISC'), ('FD', 'VDRD'), ('FE', 'VDRD'), ('FR', 'VDRD'), ('FS', 'VDRD'), ('GA', 'NAVD'),
+  ('GL', 'NAVD'), ('GN', 'NAVD'), ('GP', 'NAVD'), ('HC', 'NAVD'), ('HD', 'VDRD'), ('HE', 'SATD'), ('HF', 'NAVD'), ('HN', 'SATD'), ('HS', 'VDRD'), ('II', 'MISC'), ('IN', 'NAVD'),
+  ('LC', 'NAVD'), ('NL', 'MISC'), ('RA', 'TGTD'), ('RC', 'MISC'), ('SD', 'NAVD'), ('SG', 'MISC'), ('SI', 'MISC'), ('SS', 'MISC'), ('TI', 'SATD'), ('U0', 'MISC'), ('U1', 'MISC'),
+  ('U2', 'MISC'), ('U3', 'MISC'), ('U4', 'MISC'), ('U5', 'MISC'), ('U6', 'MISC'), ('U7', 'MISC'), ('U8', 'MISC'), ('U9', 'MISC'), ('UP', 'MISC'), ('VD', 'NAVD'), ('VM', 'NAVD'),
+  ('VR', 'MISC'), ('VW', 'NAVD'), ('WD', 'VDRD'), ('WI', 'NAVD'), ('WL', 'VDRD'), ('YX', 'MISC'), ('ZA', 'TIME'), ('ZC', 'TIME'), ('ZQ', 'TIME'), ('ZV', 'TIME'))"""
+
+
+@query(
+    "j14_all_talkers",
+    f"""WITH {TALKER_SQL}, n AS (SELECT talker, target, row_number() OVER (ORDER BY talker) - 1 AS n FROM talkers)
+    SELECT event_id AS seq, talker, '239.1.0.' || CASE target WHEN 'MISC' THEN 1 WHEN 'TGTD' THEN 2 WHEN 'SATD' THEN 3 WHEN 'NAVD' THEN 4 WHEN 'VDRD' THEN 5 WHEN 'RCOM' THEN 6 ELSE 7 END AS address
+    FROM events JOIN n ON event_id % 67 = n""",
+)
+def j14_all(spark, d):
+    """Every talker of the standard, and two that it doesn't know, in the order of their letters."""
+    groups = ("MISC", "TGTD", "SATD", "NAVD", "VDRD", "RCOM", "TIME")
+    talkers = X.talker_table(spark, {g: (f"239.1.0.{k + 1}", 61001 + k) for k, g in enumerate(groups)})
+    names = [*sorted(X.TALKERS), "ZZ", "QQ"]
+    talker = F.get(F.array(*map(F.lit, names)), (F.col("event_id") % len(names)).cast("int"))
+    raw = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").alias("time"), F.lit("nmea0183").alias("type"), F.concat(F.lit("$"), talker, F.lit("ALR,x*00")).alias("value"))
+    return X.line_frames(raw, talkers, seconds=False, count=False).select("seq", F.substring(F.substring_index("frame", "$", -1), 1, 2).alias("talker"), "address")
+
+
 @query(
     "j14_talker_routing",
     """SELECT event_id AS seq, '239.0.0.2' AS address, CAST(60002 AS INT) AS port FROM events WHERE event_type = 'click'""",
@@ -322,6 +374,6 @@ def j14(spark, d):
       || chr(92) || '$GPGLL,' || event_id || chr(13) || chr(10) AS frame FROM t""",
 )
 def k07(spark, d):
-    talkers = X.talker_table(spark, {g: ("239.0.0.1", 60000) for g in X.TALKERS})
+    talkers = X.talker_table(spark, {g: ("239.0.0.1", 60000) for g in set(X.TALKERS.values())})
     raw = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").alias("time"), F.lit("nmea0183").alias("type"), F.concat(F.lit("$GPGLL,"), F.col("event_id").cast("string")).alias("value"))
     return X.line_frames(raw, talkers, source="AB0001", seconds=False).select("seq", "frame")

@@ -274,6 +274,62 @@ def a08_shapes(spark, d):
     return out.select("seq", "context", "path", "shape", "number", "latitude", "longitude", total.alias("total"), F.size("list").cast("long").alias("n_list"))
 
 
+#: All eight shapes and two values that have none, with fields by shape; the rules of each shape stand in the SQL by name.
+EIGHT = """k AS (SELECT seq, context, path, time, CASE WHEN seq * 7919 % 23 < 4 THEN 'position' WHEN seq * 7919 % 23 < 8 THEN 'vesselInfo' WHEN seq * 7919 % 23 < 11 THEN 'vesselType'
+    WHEN seq * 7919 % 23 < 14 THEN 'length' WHEN seq * 7919 % 23 < 17 THEN 'notification' WHEN seq * 7919 % 23 < 20 THEN 'draft' WHEN seq * 7919 % 23 = 20 THEN 'spectrum' WHEN seq * 7919 % 23 = 21 THEN 'vector3d' ELSE 'text' END AS shape,
+    seq % 3 AS part, floor(value / 30) AS v FROM mapped),
+  g AS (SELECT seq, context, path, time, shape, CASE WHEN part <> 1 THEN v END AS a, CASE WHEN part <> 0 THEN v + 1 END AS b, CASE WHEN shape IN ('draft', 'spectrum') AND part <> 2 THEN [v] ELSE [] END AS l FROM k)"""
+MERGED_SQL = """CASE WHEN s.shape = 'spectrum' AND g.shape IN ('position', 'vesselInfo', 'vesselType', 'length', 'notification', 'draft', 'spectrum') THEN 'stay'
+    WHEN s.shape = g.shape AND g.shape IN ('position', 'vesselInfo', 'vesselType', 'length', 'notification', 'draft') THEN 'merge' ELSE 'replace' END"""
+
+
+def eight_shapes(spark, d):
+    k = F.col("seq")
+    names = ["position"] * 4 + ["vesselInfo"] * 4 + ["vesselType"] * 3 + ["length"] * 3 + ["notification"] * 3 + ["draft"] * 3 + ["spectrum", "vector3d", "text"]
+    shape = F.get(F.array(*map(F.lit, names)), (k * 7919 % 23).cast("int"))
+    v, part = F.floor(F.col("value") / 30).cast("double"), k % 3
+    m = mapped(spark, d).select("seq", "context", "path", "time", shape.alias("shape"), F.when(part != 1, v).alias("a"), F.when(part != 0, v + 1).alias("b"), v.alias("v"))
+    return m.select(
+        "seq", "context", "path", "time", "shape", "a", "b", F.when(F.col("shape").isin("draft", "spectrum") & (k % 3 != 2), F.array("v")).otherwise(F.array().cast("array<double>")).alias("l")
+    )
+
+
+@query(
+    "a08_merge_all_shapes",
+    f"""WITH RECURSIVE {MAPPED}, {EIGHT}, o AS (SELECT *, row_number() OVER (PARTITION BY context, path ORDER BY seq) AS n FROM g),
+    s AS (SELECT * EXCLUDE (time) FROM o WHERE n = 1 UNION ALL
+      SELECT g.seq, g.context, g.path, CASE rule WHEN 'stay' THEN s.shape ELSE g.shape END, CASE rule WHEN 'stay' THEN s.a WHEN 'merge' THEN coalesce(g.a, s.a) ELSE g.a END,
+        CASE rule WHEN 'stay' THEN s.b WHEN 'merge' THEN coalesce(g.b, s.b) ELSE g.b END, CASE WHEN rule = 'stay' OR rule = 'merge' AND len(g.l) = 0 THEN s.l ELSE g.l END, g.n
+      FROM s JOIN o g ON g.context = s.context AND g.path = s.path AND g.n = s.n + 1, LATERAL (SELECT {MERGED_SQL} AS rule))
+    SELECT seq, context, path, shape, a, b, l[1] AS first FROM s""",
+)
+def a08_all(spark, d):
+    out = S.merged_shapes(eight_shapes(spark, d).drop("time"), ["a", "b"], ["l"])
+    return out.select("seq", "context", "path", "shape", "a", "b", F.get("l", F.lit(0)).alias("first"))
+
+
+#: Rows in an order of arrival that isn't that of time, few contexts, and a scan over what is kept.
+MERGED_CHANGES = f"""WITH RECURSIVE {MAPPED}, {EIGHT}, q AS (SELECT * REPLACE ((seq * 7919) % 10007 AS seq) FROM g), o AS (SELECT *, row_number() OVER (PARTITION BY context, path ORDER BY seq) AS n FROM q),
+    s AS (SELECT seq, context, path, time, shape, a, b, l, n, true AS kept FROM o WHERE n = 1 UNION ALL
+      SELECT g.seq, g.context, g.path, CASE WHEN drops THEN s.time ELSE g.time END, CASE WHEN drops OR rule = 'stay' THEN s.shape ELSE g.shape END,
+        CASE WHEN drops OR rule = 'stay' THEN s.a WHEN rule = 'merge' THEN coalesce(g.a, s.a) ELSE g.a END, CASE WHEN drops OR rule = 'stay' THEN s.b WHEN rule = 'merge' THEN coalesce(g.b, s.b) ELSE g.b END,
+        CASE WHEN drops OR rule = 'stay' OR rule = 'merge' AND len(g.l) = 0 THEN s.l ELSE g.l END, g.n, NOT drops
+      FROM s JOIN o g ON g.context = s.context AND g.path = s.path AND g.n = s.n + 1, LATERAL (SELECT {MERGED_SQL} AS rule),
+        LATERAL (SELECT g.time < s.time OR (g.shape = s.shape AND g.a IS NOT DISTINCT FROM s.a AND g.b IS NOT DISTINCT FROM s.b AND g.l = s.l) AS drops))
+    SELECT seq, context, path, shape, a, b, l[1] AS first FROM s WHERE kept"""
+
+
+def arriving_shapes(spark, d):
+    return eight_shapes(spark, d).withColumn("seq", (F.col("seq") * 7919) % 10007)
+
+
+@query("f03_merged_changes", MERGED_CHANGES)
+def f03_merged(spark, d):
+    """Changes and late rows over what values of all shapes merge to."""
+    out = S.merged_changes(arriving_shapes(spark, d), ["a", "b"], ["l"])
+    return out.select("seq", "context", "path", "shape", "a", "b", F.get("l", F.lit(0)).alias("first"))
+
+
 @query(
     "j03_last_known_combine",
     f"""WITH {MAPPED}, k AS (SELECT *, last_value(CASE WHEN path = 'click' THEN value END IGNORE NULLS) OVER w AS a,
