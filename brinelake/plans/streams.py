@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import contextlib
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.upsert import registry_updates
 from ..sources.staging import shared_path
 from ..streaming import jobs as J
+from .core import coarse, registry_rows
 from .decoding import BLOCKS
 from .feeds import MAPPED, mapped, table
-from .registry import query
-from .stateful import LIMITED
+from .registry import ORACLES, query
+from .stateful import DELTA_SQL, LIMITED, register_numbers
+
+
+#: The most that one trigger takes; so much of a key's rows is in one task at most.
+TRIGGER_BYTES = 128 << 20
 
 
 def mapped_stream(spark, d):
     """``mapped`` as a stream over the files of events."""
     schema = table(spark, d, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
+    events = spark.readStream.schema(schema).option("maxBytesPerTrigger", TRIGGER_BYTES).parquet(f"{d}/events.parquet*")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
     origin = F.concat(F.lit("v"), F.col("user_id") % 10)
     return events.select(
@@ -30,51 +39,70 @@ def mapped_stream(spark, d):
     )
 
 
-def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs the stream over all that is there; the result is a table of files in the shared folder."""
-    spark = stream.sparkSession
-    at = shared_path(spark, "stream")
+@contextlib.contextmanager
+def rocksdb(spark):
+    """State in RocksDB for the streams started inside."""
     before = {k: spark.conf.get(k, None) for k in J.ROCKSDB}
     for k, v in J.ROCKSDB.items():
         spark.conf.set(k, v)
     try:
-        if mode == "append":
-            q = stream.writeStream.option("checkpointLocation", f"{at}/state").format("parquet").option("path", f"{at}/rows").trigger(availableNow=True).start()
-        else:
-            write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/rows")
-            q = stream.writeStream.option("checkpointLocation", f"{at}/state").outputMode(mode).foreachBatch(write).trigger(availableNow=True).start()
-        q.awaitTermination()
+        yield
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def run_to_end(stream: DataFrame, at: str, mode: str = "append", write=None) -> None:
+    """Runs the stream over all that is there, to rows in ``at``/rows or by the foreachBatch function ``write``."""
+    out = stream.writeStream.option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True)
+    if write is None and mode == "append":
+        out = out.format("parquet").option("path", f"{at}/rows")
+    else:
+        out = out.foreachBatch(write or (lambda batch, n: batch.write.mode("overwrite").parquet(f"{at}/rows")))
+    with rocksdb(stream.sparkSession):
+        out.start().awaitTermination()
+
+
+def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs the stream over all that is there; the result is a table of files in the shared folder."""
+    spark = stream.sparkSession
+    at = shared_path(spark, "stream")
+    run_to_end(stream, at, mode)
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
+def arriving(rows: DataFrame, parts, build, write=None) -> DataFrame | None:
+    """Runs ``build(stream)`` over rows that arrive in parts, one after another, on one checkpoint.
+
+    The rows of each condition are written by all tasks to the stream's folder, then the query takes them; so parts never mix, and
+    the size of a trigger is bounded in bytes.
+    """
+    spark, rows = rows.sparkSession, rows.withColumn("time", F.col("time").cast("timestamp"))
+    at = shared_path(spark, "arrivals")
+    stream = None
+    for part in parts:
+        rows.where(part).write.mode("append").parquet(f"{at}/in")
+        source = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", TRIGGER_BYTES).parquet(f"{at}/in")
+        stream = build(source)
+        run_to_end(stream, at, write=write)
+    return None if write else spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
 @query("t01_streaming_period_counts", f"WITH {MAPPED} SELECT time_bucket(INTERVAL 5 MINUTE, time) AS start, origin, count(*) AS count FROM mapped GROUP BY ALL")
 def t01(spark, d):
     return finished(J.period_counts(mapped_stream(spark, d)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-def in_files(spark, d, *parts):
-    """``mapped`` as a stream that reads the rows of each condition in a batch of its own, one after another."""
-    at = shared_path(spark, "arrivals")
-    m = mapped(spark, d).withColumn("time", F.col("time").cast("timestamp"))
-    for k, part in enumerate(parts):
-        m.where(part).coalesce(1).write.mode("append").parquet(at)
-    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(at)
-    return stream
-
-
 #: The newest time, and rows that arrive an hour or more after all others.
 NEWEST = "z AS (SELECT max(time) FILTER (WHERE seq % 10 > 0) AS newest FROM mapped)"
 
 
-def arrivals(spark, d):
-    """Rows in time but each tenth, the last two hours of them, and then each tenth row, which is late."""
+def late_tenth(spark, d):
+    """Conditions of arrival: rows in time but each tenth, the last two hours of them, and then each tenth row, which is late."""
     newest = mapped(spark, d).where("seq % 10 > 0").agg(F.max("time")).first()[0]
     early = F.col("time") < F.lit(newest) - F.expr("INTERVAL 2 HOURS")
     in_time = F.col("seq") % 10 > 0
-    return in_files(spark, d, in_time & early, in_time & ~early, F.col("time") == F.lit(newest), ~in_time)
+    return [in_time & early, in_time & ~early, F.col("time") == F.lit(newest), ~in_time]
 
 
 @query(
@@ -86,7 +114,7 @@ def arrivals(spark, d):
 )
 def t01_final(spark, d):
     """Periods are given once, when the watermark passes their end; rows that come later than that count nowhere."""
-    return finished(J.period_counts(arrivals(spark, d))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return arriving(mapped(spark, d), late_tenth(spark, d), J.period_counts).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(
@@ -99,18 +127,20 @@ def u04_absence(spark, d):
     newest = mapped(spark, d).where("seq % 10 > 0").agg(F.max("time")).first()[0]
     there = (F.col("seq") % 10 > 0) & ((F.col("connector") != "c2") | (F.col("time") < F.lit(newest) - F.expr("INTERVAL 3 HOURS")))
     early = F.col("time") < F.lit(newest) - F.expr("INTERVAL 2 HOURS")
-    stream = in_files(spark, d, there & early, there & ~early, F.col("time") == F.lit(newest)).withWatermark("time", "1 hour")
-    machine = J.run_machine(stream, ["connector"], J.Absence(1800), "connector string, last_seen timestamp, next_seen timestamp", "EventTime")
-    out = finished(machine).where("next_seen is null")
+    kind = "connector string, last_seen timestamp, next_seen timestamp"
+    build = lambda stream: J.run_machine(stream.withWatermark("time", "1 hour"), ["connector"], J.Absence(1800), kind, "EventTime")
+    rows = arriving(mapped(spark, d), [there & early, there & ~early, F.col("time") == F.lit(newest)], build)
+    # one that came back later has a row with that time too
+    out = rows.where("next_seen is null").join(rows.where("next_seen is not null"), ["connector", "last_seen"], "left_anti")
     return out.select("connector", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
 
 
-def by_time(spark, d):
-    """The rows in three batches, each later than the one before."""
+def thirds(spark, d):
+    """Conditions of arrival: three parts, each later than the one before."""
     low, high = mapped(spark, d).agg(F.min("time"), F.max("time")).first()
     one, two = low + (high - low) / 3, low + 2 * (high - low) / 3
     t = F.col("time")
-    return in_files(spark, d, t < F.lit(one), (t >= F.lit(one)) & (t < F.lit(two)), t >= F.lit(two))
+    return [t < F.lit(one), (t >= F.lit(one)) & (t < F.lit(two)), t >= F.lit(two)]
 
 
 @query(
@@ -136,14 +166,26 @@ def t05_life(spark, d):
     stored = mapped(spark, d).where(F.col("time") < F.lit(one)).groupBy("context", "path").agg(F.max_by(F.struct("time", "value"), F.struct("time", "seq")).alias("r"))
     seed = stored.select("context", "path", F.col("r.time").cast("timestamp").alias("time"), F.col("r.value").alias("value")).withColumn("value", whole)
     t = F.col("time")
-    stream = in_files(spark, d, (t >= F.lit(one)) & (t < F.lit(two)), t >= F.lit(two)).withColumn("value", whole).withWatermark("time", "0 seconds")
-    return finished(J.run_machine(stream, ["context", "path"], J.NewValues(36 * 3600), None, "EventTime", seed)).select("seq", "context", "path")
+    rows = mapped(spark, d).withColumn("value", whole)
+    build = lambda stream: J.run_machine(stream.withWatermark("time", "0 seconds"), ["context", "path"], J.NewValues(36 * 3600), None, "EventTime", seed)
+    return arriving(rows, [(t >= F.lit(one)) & (t < F.lit(two)), t >= F.lit(two)], build).select("seq", "context", "path")
 
 
 @query("t06_streaming_blocks", f"{BLOCKS} SELECT p.context, p.path, s.block, CAST(n % 4 AS INT) AS place, value, us / 1e6 AS duration FROM p JOIN s ON p.context = s.context AND p.path = s.path AND n // 4 = s.block")
 def t06_blocks(spark, d):
     kind = "context string, path string, block bigint, place int, value double, duration double"
-    return finished(J.run_machine(by_time(spark, d), ["context", "path"], J.SampleBlocks(4), kind))
+    return arriving(mapped(spark, d), thirds(spark, d), lambda stream: J.run_machine(stream, ["context", "path"], J.SampleBlocks(4), kind))
+
+
+def averaged(rows, parts, lateness):
+    """The stream of averages over rows that arrive in parts, and at last a row far in the future, which moves the watermark past them all."""
+    end = rows.agg(F.max("time").alias("time")).select("time").first()[0]
+    last = rows.limit(1).select(*[F.lit("~").alias(c) if c == "context" else F.lit(-1).cast("long").alias(c) if c == "seq" else (F.lit(end) + F.expr("INTERVAL 90 DAYS")).alias(c) if c == "time" else c for c in rows.columns])
+    machine = J.MovingAverage(86400, 6 * 3600)
+    build = lambda stream: J.run_machine(stream.withWatermark("time", lateness), ["context", "path"], machine, "seq bigint, average double", "EventTime")
+    real = F.col("seq") >= 0
+    out = arriving(rows.unionByName(last), [*[real & p for p in parts], ~real], build)
+    return out.select("seq", F.round(F.when(~F.isnan("average"), F.col("average")), 6).alias("average"))
 
 
 @query(
@@ -151,8 +193,24 @@ def t06_blocks(spark, d):
     f"""WITH {MAPPED} SELECT seq, round(avg(value) OVER (PARTITION BY context, path ORDER BY time RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW), 6) AS average FROM mapped""",
 )
 def t03_average(spark, d):
-    out = finished(J.run_machine(by_time(spark, d), ["context", "path"], J.MovingAverage(86400), "seq bigint, average double"))
-    return out.select("seq", F.round("average", 6).alias("average"))
+    return averaged(mapped(spark, d).select("time", "seq", "context", "path", "value"), thirds(spark, d), "1 hour")
+
+
+@query(
+    "t03_streaming_late",
+    f"""WITH {MAPPED}, n AS (SELECT * REPLACE (CASE WHEN seq % 4 > 0 THEN value END AS value) FROM mapped)
+    SELECT seq, round(avg(value) OVER (PARTITION BY context, path ORDER BY time RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW), 6) AS average FROM n""",
+)
+def t03_late(spark, d):
+    """Null values, and each fifth row of a part's last twelve hours arrives with the next part, an hour inside the watermark at least."""
+    rows = mapped(spark, d).select("time", "seq", "context", "path", F.when(F.col("seq") % 4 > 0, F.col("value")).alias("value"))
+    low, high = rows.agg(F.unix_micros(F.min("time").cast("timestamp")), F.unix_micros(F.max("time").cast("timestamp"))).first()
+    width = (high - low) // 4 + 1
+    past = F.unix_micros(F.col("time").cast("timestamp")) - low
+    part = F.floor(past / width)
+    held = (F.col("seq") % 5 == 0) & ((part + 1) * width - past <= 12 * 3600 * 1_000_000)
+    arrival = part + held.cast("long")
+    return averaged(rows, [arrival == k for k in range(5)], "13 hours")
 
 
 @query(
@@ -163,10 +221,87 @@ def t03_average(spark, d):
 def t07_batches(spark, d):
     """Batches of a stream, flushed by count or by the trigger."""
     at = shared_path(spark, "batches")
-    stream = in_files(spark, d, *[F.col("seq") % 3 == k for k in range(3)])
-    write = J.batch_writer(f"{at}/rows", F.to_json(F.struct("context", "path")), 100)
-    stream.writeStream.option("checkpointLocation", f"{at}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/rows").select(F.col("trigger").cast("bigint").alias("trigger"), "batch", "payload")
+    write = J.batch_writer(at, F.to_json(F.struct("context", "path")), 100)
+    arriving(mapped(spark, d), [F.col("seq") % 3 == k for k in range(3)], lambda stream: stream, write)
+    return spark.read.parquet(at).select(F.col("trigger").cast("bigint").alias("trigger"), "batch", "payload")
+
+
+@query(
+    "t07_streaming_flush",
+    f"""WITH {MAPPED}, m AS (SELECT seq % 10 AS shard, '{{"seq":' || seq || ',"path":"' || path || '"}}' AS text, seq,
+      row_number() OVER (PARTITION BY seq % 10 ORDER BY seq % 3, seq) - 1 AS n FROM mapped)
+    SELECT shard, n // 41 AS batch, count(*) AS n, '[' || string_agg(text, ',' ORDER BY n) || ']' AS payload FROM m GROUP BY shard, n // 41""",
+)
+def t07_flush(spark, d):
+    """Batches of each writer's share, of exactly so many across triggers; a timer flushes what is left in the end."""
+    rows = mapped(spark, d).select("time", "seq", (F.col("seq") % 10).alias("shard"), F.to_json(F.struct("seq", "path")).alias("text"))
+    at = shared_path(spark, "flush")
+
+    def build(stream):
+        return J.run_machine(stream, ["shard"], J.Flush(40, 20, ["shard"]), "shard bigint, batch bigint, n bigint, payload string", "ProcessingTime")
+
+    rows.where("false").write.parquet(f"{at}/in")
+    source = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", TRIGGER_BYTES).parquet(f"{at}/in")
+    out = build(source).writeStream.option("checkpointLocation", f"{at}/state").format("parquet").option("path", f"{at}/rows")
+    written = lambda: spark.read.schema("shard bigint, batch bigint, n bigint, payload string").parquet(f"{at}/rows")
+    taken = lambda: sum(p["numInputRows"] for p in q.recentProgress)
+    total, until = 0, time.time() + 150
+    with rocksdb(spark):
+        q = out.trigger(processingTime="1 second").start()
+        try:
+            for k in range(3):
+                part = rows.where(F.col("seq") % 3 == k)
+                part.write.mode("append").parquet(f"{at}/in")
+                total += part.count()
+                while taken() < total and time.time() < until and q.isActive:
+                    time.sleep(0.2)
+            while (written().agg(F.sum("n")).first()[0] or 0) < total and time.time() < until and q.isActive:
+                time.sleep(1)
+        finally:
+            q.stop()
+    return written()
+
+
+def twice(write, path):
+    """The foreachBatch function that delivers every trigger again, after rows that a failed one has left without a manifest."""
+
+    def deliver(batch, number):
+        batch.sparkSession.range(3).write.parquet(f"{path}/data/{number}-failed/part=all")
+        write(batch, number)
+        write(batch, number)
+
+    return deliver
+
+
+@query("w03_streaming_delta", f"""{DELTA_SQL} SELECT seq, address AS register, CASE WHEN b IS NULL AND f THEN word WHEN step < -50000 THEN step + 65535
+  WHEN step > 50000 THEN step - 65535 ELSE step END AS delta, date_diff('microsecond', t, time) // 1000 AS time_delta FROM s""")
+def w03_stream(spark, d):
+    """Register deltas over three triggers: a map of registers under each slave."""
+    n = register_numbers(spark, d).where("word NOT IN (0, 32767, 32768)")
+    rows = n.select("time", "seq", "connector", "slave", F.col("address").alias("register"), "word")
+    kind = "seq bigint, register int, delta bigint, time_delta bigint"
+    return arriving(rows, thirds(spark, d), lambda stream: J.run_machine(stream, ["connector", "slave"], J.RegisterDeltas(), kind))
+
+
+@query("k04_streaming_registry", ORACLES["k04_registry"])
+def k04_stream(spark, d):
+    """The registry, merged column by column and trigger by trigger; each trigger is delivered twice, and some fail before they are committed."""
+    path = shared_path(spark, "registry")
+    m = registry_rows(spark, d).withColumn("time", F.lit("2024-01-01").cast("timestamp"))
+    parts = [F.col("seq") % 10 == 0, F.col("seq") % 10 > 6]
+    arriving(m, parts, lambda stream: stream, twice(J.registry_batches(path), path))
+    table_of = J.VersionedTable(path)
+    return table_of.read(spark, registry_updates(m.limit(0)).schema)
+
+
+@query("a14_streaming_counts", ORACLES["a14_latest_counts"])
+def a14_stream(spark, d):
+    """Counts of periods, of which a later trigger may have newer ones, written by days; triggers are delivered twice."""
+    path = shared_path(spark, "counts")
+    rows = coarse(spark, d).select("time", F.col("time").alias("start"), "origin", (F.col("seq") % 100).alias("count"), "seq")
+    arriving(rows, [F.col("seq") % 2 == 0, F.col("seq") % 2 == 1], lambda stream: stream.drop("time"), twice(J.count_batches(path), path))
+    out = J.VersionedTable(path, "date").read(spark, "date date, start timestamp_ntz, origin string, count bigint, seq bigint")
+    return out.select("start", "origin", "count")
 
 
 @query("t09_streaming_redelivery", f"WITH {MAPPED} SELECT count(*) AS n FROM (SELECT DISTINCT time, origin, context, connector, path FROM mapped)")
@@ -276,7 +411,7 @@ def k02_stream(spark, d):
     for delivery in (1, 2):  # the second changes nothing
         q = stream.writeStream.option("checkpointLocation", shared_path(spark, f"state{delivery}")).foreachBatch(J.upsert_batches(path)).trigger(availableNow=True).start()
         q.awaitTermination()
-    rows = spark.read.parquet(path)
+    rows = J.VersionedTable(path, "date").read(spark, stream.withColumns({"date": F.to_date("time"), "own_context": F.lit(True)}).schema)
     return rows.select(F.col("time").cast("timestamp_ntz").alias("time"), "origin", "context", "connector", "path", "value", "seq")
 
 
