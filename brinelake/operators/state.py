@@ -123,11 +123,21 @@ def moving_average(mapped: DataFrame, retention: str, value: str = "value") -> D
     return mapped.withColumn("average", F.avg(value).over(w))
 
 
-def silences(mapped: DataFrame, timeout: str) -> DataFrame:
-    """connector, last_seen, next_seen where a connector sent nothing for longer than ``timeout``."""
-    w = Window.partitionBy("connector").orderBy("time", "seq")
-    after = mapped.select("connector", F.col("time").alias("last_seen"), F.lead("time").over(w).alias("next_seen"))
-    return after.where(F.col("next_seen") > F.col("last_seen") + F.expr(f"INTERVAL {timeout}"))
+def silences(mapped: DataFrame, timeout: str, bucket: str = "1 DAY") -> DataFrame:
+    """connector, last_seen, next_seen where a connector sent nothing for longer than ``timeout``.
+
+    Gaps inside a bucket of time are found in each (connector, bucket); those between buckets from the first and last time of each
+    bucket, one row a bucket.  So no task has more than a bucket's rows of a connector, however few connectors there are.
+    """
+    width = mapped.sparkSession.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {bucket}"))).first()[0]
+    rows = mapped.where("time is not null").select("connector", "time", F.floor(F.unix_micros(F.col("time").cast("timestamp")) / width).alias("bucket"))
+    inside = Window.partitionBy("connector", "bucket").orderBy("time")
+    ends = rows.groupBy("connector", "bucket").agg(F.min("time").alias("first"), F.max("time").alias("last_seen"))
+    across = Window.partitionBy("connector").orderBy("bucket")
+    gaps = rows.select("connector", F.col("time").alias("last_seen"), F.lead("time").over(inside).alias("next_seen")).unionByName(
+        ends.select("connector", "last_seen", F.lead("first").over(across).alias("next_seen"))
+    )
+    return gaps.where(F.col("next_seen") > F.col("last_seen") + F.expr(f"INTERVAL {timeout}"))
 
 
 def merged_fields(mapped: DataFrame, fields: list[str], arrival: str = "seq") -> DataFrame:

@@ -117,6 +117,20 @@ def t01_final(spark, d):
     return arriving(mapped(spark, d), late_tenth(spark, d), J.period_counts).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query(
+    "t01_incremental_rollup",
+    f"""WITH {MAPPED}, r AS (SELECT DISTINCT date_trunc('minute', time) AS time, origin, context, connector, path FROM mapped)
+    SELECT time_bucket(INTERVAL 5 MINUTE, time) AS start, origin, count(*) AS count FROM r GROUP BY ALL""",
+)
+def t01_incremental(spark, d):
+    """Counts kept up by triggers whose rows repeat stored keys, come late, and are delivered twice."""
+    base, rollup = shared_path(spark, "base"), shared_path(spark, "rollup")
+    rows = mapped(spark, d).drop("transfer_uuid", "type").withColumn("time", F.date_trunc("minute", "time"))
+    arriving(rows, [F.col("seq") % 3 == k for k in range(3)], lambda stream: stream, twice(J.rollup_batches(base, rollup), rollup))
+    out = J.VersionedTable(rollup, "date").read(spark, "start timestamp, origin string, count bigint, date date")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "origin", "count")
+
+
 @query(
     "u04_streaming_absence",
     f"""WITH {MAPPED}, {NEWEST}, m AS (SELECT * FROM mapped, z WHERE seq % 10 > 0 AND (connector <> 'c2' OR time < newest - INTERVAL 3 HOURS))

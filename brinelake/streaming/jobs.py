@@ -507,6 +507,32 @@ def count_batches(path: str) -> Callable[[DataFrame, int], None]:
     return merge
 
 
+def rollup_batches(base: str, rollup: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that upserts each batch into the table at ``base`` and refreshes the five-minute counts at ``rollup``.
+
+    A batch, late or repeated as its rows may be, makes only the buckets stale in which it has rows; these are counted again from the
+    stored rows of their days, and take the place of the old counts.  All other buckets and days stay as they are.
+    """
+    from ..operators.rollup import period_counts as counted
+    from ..operators.rollup import period_start
+
+    store = upsert_batches(base)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        store(batch, number)
+        stale = batch.select(period_start("time").alias("start"), "origin").distinct()
+        dates = [r[0] for r in batch.select(F.date_format("time", "yyyy-MM-dd")).distinct().collect()]
+        schema = batch.withColumns({"date": F.to_date("time"), "own_context": F.lit(True)}).schema
+        rows = VersionedTable(base, "date").read(spark, schema, dates, number)
+        fresh = rows.withColumn("start", period_start("time")).join(stale, ["start", "origin"], "left_semi")
+        counts = counted(fresh.drop("start")).withColumn("date", F.to_date("start"))
+        replace = lambda old, new: old.join(stale, ["start", "origin"], "left_anti").select(*new.columns).unionByName(new)
+        VersionedTable(rollup, "date").commit(counts, number, replace)
+
+    return merge
+
+
 def batch_writer(path: str, delta, size: int) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that writes a trigger's deltas in batches of ``size`` + 1 and what is left over: a flush by count or by the trigger's interval.
 

@@ -42,9 +42,10 @@ class VersionedTable:
         paths = [f"{self.path}/{folder}/part={part}" for part, folder in folders.items()]
         return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
-    def read(self, spark: SparkSession, schema) -> DataFrame:
-        """The newest version."""
-        return self._rows(spark, schema, self._manifest(spark))
+    def read(self, spark: SparkSession, schema, parts=None, until: int | None = None) -> DataFrame:
+        """The newest version, or that of trigger ``until``; of the partitions ``parts`` (texts) alone if they are given."""
+        found = self._manifest(spark, None if until is None else until + 1)
+        return self._rows(spark, schema, {p: f for p, f in found.items() if parts is None or p in parts})
 
     def commit(self, new: DataFrame, number: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         """Makes version ``number``: ``merge(old rows of the partitions that new has, new)`` in these, all others as they are."""
