@@ -556,6 +556,45 @@ def test_classes_that_name_parts_of_articles(spark):
     assert wrappers.Extractor([]).text(html) == "Drug\n\nnausea\n\n12 of 30"
 
 
+@pytest.mark.parametrize(
+    "part, text",
+    [
+        ("<section class='related'><h2>Related work</h2><p>old</p></section>", "Related work\n\nold"),
+        ("<ul class='menu'><li>soup</li></ul>", "soup"),
+        ("<p class='lead ad-hoc'>first</p>", "first"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", "so x=1 holds"),
+        ("<div class='ad-slot'>buy</div>", ""),
+        ("<div class='ads'>buy</div><div id='comments'><p>reader</p></div>", ""),
+    ],
+)
+def test_classes_don_t_outvote_an_article(part, text):
+    html = f"<body><article><h1>t</h1>{part}</article></body>"
+    assert wrappers.Extractor([]).text(html) == "\n\n".join(x for x in ("t", text) if x)
+
+
+def test_long_footers_are_template(spark):
+    footer = "terms and conditions of this site apply to all that you read here " * 5
+    page = "<div class=a><p>{}</p></div><div class=z>" + footer + "</div>"
+    got = extracted(spark, [("http://h.example/%d" % i, page.format(f"a story of some length, number {i}, which is told here to its end")) for i in range(20)])
+    assert all("terms" not in t for t in got.values())
+
+
+def test_tags_that_never_match_take_linear_time():
+    import time
+
+    pages = ["<b>" * 20_000 + "</i>" * 20_000 + "x", "<i><div>" + "<b>" * 20_000 + "</i>" * 20_000 + "x", "<div>" * 20_000 + "<p>" * 20_000 + "x", "<article>" + "<p>word</p>" * 100_000]
+    for p in pages:
+        began = time.time()
+        assert wrappers.Extractor([]).text(p)
+        assert time.time() - began < 5
+
+
+def test_megabyte_page(spark):
+    words = "word " * 250_000
+    got = extracted(spark, [("http://h.example/1", f"<nav>menu</nav><article><p>{words}</p></article>"), ("http://h.example/2", "<p>small</p>")])
+    assert got == {0: words.strip(), 1: "small"}
+
+
 def test_large_hosts_are_aligned_in_parts(spark, monkeypatch):
     monkeypatch.setattr(wrappers, "PART", 3)
     pages = [("http://h.example/%d" % i, "<div>menu</div>" + "<p>%d</p><h2>x</h2>" % i * (i % 7) + "<ul>" + "<li>k%d</li>" % i * (i % 5) + "</ul>") for i in range(40)]
