@@ -29,6 +29,8 @@ WINDOW = 13
 BLOCK = 3
 #: Bytes of benchmark text that one pass over the documents holds (about 30 times as much in each worker); more items take more passes.
 PASS_BYTES = 4 << 20
+#: Windows of a part of a long item; buckets that parts are dealt to, for each pass.
+PART_WORDS, BUCKETS_OF_SET = 4096, 16
 #: A-Z to a-z; other ASCII but digits and a-z to a space; bytes from 0x80 stay.
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
@@ -47,12 +49,13 @@ class WuManber:
     """
 
     def __init__(self, length: int, numbers: np.ndarray, starts: np.ndarray, items: np.ndarray, base: int):
-        self.length, self.block, self.base = length, min(BLOCK, length), base
+        # a block is one integer of 63 bits
+        self.length, self.block, self.base = length, min(BLOCK if base < 1 << 21 else 2, length), base
         self.far = length - self.block + 1
         size = self.block
         keys = numbers.astype(np.int64)
         blocks = keys[: len(keys) - size + 1].copy()
-        for k in range(1, size):  # the block at each place as one integer: base is below 2^21
+        for k in range(1, size):  # the block at each place as one integer
             blocks = blocks * base + keys[k : len(keys) - size + 1 + k]
         suffix, prefix = blocks[starts + length - size], blocks[starts]
         order = np.lexsort((starts, prefix, suffix))
@@ -110,8 +113,6 @@ class Searchers:
         self.number: dict[bytes, int] = {}
         numbers = np.fromiter((self.number.setdefault(x, len(self.number)) for _, w in items for x in w), np.int32)
         base = len(self.number)
-        if base >= 1 << 21:
-            raise ValueError("more than two million different words in one set of items; use a smaller pass_bytes")
         sizes = np.asarray([len(w) for _, w in items], np.int64)
         starts = np.cumsum(sizes) - sizes
         self.all: list[WuManber] = []
@@ -154,19 +155,54 @@ def _digest(items: list[tuple[str, bytes]]) -> str:
     return h.hexdigest()
 
 
+def _parts(items: DataFrame, words: int = PART_WORDS, window: int = WINDOW) -> DataFrame:
+    """item, body of parts of long items: each has ``words`` windows, and every window of the item is in one part."""
+
+    def split(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            names, bodies = [], []
+            for item, body in zip(batch.column("item").to_pylist(), as_bytes(batch.column("body"))):
+                own = words_of(body)
+                windows = len(own) - window + 1
+                if windows <= words:
+                    pieces = [body]
+                else:
+                    pieces = [b" ".join(own[at : min(at + words, windows) + window - 1]) for at in range(0, windows, words)]
+                names += [item] * len(pieces)
+                bodies += pieces
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.binary())], names=["item", "body"])
+
+    return items.mapInArrow(split, "item string, body binary")
+
+
 def _passes(benchmark: DataFrame, item_col: str, text_col: str, pass_bytes: int) -> tuple[int, Callable[[int], list[tuple[str, bytes]]]]:
-    """The number of sets of about ``pass_bytes`` at most, and what gathers one of them."""
+    """The number of sets of ``pass_bytes`` at most, and what gathers one of them.
+
+    Windows are the unit of work, so long items are cut.  Parts are dealt to small buckets by a hash, and buckets are put together by their
+    measured sizes; a set is larger only if one bucket is, that is if one window is.
+    """
     items = benchmark.select(
         F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body")
     ).where("item is not null")
     size = items.agg(F.sum(F.length("body"))).first()[0] or 0
-    n = max(1, math.ceil(size / pass_bytes))
+    if size <= pass_bytes:
+        return 1, lambda k: sorted((r.item, bytes(r.body)) for r in _parts(items).collect())
+    buckets = BUCKETS_OF_SET * math.ceil(size / pass_bytes)
+    parts = materialize(_parts(items).distinct().withColumn("bucket", F.pmod(F.xxhash64("item", "body"), F.lit(buckets))), "item-parts")
+    sets, held = [[]], 0
+    for r in sorted(parts.groupBy("bucket").agg(F.sum(F.length("body") + 1).alias("size")).collect()):
+        if held and held + r["size"] > pass_bytes:
+            sets.append([])
+            held = 0
+        sets[-1].append(r["bucket"])
+        held += r["size"]
 
     def gather(k: int) -> list[tuple[str, bytes]]:
-        part = items.where(F.pmod(F.xxhash64("item", "body"), F.lit(n)) == k) if n > 1 else items
-        return sorted((r.item, bytes(r.body)) for r in part.collect())
+        return sorted((r.item, bytes(r.body)) for r in parts.where(F.col("bucket").isin(sets[k])).collect())
 
-    return n, gather
+    return len(sets), gather
 
 
 def find_contamination(

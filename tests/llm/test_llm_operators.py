@@ -392,6 +392,26 @@ def test_searchers_stay_small():
     assert searchers.all and used < 40 * sum(len(x) + 1 for _, w in items for x in w)
 
 
+def test_long_items_are_cut_into_parts(spark, monkeypatch):
+    """Windows at the edges of parts are found, in one pass and in many."""
+    item = [f"w{k}" for k in range(30_000)]
+    texts = [" ".join(item[a : a + 13]) for a in (0, 4083, 4084, 4090, 4096, 29_987)] + [" ".join(item[a : a + 12]) for a in (0, 4090)] + [" ".join(item)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([("long", " ".join(item)), ("short", "other words"), ("long", " ".join(item))], "item_id string, text string")
+    for pass_bytes in (1 << 20, 50_000):
+        rows = {r.doc_id: r for r in decontaminate.contamination(docs, bench, pass_bytes=pass_bytes).collect()}
+        assert [rows[k].n_hit for k in range(9)] == [13] * 6 + [0, 0, 30_000]
+        assert {rows[k].n_items for k in range(6)} == {1}
+    n, gather = decontaminate._passes(bench, "item_id", "text", 50_000)
+    assert n > 3 and all(sum(len(b) for _, b in gather(k)) <= 50_000 for k in range(n))
+
+
+def test_items_of_millions_of_words():
+    words = [b"%d" % k for k in range((1 << 21) + 1000)]
+    s = decontaminate.Searchers([("big", words)])
+    assert s.search([b"x", *words[-13:], b"y"])[0] == [(1, 14)] and s.search(words[5:17])[0] == []
+
+
 def test_contamination_edges_and_passes(spark, edge):
     bench = spark.createDataFrame([("x", "same LINE here"), ("y", "hello"), ("y", "hello"), ("z", None), (None, "lorem"), ("w", "lorem ipsum lorem ipsum lorem ipsum lorem ipsum lorem ipsum lorem ipsum lorem ipsum")], "item_id string, text string")
     rows = decontaminate.contamination(edge, bench).collect()
