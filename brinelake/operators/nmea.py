@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.registry import checksum
 
 KNOT = 0.514444
+#: Qualities of a fix (fixed values of the Signal K vocabulary), by the digit of a GGA sentence.
+QUALITIES = ("no GPS", "GNSS Fix", "DGNSS fix", "Precise GNSS", "RTK fixed integer", "RTK float", "Estimated (DR) mode", "Manual input", "Simulator mode")
+FREEZING = 273.15  # kelvin
 #: Navigation states of a position report (fixed values), by code.
 STATES = ("motoring", "anchored", "not under command", "restricted manouverability", "constrained by draft", "moored", "aground", "fishing", "sailing")
 
@@ -54,10 +57,16 @@ def mapped_sentences(rows: DataFrame, *keep: str) -> DataFrame:
         (F.lit(None) if t is None else t).cast("string").alias("text"),
         (F.lit(None) if b is None else b).cast("boolean").alias("flag"),
     )
+    quality = cell("navigation.gnss.methodQuality", None, F.get(F.array(*map(F.lit, QUALITIES)), _field(5).try_cast("int")))
+    # a rudder's angle counts if its status is A
+    starboard, port = F.when(_field(1) == "A", number(0)), F.when(_field(3) == "A", number(2))
+    date = F.concat_ws("-", _field(3), F.lpad(_field(2), 2, "0"), F.lpad(_field(1), 2, "0"))
+    clock = F.regexp_replace(_field(0), r"^(\d\d)(\d\d)(\d\d)", "$1:$2:$3")
+    moment = F.concat(date, F.lit(" "), clock).try_cast("timestamp_ntz")
     lat, lon = "navigation.position.latitude", "navigation.position.longitude"
     by_kind = {
         "GLL": [cell(lat, degrees(_field(0), _field(1))), cell(lon, degrees(_field(2), _field(3)))],
-        "GGA": [cell(lat, degrees(_field(1), _field(2))), cell(lon, degrees(_field(3), _field(4))), cell("navigation.position.altitude", number(8))],
+        "GGA": [cell(lat, degrees(_field(1), _field(2))), cell(lon, degrees(_field(3), _field(4))), cell("navigation.position.altitude", number(8)), quality, cell("navigation.gnss.satellites", number(6))],
         "RMC": [
             cell(lat, degrees(_field(2), _field(3))),
             cell(lon, degrees(_field(4), _field(5))),
@@ -68,7 +77,28 @@ def mapped_sentences(rows: DataFrame, *keep: str) -> DataFrame:
         "HDT": [cell("navigation.headingTrue", F.radians(number(0)))],
         "ROT": [cell("navigation.rateOfTurn", F.radians(number(0)) / 60)],
         "DBT": [cell("environment.depth.belowTransducer", number(2))],
-        "DPT": [cell("environment.depth.belowTransducer", number(0))],
+        # an offset above zero is the transducer's depth
+        "DPT": [cell("environment.depth.belowTransducer", number(0)), cell("environment.depth.belowSurface", F.when(number(1) > 0, number(0) + number(1)))],
+        "DBS": [cell("environment.depth.belowSurface", number(2))],
+        "HDM": [cell("navigation.headingMagnetic", F.radians(number(0)))],
+        "HDG": [cell("navigation.headingMagnetic", F.radians(number(0)))],
+        "MTW": [cell("environment.water.temperature", number(0) + FREEZING)],
+        "MWD": [
+            cell("environment.wind.directionTrue", F.radians(number(0))),
+            cell("environment.wind.directionMagnetic", F.radians(number(2))),
+            cell("environment.wind.speedOverGround", F.coalesce(number(6), number(4) * KNOT)),
+        ],
+        "MDA": [
+            cell("environment.outside.temperature", number(4) + FREEZING),
+            cell("environment.water.temperature", number(6) + FREEZING),
+            cell("environment.outside.humidity", number(8) / 100),
+            cell("environment.outside.dewPointTemperature", number(10) + FREEZING),
+            cell("environment.wind.directionTrue", F.radians(number(12))),
+            cell("environment.wind.directionMagnetic", F.radians(number(14))),
+            cell("environment.wind.speedOverGround", F.coalesce(number(18), number(16) * KNOT)),
+        ],
+        "RSA": [cell("steering.rudderAngle", F.radians(F.coalesce((starboard + port) / 2, starboard, port)))],
+        "ZDA": [cell("navigation.datetime", None, F.when(moment.isNotNull(), F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")))],
         "MWV": [
             cell("environment.wind.angleApparent", F.when(_field(1) == "R", F.radians(number(0)))),
             cell("environment.wind.speedApparent", F.when(_field(1) == "R", number(2) * F.when(_field(3) == "N", KNOT).when(_field(3) == "K", 1 / 3.6).otherwise(1.0))),

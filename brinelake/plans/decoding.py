@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import nmea as N
@@ -80,7 +82,8 @@ def s09(spark, d):
 @query(
     "p09_sentences",
     """SELECT event_id, 'navigation.headingTrue' AS path, radians(CAST(event_id % 360 AS DOUBLE)) AS number FROM events WHERE event_id % 3 = 0
-    UNION ALL SELECT event_id, 'environment.depth.belowTransducer', CAST(event_id % 90 AS DOUBLE) FROM events WHERE event_id % 3 = 1""",
+    UNION ALL SELECT event_id, 'environment.depth.belowTransducer', CAST(event_id % 90 AS DOUBLE) FROM events WHERE event_id % 3 = 1
+    UNION ALL SELECT event_id, 'environment.depth.belowSurface', CAST(event_id % 90 AS DOUBLE) + 0.5 FROM events WHERE event_id % 3 = 1""",
 )
 def p09(spark, d):
     from ..functions.registry import checksum
@@ -92,6 +95,69 @@ def p09(spark, d):
     return N.mapped_sentences(rows, "event_id").select("event_id", "path", "number")
 
 
+#: Sentences of every kind, by event_id mod 20, with numbers from k = event_id mod 90; the SQL has their values.
+BODIES = [
+    "GPGLL,45{k:02}.50,N,123{k:02}.25,W,120000,A",
+    "GPGGA,120000,45{k:02}.50,S,0{k:02}07.50,E,2,08,1.0,{k}.5,M,0,M,,",
+    "GPRMC,120000,A,4530.00,N,12345.00,E,{k}.0,{k}.5,010124,,",
+    "GPVTG,{k}.0,T,,M,10.0,N,18.5,K",
+    "HEHDT,{k}.5,T",
+    "TIROT,{k}.0,A",
+    "SDDBT,1.0,f,{k}.25,M,0.5,F",
+    "SDDPT,{k}.0,0.5",
+    "SDDPT,{k}.0,-0.5",
+    "WIMWV,{k}.0,R,10.0,N,A",
+    "WIMWV,{k}.0,T,10.0,N,A",
+    "VWVHW,{k}.0,T,1.0,M,5.0,N,9.3,K",
+    "AIALR,120000,005,A,V,text {k}",
+    "SDDBS,1.0,f,{k}.75,M,0.5,F",
+    "HCHDM,{k}.0,M",
+    "WIMTW,{k}.0,C",
+    "WIMWD,{k}.0,T,10.0,M,20.0,N,,M",
+    "WIMDA,29.9,I,1.0,B,{k}.0,C,11.0,C,50.0,,4.0,C,90.0,T,80.0,M,6.0,N,3.1,M",
+    "AGRSA,{k}.0,A,5.0,V",
+    "GPZDA,1200{s:02}.50,15,6,2024,00,00",
+]
+
+
+def _all_sentences() -> str:
+    k, radians = "CAST(k AS DOUBLE)", "radians({})".format
+    lat, lon = "navigation.position.latitude", "navigation.position.longitude"
+    depth, wind, course, speed = "environment.depth.below", "environment.wind.", "navigation.courseOverGroundTrue", "navigation.speedOverGround"
+    number = [
+        (0, lat, f"45 + ({k} % 60 + 0.5) / 60"), (0, lon, f"-(123 + ({k} % 60 + 0.25) / 60)"), (1, lat, f"-(45 + ({k} % 60 + 0.5) / 60)"), (1, lon, f"{k} % 60 + 7.5 / 60"),
+        (1, "navigation.position.altitude", f"{k} % 60 + 0.5"), (1, "navigation.gnss.satellites", "8.0"), (2, lat, "45.5"), (2, lon, "123.75"), (2, speed, f"{k} * 0.514444"), (2, course, radians(f"{k} + 0.5")),
+        (3, course, radians(k)), (3, speed, "5.14444"), (4, "navigation.headingTrue", radians(f"{k} + 0.5")), (5, "navigation.rateOfTurn", f"radians({k}) / 60"), (6, depth + "Transducer", f"{k} + 0.25"),
+        (7, depth + "Transducer", k), (7, depth + "Surface", f"{k} + 0.5"), (8, depth + "Transducer", k), (9, wind + "angleApparent", radians(k)), (9, wind + "speedApparent", "5.14444"),
+        (11, "navigation.headingTrue", radians(k)), (11, "navigation.speedThroughWater", "2.57222"), (13, depth + "Surface", f"{k} + 0.75"), (14, "navigation.headingMagnetic", radians(k)),
+        (15, "environment.water.temperature", f"{k} + 273.15"), (16, wind + "directionTrue", radians(k)), (16, wind + "directionMagnetic", radians("10.0")), (16, wind + "speedOverGround", "10.28888"),
+        (17, "environment.outside.temperature", f"{k} + 273.15"), (17, "environment.water.temperature", "284.15"), (17, "environment.outside.humidity", "0.5"), (17, "environment.outside.dewPointTemperature", "277.15"),
+        (17, wind + "directionTrue", radians("90.0")), (17, wind + "directionMagnetic", radians("80.0")), (17, wind + "speedOverGround", "3.1"), (18, "steering.rudderAngle", radians(k)),
+    ]
+    text = [(1, "navigation.gnss.methodQuality", "'DGNSS fix'"), (12, "notifications.ais", "'text ' || k"), (19, "navigation.datetime", "'2024-06-15T12:00:' || lpad(CAST(k % 60 AS VARCHAR), 2, '0') || '.500Z'")]
+    rows = [f"SELECT event_id, '{path}' AS path, round(CAST({x} AS DOUBLE), 6) AS number, CAST(NULL AS VARCHAR) AS text FROM e WHERE i = {i}" for i, path, x in number]
+    rows += [f"SELECT event_id, '{path}', NULL, {x} FROM e WHERE i = {i}" for i, path, x in text]
+    return "WITH e AS (SELECT event_id, event_id % 20 AS i, CASE WHEN event_id % 20 < 2 THEN event_id % 60 ELSE event_id % 90 END AS k FROM events) " + " UNION ALL ".join(rows)
+
+
+@query("p09_all_sentences", _all_sentences())
+def p09_all(spark, d):
+    """Every kind of sentence and each of its values."""
+    from ..functions.registry import checksum
+
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 20).alias("i"))
+    k = F.when(F.col("i") < 2, F.col("event_id") % 60).otherwise(F.col("event_id") % 90)
+    two = F.lpad((k % 60).cast("string"), 2, "0")
+
+    def filled(body: str):
+        parts = [p for p in re.split(r"(\{.*?\})", body) if p]
+        return F.concat(*[k.cast("string") if p == "{k}" else F.lpad(k.cast("string"), 2, "0") if p == "{k:02}" else two if p == "{s:02}" else F.lit(p) for p in parts])
+
+    body = F.get(F.array(*map(filled, BODIES)), F.col("i").cast("int"))
+    rows = N.sentences(e.select("event_id", F.concat(F.lit("$"), body, F.lit("*"), checksum(body)).alias("value")))
+    return N.mapped_sentences(rows, "event_id").select("event_id", "path", F.round("number", 6).alias("number"), "text")
+
+
 @query(
     "p10_ais_positions",
     """SELECT event_id, lpad(CAST(200000000 + user_id AS VARCHAR), 9, '0') AS mmsi, CAST(event_id % 1000 AS DOUBLE) / 10 * 0.514444 AS speed, radians(CAST(event_id % 3600 AS DOUBLE) / 10) AS course,
