@@ -60,16 +60,18 @@ def deltas(rows: DataFrame) -> DataFrame:
     The state of an address is its last word, whatever function read it.  A slave's first message has delta =
     word and no time delta; an address new on a known slave has the previous word 0 and a null time delta.
     """
-    by = ["connector", "slave", "register"]
-    w = Window.partitionBy(*by).orderBy("time", "seq")
-    before, then = F.lag("word").over(w), F.lag("time").over(w)
-    step = F.col("word") - F.coalesce(before, F.lit(0))
-    wrapped = F.when(before.isNull() & F.col("first"), F.col("word")).when(step < -LIMIT, step + WRAP).when(step > LIMIT, step - WRAP).otherwise(step)
-    # a window over each slave for the first message would put one slave's rows in one place: an aggregation gives it
-    firsts = rows.groupBy("connector", "slave").agg(F.min(F.struct("time", "seq")).alias("f"))
-    known = rows.join(firsts, ["connector", "slave"]).withColumn("first", F.struct("time", "seq") == F.col("f")).drop("f")
-    millis = F.expr("timestampdiff(MILLISECOND, __then, time)")
-    return known.withColumn("delta", wrapped).withColumn("__then", then).withColumn("time_delta", F.when(F.col("__then").isNotNull(), millis)).drop("__then", "first")
+    w = Window.partitionBy("connector", "slave", "register").orderBy("time", "seq")
+    seen = rows.withColumn("__before", F.lag("word").over(w)).withColumn("__then", F.lag("time").over(w))
+    # Each register's first row, of which there are few, tells the slave's first message.  Both branches read the same
+    # exchange, so frames are scanned and decoded once, and no window has all rows of a slave.
+    slave = Window.partitionBy("connector", "slave")
+    is_first = F.struct("time", "seq") == F.min(F.struct("time", "seq")).over(slave)
+    new = seen.where("__before is null").withColumn("__first", is_first)
+    known = seen.where("__before is not null").withColumn("__first", F.lit(False))
+    step = F.col("word") - F.coalesce("__before", F.lit(0))
+    wrapped = F.when(F.col("__first"), F.col("word")).when(step < -LIMIT, step + WRAP).when(step > LIMIT, step - WRAP).otherwise(step)
+    millis = F.when(F.col("__then").isNotNull(), F.expr("timestampdiff(MILLISECOND, __then, time)"))
+    return known.unionByName(new).withColumn("delta", wrapped).withColumn("time_delta", millis).drop("__before", "__then", "__first")
 
 
 def contained_rules(frames: DataFrame, rules: DataFrame) -> DataFrame:
