@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .guarded import guarded
+
 WRAP, LIMIT = 65535, 50000
 ON = 65280  # the word of a coil that is on
 
@@ -20,7 +22,9 @@ def decode_header(frames: DataFrame, value: str = "value") -> DataFrame:
     h = F.hex(F.col(value))
     ok = frames.where(F.length(value) > 7)
     count = F.floor((F.length(value) - 7) / 2).cast("int")
-    body = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: word(h, i * 4 + 15))).otherwise(F.array().cast("array<int>"))
+    # the digits are bound to a variable, or each word would make them anew
+    words = F.get(F.transform(F.array(h), lambda x: F.transform(F.sequence(F.lit(0), count - 1), lambda i: word(x, i * 4 + 15))), F.lit(0))
+    body = F.when(count > 0, words).otherwise(F.array().cast("array<int>"))
     return ok.select(
         "*",
         F.conv(F.substring(h, 1, 2), 16, 10).cast("int").alias("slave"),
@@ -95,6 +99,12 @@ def encode(slave: Column, function_code: Column, address: Column, values: Column
     return F.unhex(F.concat(F.lpad(F.hex(slave), 2, "0"), four(function_code), four(address), four(F.size(values)), F.array_join(F.transform(values, four), "")))
 
 
+def rule_results(frames: DataFrame, expression: str, *keep: str) -> DataFrame:
+    """keep, value of frames for which a rule over their words has a result; one that fails or gives null has none."""
+    value = guarded(frames, expression).value.cast("double")
+    return frames.select(*keep, value.alias("value")).where("value is not null")
+
+
 def write_frames(rows: DataFrame, values: Column) -> DataFrame:
     """Adds ``frame`` to rows with slave, function_code, address, n; null with a ``reason`` if the values don't fit."""
     reason = (

@@ -79,3 +79,8 @@ def transfer_counters(mapped: DataFrame) -> DataFrame:
         F.count_distinct("uuid").alias("uuids"),
         F.count("*").alias("records"),
     )
+
+
+def observed_transfers(mapped: DataFrame, observation) -> DataFrame:
+    """``mapped`` itself, whose write also counts rows, rows with a transfer uuid, and the newest time, without a scan of their own."""
+    return mapped.observe(observation, F.count("*").alias("records"), F.count("transfer_uuid").alias("transferred"), F.max("time").alias("newest"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..operators import latest, rollup, upsert
+from ..sources.staging import shared_path
 from .feeds import MAPPED, mapped, table
 from .registry import query
 
@@ -270,6 +272,29 @@ def k13(spark, d):
     return upsert.retain(m, m.agg(F.max("time")).scalar(), "7 DAYS").select("seq", "time")
 
 
+@query("k13_partitioned_retention", f"WITH {MAPPED} SELECT seq, origin, CAST(time AS DATE) AS date FROM mapped WHERE time >= (SELECT max(time) FROM mapped) - INTERVAL 7 DAY")
+def k13_partitioned(spark, d):
+    """Retention of a stored table: whole days are pruned before anything is read."""
+    path = shared_path(spark, "mapped")
+    m = mapped(spark, d)
+    upsert.append(m, path)
+    newest = m.agg(F.max("time")).first()[0]
+    return upsert.retain(spark.read.parquet(path), F.lit(newest), "7 DAYS").select("seq", "origin", "date")
+
+
+@query(
+    "a13_observed_transfers",
+    f"WITH {MAPPED} SELECT count(*) AS records, count(*) FILTER (WHERE seq % 4 = 0) AS transferred, max(time) AS newest FROM mapped",
+)
+def a13_observed(spark, d):
+    """Counters that a write gives beside what it writes."""
+    observation = Observation("transfers")
+    rows = mapped(spark, d).withColumn("transfer_uuid", F.when(F.col("seq") % 4 == 0, F.lit("t")))
+    rollup.observed_transfers(rows, observation).write.parquet(shared_path(spark, "transfers"))
+    got = observation.get
+    return spark.createDataFrame([(got["records"], got["transferred"], got["newest"])], "records long, transferred long, newest timestamp_ntz")
+
+
 @query(
     "j11_backfill",
     f"""WITH {MAPPED}, reg AS (SELECT DISTINCT context, 'old' AS callsignvhf FROM mapped),

@@ -100,9 +100,35 @@ def j01(spark, d):
 
 @query("f14_rule_results", f"WITH {FRAMES} SELECT seq, CAST(word - 4000 AS DOUBLE) AS value FROM frames WHERE word > 4000")
 def f14(spark, d):
-    f = M.decode_header(register_frames(spark, d))
-    word = M.at(F.col("address"))
-    return f.select("seq", F.when(word > 4000, (word - 4000).cast("double")).alias("value")).where("value is not null")
+    f = M.decode_header(register_frames(spark, d)).withColumn("word", M.at(F.col("address")))
+    return M.rule_results(f, "CASE WHEN word > 4000 THEN word - 4000 END", "seq")
+
+
+#: Frames of one to five registers, and of so many coils, whose words are made from the event and the place.
+MANY = """n AS (SELECT event_id AS seq, CAST(user_id % 4 + 1 AS INT) AS slave, CAST(event_id % 5 + 1 AS INT) AS n, CAST(event_id * 13 % 500 AS INT) AS address FROM events),
+  w AS (SELECT *, unnest(range(n)) AS i FROM n), x AS (SELECT *, CAST((seq * 31 + i * 7919) % 65536 AS INT) AS word FROM w)"""
+
+
+def many_frames(spark, d):
+    k, n = F.col("event_id"), (F.col("event_id") % 5 + 1).cast("int")
+    words = F.transform(F.sequence(F.lit(0), n - 1), lambda i: ((k * 31 + i * 7919) % 65536).cast("int"))
+    value = M.encode((F.col("user_id") % 4 + 1).cast("int"), F.when(k % 2 == 0, F.lit(3)).otherwise(F.lit(4)), (k * 13 % 500).cast("int"), words)
+    return table(spark, d, "events").select(k.alias("seq"), value.alias("value"))
+
+
+@query("p05_many_registers", f"WITH {MANY} SELECT seq, slave, n, CAST(address + i AS INT) AS register, word FROM x")
+def p05_many(spark, d):
+    """Frames of several registers."""
+    return M.registers(M.decode_header(many_frames(spark, d))).select("seq", "slave", "n", "register", "word")
+
+
+@query(
+    "f14_failing_results",
+    f"""WITH {MANY} SELECT a.seq, CAST(a.word AS DOUBLE) / (b.word % 4) AS value FROM x a JOIN x b ON a.seq = b.seq AND a.i = 0 AND b.i = 1 WHERE b.word % 4 <> 0""",
+)
+def f14_failing(spark, d):
+    """A rule over two registers, of which frames of one register have no second and some divide by zero."""
+    return M.rule_results(M.decode_header(many_frames(spark, d)), "words[0] / (words[1] % 4)", "seq")
 
 
 @query(

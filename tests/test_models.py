@@ -133,3 +133,16 @@ def test_changes_compare_with_what_is_merged(spark):
 
 def test_talker_groups():
     assert len(export.TALKERS) == 65 and export.TALKERS["WI"] == "NAVD" and export.TALKERS["AI"] == "TGTD"
+
+
+def test_retention_prunes_days(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from brinelake.operators import upsert
+
+    rows = [(T0 + datetime.timedelta(days=k), "o", "c", "p", k) for k in range(20)]
+    upsert.append(spark.createDataFrame(rows, "time timestamp_ntz, origin string, context string, path string, seq long"), str(tmp_path / "t"))
+    kept = upsert.retain(spark.read.parquet(str(tmp_path / "t")), F.lit(T0 + datetime.timedelta(days=19)), "7 DAYS")
+    assert sorted(r.seq for r in kept.collect()) == list(range(12, 20))
+    scan = next(line for line in kept._jdf.queryExecution().toString().splitlines() if "PartitionFilters" in line)
+    assert "date" in scan.split("PartitionFilters: [")[1].split("]")[0]
