@@ -721,7 +721,7 @@ def test_components_of_paths_and_stars(spark):
 
 def test_every_operator_has_a_query():
     names = queries.queries()
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14))
 
 
 def test_bpe_of_random_words_as_text_and_as_arrays(spark):
