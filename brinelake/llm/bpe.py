@@ -28,7 +28,7 @@ import base64
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release_memory
 
 BUCKETS = 1 << 16
 #: Most words of the dictionary, the only result that the driver gathers (about 100 bytes each).
@@ -228,6 +228,7 @@ def encode_documents(
     long_word: int = LONG_WORD,
 ) -> DataFrame:
     """id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded (the bytes that the ids stand for) for each row."""
+    release_memory()  # of earlier stages, as the maps need the driver's
     vocabulary = Vocabulary(docs.sparkSession, path, pattern, long_word)
     texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
     dictionary = literal_map(frequent_words(texts, vocabulary, "__text", dictionary_words), "word", "code")

@@ -40,3 +40,17 @@ def as_bytes(column) -> list[bytes]:
 def as_text(column) -> list[str]:
     """Strings of a string column; null is empty."""
     return [x or "" for x in column.to_pylist()]
+
+
+def release_memory() -> None:
+    """Gives memory that the driver's Python has freed back to the system (Arrow's pool, and glibc's heap where there is one)."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
