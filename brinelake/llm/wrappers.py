@@ -6,12 +6,15 @@ A wrapper is a union-free regular expression over such tokens: a token, a text s
 another and aligns each with the wrapper: equal tokens match; at a mismatch a group that occurs again is
 folded into a repeated group, and what only one side has becomes an optional group.  Alignment of two
 wrappers works the same way, so streams are aligned in parts of about ``PART`` first and the parts' wrappers
-after that, until a host has one; a host with most of the pages is never one task.
+after that, until a host has one; a host with most of the pages is never one task.  A stream that would make a wrapper longer
+than ``LONGEST`` nodes (or twice its longest stream) begins the next wrapper, so every stream is in a wrapper; a host that has
+several is as many sites, and its pages go to the site that their own stream was aligned in.
 
 Elements whose name, role, class or id says so are chrome, and the text of an article or main element is the content of a
 page that has one.  What is left open, on pages without such an element, the host's wrapper decides: pages are
 matched against it, and a text slot (all of its places on a page taken together) that reads the same on all pages that
-have it, at least ``PAGES`` different ones, is part of the template, as menus and footers are.  Texts of slots that vary are
+have it, at least ``PAGES`` different ones, is part of the template, as menus and footers are; the sites of one host count pages with
+the same text together.  Texts of slots that vary are
 content.  A slot that holds over ``OUTWEIGHS`` times the text of a page's content, as the body of near copies of one article does, is content
 too, and then the shorter ones are compared with both.  The texts of content, decoded and with white space folded, are the blocks.
 Inside an article element names of classes and ids count only where they leave no doubt (``INNER``).
@@ -29,18 +32,18 @@ import json
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_text, materialize, slices
 
-#: Streams of a host that are aligned in one part; longest wrapper, in nodes, that is aligned further.
+#: Streams of a host that are aligned in one part; nodes after which a host's next wrapper begins.
 PART, LONGEST = 256, 4000
 #: Least different pages that show a slot to be template.
 PAGES = 3
 #: A slot with so many times the content's text isn't template.
 OUTWEIGHS = 8
-#: Most hosts whose wrappers, of a bounded length each, are broadcast.
+#: Most sites whose wrappers, of a bounded length each, are broadcast.
 HOT = 200
 #: Fixed word lists of HTML: elements that end a block, that have no end tag, whose content is no text, and chrome.
 BLOCK_TAGS = frozenset(
@@ -294,30 +297,62 @@ def _repeated(out: list, nodes: list, longest: int = 12) -> int:
 
 
 def _resync(a: list, i: int, b: list, j: int) -> tuple[int, int]:
-    """The least skips on both sides after which the sides match."""
-    where: dict[str, int] = {}
-    for k in range(j, len(b)):
-        where.setdefault(json.dumps(b[k]), k - j)
-    best = (len(a) - i, len(b) - j)
-    for k in range(i, len(a)):
-        if k - i >= sum(best):
-            break
-        at = where.get(json.dumps(a[k]))
-        if at is not None and at + k - i < sum(best):
-            best = (k - i, at)
+    """The least skips on both sides after which the sides match, of equal ones the least on ``a``; looks no further than their sum."""
+    in_a: dict[str, int] = {}
+    in_b: dict[str, int] = {}
+    left, right = len(a) - i, len(b) - j
+    best, k = (left, right), 0
+    while k < max(left, right) and k <= sum(best):
+        if k < right:
+            in_b.setdefault(key := _key(b[j + k]), k)
+            if (at := in_a.get(key)) is not None:
+                best = _less(best, (at, k))
+        if k < left:
+            in_a.setdefault(key := _key(a[i + k]), k)
+            if (at := in_b.get(key)) is not None:
+                best = _less(best, (k, at))
+        k += 1
     return best
 
 
+def _less(best: tuple[int, int], found: tuple[int, int]) -> tuple[int, int]:
+    return found if sum(found) < sum(best) or sum(found) == sum(best) and found[0] < best[0] else best
+
+
+def _key(node) -> str:
+    return node if isinstance(node, str) else json.dumps(node)
+
+
 def infer(streams: list[list]) -> list:
-    """The wrapper of streams (or wrappers), aligned in a fixed order; those that would make it too long are left to be marked directly."""
+    """One wrapper of all streams (or wrappers), aligned in a fixed order."""
     wrapper: list = []
-    for s in sorted(streams, key=lambda s: (len(s), json.dumps(s))):
-        aligned = align(wrapper, s) if wrapper else list(s)
-        if _size(aligned) <= LONGEST:
-            wrapper = aligned
+    for s in sorted(streams, key=_order):
+        wrapper = align(wrapper, s) if wrapper else list(s)
     return wrapper
 
 
+def infer_several(streams: list[tuple[list, int]], bound: int) -> list[tuple[list, int, list[int]]]:
+    """Wrappers of all streams (or wrappers, with the size of the longest stream in each), none left out.
+
+    One that would make a wrapper longer than ``bound`` begins the next.  Of each wrapper: the size of its longest stream, and the places of what it was made of.
+    """
+    out: list[tuple[list, int, list[int]]] = []
+    for place in sorted(range(len(streams)), key=lambda p: _order(streams[p][0])):
+        s, longest = streams[place]
+        if out:
+            wrapper, before, places = out[-1]
+            aligned = align(wrapper, s)
+            if _size(aligned) <= max(bound, 2 * max(before, longest)):
+                out[-1] = aligned, max(before, longest), [*places, place]
+                continue
+        out.append((list(s), longest, [place]))
+    return out
+
+
+def _order(nodes: list) -> tuple[int, str]:
+    return len(nodes), json.dumps(nodes)
+
+
 def _size(nodes: list) -> int:
     return sum(1 if isinstance(n, str) else 1 + _size(n[1]) for n in nodes)
 
@@ -435,36 +470,94 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)), F.lit(""))
 
 
+def _stream_of(page: str) -> tuple[str, int]:
+    """The page's stream as JSON, and its hash."""
+    from xxhash import xxh3_64_intdigest as h
+
+    stream = json.dumps(folded([t for t, _ in tokens(page)]))
+    return stream, h(stream.encode()) - (1 << 63)
+
+
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper as JSON): distinct token streams of all pages, aligned within each host."""
+    """(host, wrapper as JSON): distinct token streams of all pages, aligned within each host; a site of a host that has several is ``host/number``."""
+    return infer_sites(pages, url_col, html_col)[0]
+
+
+def infer_sites(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, DataFrame | None]:
+    """Wrappers as ``infer_wrappers`` has them, and (host, stream, site) of all streams of hosts with several (None if no host has)."""
+
+    bound = LONGEST
 
     def streams(batches):
         import pyarrow as pa
 
         for batch in slices(batches):
-            seen = {(h, json.dumps(folded([t for t, _ in tokens(p)]))) for h, p in zip(batch.column("host").to_pylist(), as_text(batch.column("page")))}
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([s for _, s in seen], pa.string())], names=["host", "wrapper"])
+            seen = {(h, *_stream_of(p)) for h, p in zip(batch.column("host").to_pylist(), as_text(batch.column("page")))}
+            columns = list(zip(*seen)) or [[]] * 3
+            kinds = (pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["host", "wrapper", "id"])
 
     def aligned(pdf):
         import pandas as pd
 
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(infer([json.loads(s) for s in pdf["wrapper"]]))]})
+        own = [json.loads(s) for s in pdf["wrapper"]]
+        found = infer_several([(s, _size(s) if n < 0 else n) for s, n in zip(own, pdf["longest"])], bound)
+        ids, last = pdf["id"].tolist(), len(found) - 1
+        rows = [(pdf["host"].iloc[0], ids[places[0]], json.dumps(w), n, [ids[p] for p in places], k == last) for k, (w, n, places) in enumerate(found)]
+        return pd.DataFrame(rows, columns=["host", "id", "wrapper", "longest", "parts", "open"])
 
-    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("page")).mapInArrow(streams, "host string, wrapper string")
-    level = materialize(rows.distinct(), "streams")
-    while True:
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("page")).mapInArrow(streams, "host string, wrapper string, id long")
+    first = materialize(rows.distinct(), "streams")
+    level, closed, rounds = first.withColumn("longest", F.lit(-1)), [], []
+    while True:  # of each part the last wrapper is aligned further, all others have no room
         sizes = level.groupBy("host").agg(F.count("*").alias("n"))
         if (sizes.agg(F.max("n")).first()[0] or 0) <= 1:
-            return level
-        salted = level.join(sizes, "host").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / PART)))
-        level = materialize(salted.select("host", "salt", "wrapper").groupBy("host", "salt").applyInPandas(aligned, "host string, wrapper string"), "wrappers")
+            break
+        salted = level.join(sizes, "host").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PART)))
+        kind = "host string, id long, wrapper string, longest int, parts array<long>, open boolean"
+        done = materialize(salted.select("host", "salt", "id", "wrapper", "longest").groupBy("host", "salt").applyInPandas(aligned, kind), "wrappers")
+        rounds.append(done.select("host", F.explode("parts").alias("part"), "id"))
+        closed.append(done.where("not open").select("host", "id", "wrapper"))
+        level = done.where("open").select("host", "id", "wrapper", "longest")
+    if not any(not c.isEmpty() for c in closed):
+        return level.select("host", "wrapper"), None
+    wrappers = functools.reduce(DataFrame.unionByName, closed, level.select("host", "id", "wrapper"))
+    several = wrappers.groupBy("host").count().where("count > 1").select("host", F.lit(True).alias("several"))
+    site = F.concat("host", F.lit("/"), F.col("id").cast("string"))  # no host has the sign
+    wrappers = materialize(wrappers.join(several, "host", "left").select(F.when(F.col("several"), site).otherwise(F.col("host")).alias("host"), "wrapper"), "sites")
+    members = first.join(several, "host", "left_semi").select("host", F.col("id").alias("stream"), "id")
+    for step in rounds:
+        next_id = step.select("host", F.col("part").alias("id"), F.col("id").alias("next"))
+        members = members.join(next_id, ["host", "id"], "left").select("host", "stream", F.coalesce("next", "id").alias("id"))
+    return wrappers, materialize(members.select("host", "stream", site.alias("site")), "members")
+
+
+def to_sites(rows: DataFrame, members: DataFrame | None) -> DataFrame:
+    """``rows`` (host, page, ...), where a host with several wrappers is replaced by the site of the page's stream."""
+    if members is None:
+        return rows
+    kept = [f for f in rows.schema if f.name != "host"]
+    several = members.select("host").distinct()
+
+    def keyed(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            found = pa.array([_stream_of(p)[1] for p in as_text(batch.column("page"))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "stream"])
+
+    inner = rows.join(several, "host", "left_semi")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema)
+    found = inner.mapInArrow(keyed, f"{schema}, stream long").join(members, ["host", "stream"], "left")
+    found = found.select(F.coalesce("site", "host").alias("host"), *[f.name for f in kept])
+    return rows.join(several, "host", "left_anti").select(*found.columns).unionByName(found)
 
 
 def template_slots(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
     """(host, wrapper, fixed): the slots of each host's wrapper that read the same on all its pages.
 
     ``rows``: host and page.  Every task sends one row for a slot of a host: the least and greatest hash of its texts
-    and a bit for each different page (of 63 kinds).
+    and a bit for each different page (of 63 kinds).  For the sites of one host, pages that have the text at such a slot of any site count.
     """
 
     def slots(batches):
@@ -485,7 +578,9 @@ def template_slots(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
 
     found = _with_wrappers(rows, wrappers).select("host", "wrapper", "page").mapInArrow(slots, "host string, place int, least long, most long, pages long")
     sums = found.groupBy("host", "place").agg(F.min("least").alias("a"), F.max("most").alias("b"), F.bit_or("pages").alias("pages"))
-    fixed = sums.where((F.col("a") == F.col("b")) & (F.bit_count("pages") >= PAGES))
+    whole = Window.partitionBy(F.substring_index("host", "/", 1), "a")
+    pages = F.when(F.contains("host", F.lit("/")), F.bit_or("pages").over(whole)).otherwise(F.col("pages"))
+    fixed = sums.where(F.col("a") == F.col("b")).withColumn("pages", pages).where(F.bit_count("pages") >= PAGES)
     return wrappers.join(fixed.groupBy("host").agg(F.array_sort(F.collect_list("place")).alias("fixed")), "host", "left")
 
 
@@ -524,7 +619,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("page")
     )
-    wrappers = materialize(template_slots(rows.select("host", "page"), infer_wrappers(pages, url_col, html_col)), "templates")
+    wrappers, members = infer_sites(pages, url_col, html_col)
+    rows = to_sites(rows, members)
+    wrappers = materialize(template_slots(rows.select("host", "page"), wrappers), "templates")
 
     def run(batches):
         import pyarrow as pa

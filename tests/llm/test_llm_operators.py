@@ -625,6 +625,29 @@ def test_large_hosts_are_aligned_in_parts(spark, monkeypatch):
         assert wrappers.match(__import__("json").loads(w.wrapper), stream)[0] == len(stream)
 
 
+def test_streams_past_a_wrapper_s_length_are_aligned_too(spark):
+    kinds = ["".join(f"<x{k}-{j}>" for j in range(500)) + "<p>story {}</p>" + "".join(f"</x{k}-{j}>" for j in reversed(range(500))) for k in range(12)]
+    foot = "<div class=z>terms that apply to all of this site</div>"
+    # the last kind has one page, so that the footer is known from the pages of the others
+    pages = [("http://h.example/%d" % i, kinds[min(i // 3, 11)].format(i) + foot) for i in range(34)]
+    assert extracted(spark, pages) == {i: f"story {i}" for i in range(34)}
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    sites, members = wrappers.infer_sites(df)
+    assert sites.count() > 1 and members.count() == members.select("stream").distinct().count() == 12
+    held = {r.host: __import__("json").loads(r.wrapper) for r in sites.collect()}
+    for r in wrappers.to_sites(df.select(wrappers.host_of(F.col("url")).alias("host"), F.col("html").alias("page")), members).collect():
+        stream = [t for t, _ in wrappers.tokens(r.page)]
+        assert wrappers.match(held[r.host], stream)[0] == len(stream)
+
+
+def test_skips_are_the_least():
+    rng = random.Random(3)
+    for _ in range(3000):
+        a, b = ([rng.choice(["#", "<a>", "<b>", ["?", ["<c>"]], "<d>", "<e>"]) for _ in range(rng.randrange(9))] for _ in "ab")
+        pairs = [(k + at, k, at) for k in range(len(a)) for at in range(len(b)) if a[k] == b[at]]
+        assert wrappers._resync(a, 0, b, 0) == (min(pairs)[1:] if pairs else (len(a), len(b)))
+
+
 def test_no_pages(spark):
     assert wrappers.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
