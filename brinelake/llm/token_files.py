@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -33,6 +34,10 @@ COUNTS = (0, 240, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 #: Ids at which a block is closed after the current document; words between two anchors.
 BLOCK_IDS, ANCHOR = 1 << 16, 512
+#: Rows that are encoded at a time, as a piece is looked up once for all of them.
+ENCODE_ROWS = 1024
+#: Runs of narrow ids that are marked one by one.
+FEW_RUNS = 256
 END_ID = 0
 #: Pieces that a worker remembers, the longest of them, and the characters of new pieces that go to the library as one text.
 REMEMBER, REMEMBER_CHARS, CALL_CHARS = 1_000_000, 48, 4096
@@ -56,10 +61,16 @@ def pack(ids: np.ndarray) -> np.ndarray:
     width, at = _widths(ids), np.arange(n)
     choice = np.zeros(n, np.int8)
     for selector in range(15, 0, -1):
-        bad = np.where(width > BITS[selector], at, n + 240)
-        room = np.minimum.accumulate(bad[::-1])[::-1] - at
+        count, wide = COUNTS[selector], width > BITS[selector]
         # past the end there is nothing that doesn't fit: the number of ids of a block is known
-        choice[room >= COUNTS[selector]] = selector
+        bad = np.concatenate([[-1], np.flatnonzero(wide), [n + 240]])
+        runs = np.flatnonzero(np.diff(bad) > count)
+        if len(runs) <= FEW_RUNS:  # usual where few ids are so narrow
+            for first, end in zip((bad[runs] + 1).tolist(), bad[runs + 1].tolist()):
+                choice[first : min(end - count + 1, n)] = selector
+        else:
+            room = np.minimum.accumulate(np.where(wide, at, n + 240)[::-1])[::-1] - at
+            choice[room >= count] = selector
     step = np.asarray(COUNTS)[choice]
     raw = choice == 0  # the id itself needs more than 60 bits
     step[raw] = 1
@@ -136,7 +147,7 @@ class ByteLevelEncoder:
     """Ids of a byte-level .json tokenizer, with whole texts cut at safe boundaries.
 
     A space that no white space follows starts a new piece of the pre-tokenizer, so the text can be cut before it.  Pieces
-    that were met before aren't encoded again.  New ones of Latin letters and ASCII punctuation are one pre-token or two, which
+    that were met lately aren't encoded again, and each is looked up once for all texts of a call.  New ones of Latin letters and ASCII punctuation are one pre-token or two, which
     the library's model encodes directly (if the tokenizer is of the kind that allows it).  All others go to the library joined to texts of
     about ``CALL_CHARS``, since a call for each costs more than its encoding; as every token stands for a known number of bytes,
     its ids are cut at the pieces again.
@@ -152,6 +163,7 @@ class ByteLevelEncoder:
         self.unsafe = re.compile(r" (?:[\s\x1c-\x1f\x85]|$)")
         self.safe = re.compile(r" (?=[^\s\x1c-\x1f\x85])")
         self.known: dict[str, bytes] = {}  # by the piece without the space it starts with
+        self.older: dict[str, bytes] = {}  # what was known before the newer ones were many
         self.marks: dict[str, bytes] = {}
         added = {i: len(t.content.encode()) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -162,13 +174,11 @@ class ByteLevelEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in a byte-level token
         hidden = [b for b in range(256) if b not in shown]
         self.shown = {b: 256 + k for k, b in enumerate(hidden)}
+        self.shown_but_lines = {b: c for b, c in self.shown.items() if b != 10}
+        self.tokenize = self.tokenizer.model.tokenize
         for token, i in vocabulary.items():  # a character of a byte-level token is a byte
             self.sizes[i] = added.get(i, len(token))
 
-    def pieces(self, text: str) -> list[str]:
-        """The text cut at the spaces that start pieces, without those spaces."""
-        return self.safe.split(text) if self.unsafe.search(text) else text.split(" ")
-
     def _is_plain(self, kind: dict) -> bool:
         """Whether words are pre-tokens with the space before them, whose ids the model alone decides."""
         cut, model = kind["pre_tokenizer"] or {}, kind["model"]
@@ -179,24 +189,51 @@ class ByteLevelEncoder:
 
     def _model(self, pretoken: str) -> bytes:
         text = pretoken.encode().decode("latin-1").translate(self.shown)
-        return np.asarray([t.id for t in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
+        return self._ids(self.tokenize(text))
+
+    @staticmethod
+    def _ids(found) -> bytes:
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Ids of words of ``plain`` letters that a space stands before."""
+        space = chr(self.shown[32])
+        shown = [w if w.isascii() else None for w in words]
+        other = [k for k, w in enumerate(shown) if w is None]
+        # a line feed is none of their bytes
+        for k, w in zip(other, "\n".join([words[k] for k in other]).encode().decode("latin-1").translate(self.shown_but_lines).split("\n")):
+            shown[k] = w
+        tokenize, ids = self.tokenize, self._ids
+        self.known.update(zip(words, [ids(tokenize(space + w)) for w in shown]))
 
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words that a space stands before."""
+    def _unknown(self, words: list[str]) -> list[str]:
+        """Those of the words that aren't remembered; what only the older memory has comes to the newer."""
+        known, older = self.known, self.older
+        missing = [w for w in words if w not in known]
+        known.update([(w, older[w]) for w in missing if w in older])
+        return [w for w in missing if w not in older]
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Remembers the ids of words that a space stands before; returns those of letters with punctuation, which are put together and not remembered."""
         calls, held = [[]], 0
-        for w in words:
-            if self.direct and (m := self.plain.fullmatch(w)):
-                letters, marks = m.groups()
-                if letters not in self.known:
-                    self.known[letters] = self._model(" " + letters)
-                if marks:
-                    if marks not in self.marks:
-                        self.marks[marks] = self._model(marks)
-                    self.known[w] = self.known[letters] + self.marks[marks]
-                continue
+        letters, marked, others = [], [], words
+        if self.direct:
+            others = []
+            for w in words:
+                if (m := self.plain.fullmatch(w)) is None:
+                    others.append(w)
+                elif m.group(2):
+                    marked.append((w, *m.groups()))
+                else:
+                    letters.append(w)
+        self._learn_letters(self._unknown(list({w for _, w, _ in marked}.union(letters))))
+        for marks in {m for _, _, m in marked}.difference(self.marks):
+            self.marks[marks] = self._model(marks)
+        known, known_marks = self.known, self.marks
+        for w in others:
             calls[-1].append(w)
             held += len(w) + 1
             if held > CALL_CHARS:
@@ -214,26 +251,61 @@ class ByteLevelEncoder:
                 continue
             whole, at = ids.tobytes(), [0, *((cuts + 1) * 4).tolist()]
             self.known.update(zip(own, [whole[a:b] for a, b in zip(at, at[1:])]))
+        return {w: known[letters] + known_marks[marks] for w, letters, marks in marked}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
-        known = self.known
-        if len(known) > REMEMBER:
-            known.clear()
+        if len(self.known) > REMEMBER // 2:  # those that don't come again meanwhile are forgotten
+            self.older, self.known = self.known, {}
+        if len(self.marks) > REMEMBER // 2:
             self.marks.clear()
-        split = [self.pieces(t) for t in texts]
-        firsts = self._each([words[0] for words in split])
-        for words in split:
-            words[0] = ""  # encoded apart, as no space stands before it
-        new = set().union(*split).difference(known)
-        new.discard("")
-        self._learn(list(new))
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out = [b""] * len(texts)
+        cut = [self.unsafe.search(t) is not None for t in texts]
+        for unsafe in (False, True):
+            places = [k for k, c in enumerate(cut) if c == unsafe]
+            if places:
+                own = [texts[k] for k in places]
+                kind = pa.list_(pa.large_string())
+                lists = pa.array([self.safe.split(t) for t in own], kind) if unsafe else pc.split_pattern(pa.array(own, pa.large_string()), " ")
+                for k, ids in zip(places, self._encode_pieces(lists)):
+                    out[k] = ids
+        return out
+
+    def _encode_pieces(self, lists) -> list[bytes]:
+        """Ids of texts given by their pieces: each different piece is looked up once, and arrays do the rest."""
+        import gc
+
+        known, at = self.known, lists.offsets.to_numpy()
+        pieces = lists.values.dictionary_encode()
+        place, different = pieces.indices.to_numpy().copy(), pieces.dictionary
+        firsts = self._each(different.take(pieces.indices.take(lists.offsets[:-1])).to_pylist())
+        place[at[:-1]] = len(different)  # encoded apart, as no space stands before it
+        used = np.flatnonzero(np.bincount(place, minlength=len(different) + 1)[:-1])
+        words = different.take(used).to_numpy(zero_copy_only=False).tolist()
         known[""] = b""
-        out = [first + b"".join(map(known.__getitem__, words)) for first, words in zip(firsts, split)]
+        new = self._unknown(words)
+        collects = gc.isenabled()
+        gc.disable()  # many small objects without cycles come and go
+        try:
+            marked = self._learn(new)
+        finally:
+            if collects:
+                gc.enable()
+        codes = [known[w] if w in known else marked[w] for w in words]
         for w in new:
             if len(w) > REMEMBER_CHARS:
-                del known[w]
-        return out
+                known.pop(w, None)
+        size = np.zeros(len(different) + 1, np.int64)
+        size[used] = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        ids, start = np.frombuffer(b"".join(codes), "<u4"), np.cumsum(size) - size
+        n = size[place]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = ids[np.repeat(start[place] - ends[:-1], n) + np.arange(ends[-1])]
+        bounds = ends[at].tolist()
+        return [first + ids[a:b].tobytes() for first, a, b in zip(firsts, bounds, bounds[1:])]
 
 
 _encoders: dict[str, ByteLevelEncoder] = {}
@@ -290,7 +362,7 @@ def write_token_files(
                 names=["part", "block", "first_id", "n_ids", "doc_ids", "doc_starts", "anchors", "words"],
             )
 
-        for batch in slices(batches):
+        for batch in slices(batches, ENCODE_ROWS):
             id_arrow = batch.schema.field("id").type
             for doc_id, ids in zip(batch.column("id").to_pylist(), enc.encode(as_text(batch.column("text")))):
                 names.append(doc_id)

@@ -640,6 +640,31 @@ def test_streams_past_a_wrapper_s_length_are_aligned_too(spark):
         assert wrappers.match(held[r.host], stream)[0] == len(stream)
 
 
+def test_new_words_are_learned_together_and_runs_marked_apart():
+    path = P.path("byte_bpe_50k.json")
+    enc = token_files.ByteLevelEncoder(path)
+    words = ["plain", "Übermaß", "señor", "naïve", "x", "ÿ", "ĝis"]
+    enc._learn_letters(words)
+    assert [enc.known[w] for w in words] == [np.asarray(enc.tokenizer.encode(" " + w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    # words met again stay when the memory is full, letters are kept without their punctuation
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(token_files, "REMEMBER", 8)
+        enc = token_files.ByteLevelEncoder(path)
+        texts = [f"a señor, w{i} x{i} word{i}!  naïve\n" for i in range(30)] + ["", " ", "señor!"]
+        got = [enc.encode([t])[0] for t in texts]
+        assert got == [np.asarray(enc.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts] == enc.encode(texts)
+    assert "señor" in enc.known or "señor" in enc.older
+    assert "señor," not in enc.known and "señor," not in enc.older
+    rng = np.random.default_rng(7)
+    for few in (0, 3, token_files.FEW_RUNS):  # both ways of marking give the same words
+        for _ in range(50):
+            ids = rng.integers(0, 1 << 62, 900).astype(np.uint64) >> rng.integers(0, 63, 900).astype(np.uint64)
+            with pytest.MonkeyPatch.context() as m:
+                m.setattr(token_files, "FEW_RUNS", few)
+                got = token_files.pack(ids)
+            assert got.tobytes() == token_files.pack(ids).tobytes() and (token_files.unpack(got, len(ids)) == ids).all()
+
+
 def test_skips_are_the_least():
     rng = random.Random(3)
     for _ in range(3000):
