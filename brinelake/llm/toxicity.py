@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_text, held_out, materialize, slices
+from .common import SLICE_ROWS, as_text, held_out, materialize, release_memory, slices
 
 #: Examples of each label; most terms whose postings are stored in blocks; terms whose frequencies are counted in one row.
 PER_CLASS, DENSE, CHUNK = 2000, 2048, 8192
@@ -102,6 +102,10 @@ class Lexicon:
         self.words = {t: i for i, t in enumerate(self.terms) if t[-1] != "*"}
         self.beginnings = {t[:-1]: i for i, t in enumerate(self.terms) if t[-1] == "*"}
 
+    def drop_tables(self) -> None:
+        """The driver needs terms and tree alone, once it has them; workers make their own tables."""
+        self.words, self.beginnings = {}, {}
+
     def __getstate__(self) -> str:
         return "\n".join(self.terms)
 
@@ -391,10 +395,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, keep: tu
 
     Document frequencies are counted over all rows.
     """
+    release_memory()  # of earlier stages
     sample, sizes = _sample(docs, labels, per_class)
     sample = materialize(sample, "toxicity-sample")
     drawn = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     lexicon, phi = sample_terms(sample, drawn) if drawn else (Lexicon([]), np.empty(0))
+    lexicon.drop_tables()
+    release_memory()
     vectors = materialize(term_vectors(docs, lexicon, keep), "term-vectors")
     if not drawn:
         return None, vectors, lexicon.tree
@@ -402,11 +409,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, keep: tu
     idf = 1 + np.log((1 + total) / (1 + seen))
     examples = term_vectors(sample.withColumn("y", F.col("y").cast("int")), lexicon, ("y",)).toArrow()
     ids = examples.column("doc_id").to_pylist()
-    terms, counts = zip(*lexicon.tree.all_terms(list(zip(*(arrays(examples.column(c).combine_chunks()) for c in ("terms", "counts"))))))
     tree = lexicon.tree
-    del lexicon
+    longest = list(zip(*(arrays(examples.column(c).combine_chunks()) for c in ("terms", "counts"))))
+    # few texts at a time, as their keys take several times the room of the result
+    terms, counts = zip(*[v for at in range(0, len(longest), SLICE_ROWS) for v in tree.all_terms(longest[at : at + SLICE_ROWS])])
+    del longest
+    y = examples.column("y").to_numpy().astype(float)
+    del lexicon, examples
+    release_memory()  # before the index takes some
     order = sorted(range(len(ids)), key=lambda i: str(ids[i]))
-    y = examples.column("y").to_numpy().astype(float)[order]
+    y = y[order]
     weights = np.asarray([sizes[int(v)] / drawn[int(v)] for v in y])
     return Model(Index(idf * phi, [(terms[i], counts[i]) for i in order], [ids[i] for i in order], y, weights)), vectors, tree
 

@@ -665,6 +665,18 @@ def test_new_words_are_learned_together_and_runs_marked_apart():
             assert got.tobytes() == token_files.pack(ids).tobytes() and (token_files.unpack(got, len(ids)) == ids).all()
 
 
+def test_lexicon_without_tables_is_the_same_in_workers():
+    import pickle
+
+    terms = ["insult", "ins*", "insu*", "word", "wor*"]
+    lexicon = toxicity.Lexicon(list(terms))
+    want = [lexicon.longest(w) for w in ("insult", "insular", "words", "x")]
+    lexicon.drop_tables()
+    assert not lexicon.words and not lexicon.beginnings
+    sent = pickle.loads(pickle.dumps(lexicon))
+    assert [sent.longest(w) for w in ("insult", "insular", "words", "x")] == want
+
+
 def test_skips_are_the_least():
     rng = random.Random(3)
     for _ in range(3000):
