@@ -3,7 +3,7 @@
 Text is cut by the tokenizer's pattern into words.  A word is an array of byte pieces (binary); a fold merges the
 adjacent pair of least rank, leftmost first, until no pair has a rank.  Ranks come from a map that scalar
 subqueries put into the plan as a literal value, so that no plan text holds it: an array of small maps, one for each value
-of crc32 mod ``BUCKETS``, because Spark looks a key up in a map by scanning it.
+of the hash mod ``BUCKETS``, because Spark looks a key up in a map by scanning it.
 
 The distinct words of the corpus are counted, and those that are most frequent (at most ``DICTIONARY_WORDS``,
 whatever the size of the corpus) are folded once and become a second such map, which holds the bytes of a word's
@@ -34,8 +34,9 @@ BUCKETS = 1 << 16
 #: Most words of the dictionary, the only result that the driver gathers (about 100 bytes each).
 DICTIONARY_WORDS = 1 << 18
 LONG_WORD = 2048
-#: The rank of what has none; more than the places of a word that is folded as an array.
-NONE, PLACES = 2147483647, 1 << 12
+#: Bits of a place in a word that is folded as an array, the rank of what has none, and most bytes whose places are bits of a number.
+PLACE_BITS, NONE, BITS = 12, 2147483647, 62
+PLACES = 1 << PLACE_BITS
 BYTES = "ISO-8859-1"
 
 
@@ -46,7 +47,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def _bucket(key: Column) -> Column:
-    return F.crc32(key.cast("binary")).bitwiseAND(BUCKETS - 1).cast("int")
+    return F.hash(key).bitwiseAND(BUCKETS - 1)
 
 
 def literal_map(entries: DataFrame, key: str, value: str) -> Column:
@@ -62,9 +63,18 @@ def _look_up(literal: Column, key: Column) -> Column:
     return F.try_element_at(F.get(literal, _bucket(key)), key)
 
 
+def _rank(ranks: Column, piece: Column) -> Column:
+    return F.coalesce(_look_up(ranks, piece), F.lit(NONE))
+
+
 def _bind(value: Column, body) -> Column:
     """``body(value)`` with the value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _if(condition: Column, then: Column, other: Column) -> Column:
+    """As ``when``, which costs more where it is interpreted."""
+    return F.call_function("if", condition, then, other)
 
 
 def _chars(binary: Column) -> Column:
@@ -97,7 +107,7 @@ class Vocabulary:
         end = b"\xff\xff"  # no key has it
         while any(end in key for key in ranks):
             end += b"\xff"
-        self.end = F.lit(end)
+        self.end_bytes, self.end = end, F.lit(end)
 
     def given(self, rows: DataFrame, *columns, **more: Column) -> DataFrame:
         """The columns of ``rows``, the maps and ``more`` values of subqueries."""
@@ -112,39 +122,49 @@ class Vocabulary:
         return _bind(F.col("__ranks"), lambda ranks: self._fold(ranks, word))
 
     def _fold(self, ranks: Column, word: Column) -> Column:
-        def rank(piece: Column) -> Column:
-            return F.coalesce(_look_up(ranks, piece), F.lit(NONE))
-
-        short = self._fold_short(rank, word.cast("binary"))
-        return F.when(F.octet_length(word) > self.long_word, self._fold_long(rank, F.hex(word.cast("binary")))).otherwise(short)
-
-    def _fold_short(self, rank, word: Column) -> Column:
-        def node(piece, pair):  # a piece, and the rank of its pair with the next one in steps of PLACES
-            return F.struct(piece.alias("p"), (rank(pair).cast("long") * PLACES).alias("r"))
-
-        def nodes(pieces):
-            return F.transform(pieces, lambda x, i: node(x, F.concat(x, F.coalesce(F.get(pieces, i + 1), self.end))))
-
-        def merge(s, k):
-            """The pair at k and k + 1 becomes one piece, which has other pairs on both sides."""
-            piece = lambda i: F.get(s, i)["p"]
-            return F.transform(
-                F.filter(s, lambda _, i: i != k + 1),
-                lambda x, i: F.when(i == k, node(F.concat(piece(k), piece(k + 1)), F.concat(piece(k), piece(k + 1), piece(k + 2))))
-                .when(i == k - 1, node(x["p"], F.concat(x["p"], piece(k), piece(k + 1))))
-                .otherwise(x),
-            )
+        short = _bind(F.concat(self.end, word.cast("binary")), lambda held: self._fold_short(ranks, held))
+        return F.when(F.octet_length(word) > self.long_word, self._fold_long(lambda piece: _rank(ranks, piece), F.hex(word.cast("binary")))).otherwise(short)
+
+    def _fold_short(self, ranks: Column, held: Column) -> Column:
+        """Ids of the bytes after ``self.end``, which stands before them as a piece that merges with none.
+
+        A piece is one number: the rank of its pair with the next one, and the place where it starts.  So the least number is
+        the pair of least rank, leftmost first, and a merge takes three numbers out and puts two in, which costs much less than
+        a look at each piece.  Up to ``BITS`` bytes, the bits of a number say which places start a piece, so those before a place
+        are counted at once.
+        """
+        before = len(self.end_bytes)
+        bit = lambda place: F.call_function("shiftleft", F.lit(1).cast("long"), place)
+        start = lambda x: x.bitwiseAND(PLACES - 1).cast("int")
+        piece = lambda a, b: _rank(ranks, F.substring(held, a + 1, b - a))
+        node = lambda a, b: F.shiftleft(piece(a, b).cast("long"), PLACE_BITS) + a
+        none = F.lit(NONE << PLACE_BITS)
+
+        def merge(s, least, k):
+            """The pieces at k and k + 1 become one, which has other pairs on both sides."""
+            at = lambda i: F.get(s["pieces"], i)
+            rest = F.array_remove(F.array_remove(F.array_remove(s["pieces"], least), at(k + 1)), at(k - 1))
+            left, right = node(start(at(k - 1)), start(at(k + 2))), node(start(least), start(at(k + 3)))
+            pieces = F.array_insert(F.array_insert(rest, k, right), k, left)
+            return F.struct(pieces.alias("pieces"), s["starts"].bitwiseXOR(bit(start(at(k + 1)))).alias("starts"))
 
         def step(s, _):
-            # the least rank and, of equal ones, the first place, in one number (array_position would cost more than all the rest)
-            least = F.array_min(F.transform(s, lambda x, i: x["r"] + i))
-            return _bind(least, lambda n: F.when(n >= NONE * PLACES, s).otherwise(_bind((n % PLACES).cast("int"), lambda k: merge(s, k))))
-
-        # the end stands after the last piece
-        pieces = F.concat(F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1))), F.array(self.end))
-        rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(word) - 1).cast("int"))
-        merged = F.aggregate(rounds, _bind(pieces, nodes), step)
-        return F.transform(F.slice(merged, F.lit(1), F.size(merged) - 1), lambda x: rank(x["p"]))
+            def merged(least):
+                few = F.bit_count(s["starts"].bitwiseAND(bit(start(least)) - 1))
+                many = F.size(F.filter(s["pieces"], lambda x: start(x) < start(least)))
+                k = _if(F.length(held) <= BITS, few, many)
+                return _if(least >= none, s, _bind(k, lambda k: merge(s, least, k)))
+
+            return _bind(F.array_min(s["pieces"]), merged)
+
+        # the end is the first piece; what stands after the last one has the place where the word ends
+        size = F.length(held)
+        pairs = F.transform(F.sequence(F.lit(before), size - 1), lambda i: _if(i + 1 < size, node(i, i + 2), none + i))
+        pieces = F.array_append(F.array_insert(pairs, F.lit(1), none), none + size)
+        starts = _if(size <= BITS, bit(size) - (1 << before) + 1, F.lit(0).cast("long"))
+        rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), size - before - 1))
+        end = F.aggregate(rounds, F.struct(pieces.alias("pieces"), starts.alias("starts")), step, lambda s: s["pieces"])
+        return _bind(end, lambda x: F.transform(F.slice(x, F.lit(2), F.size(x) - 2), lambda p, i: piece(start(p), start(F.get(x, i + 2)))))
 
     def _fold_long(self, rank, digits: Column) -> Column:
         def pieces(s):

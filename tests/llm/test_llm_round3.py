@@ -330,3 +330,36 @@ def test_archive_without_pages(spark, pages, tmp_path):
 
 def test_sql_has_no_limits():
     assert not re.search(r"\b(limit|sample)\b", sql.RESAMPLE + sql.WARC, re.I)
+
+
+def test_bpe_fold_costs_in_proportion_to_a_word(spark):
+    """Words of four times the bytes take about four times the time, not sixteen; and all lengths around the number of bits are right."""
+    import time
+
+    import public_tokenizers as P
+    import tiktoken
+
+    from brinelake.llm import bpe
+
+    rng = random.Random(5)
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    vocabulary = bpe.Vocabulary(spark, path, P.PATTERN)
+    word = lambda size: "".join(rng.choice("abeilnorst") for _ in range(size))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    some = spark.createDataFrame([(word(n),) for n in range(1, 90)] + [("é" * n,) for n in range(25, 40)], "word string").repartition(4)
+    for r in vocabulary.given(some, "word").select("word", vocabulary.fold(F.col("word")).alias("ids")).collect():
+        assert list(r.ids) == enc.encode_ordinary(r.word)
+
+    def seconds(size: int, n: int, value) -> float:
+        words = spark.createDataFrame([(word(size),) for _ in range(n)], "word string").repartition(8).cache()
+        words.count()
+        took = []
+        for _ in range(3):
+            began = time.time()
+            vocabulary.given(words, "word").select(value.alias("x")).write.format("noop").mode("overwrite").save()
+            took.append(time.time() - began)
+        return min(took)
+
+    empty = seconds(14, 6000, F.size("__ranks"))
+    fold = vocabulary.fold(F.col("word"))
+    assert seconds(56, 6000, fold) - empty < 9 * (seconds(14, 6000, fold) - empty)
