@@ -360,6 +360,6 @@ def test_bpe_fold_costs_in_proportion_to_a_word(spark):
             took.append(time.time() - began)
         return min(took)
 
-    empty = seconds(14, 6000, F.size("__ranks"))
+    empty = seconds(14, 20000, F.size("__ranks"))
     fold = vocabulary.fold(F.col("word"))
-    assert seconds(56, 6000, fold) - empty < 9 * (seconds(14, 6000, fold) - empty)
+    assert seconds(56, 20000, fold) - empty < 9 * (seconds(14, 20000, fold) - empty)
