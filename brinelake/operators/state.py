@@ -16,6 +16,11 @@ from .guarded import guarded
 KEYS = ("context", "path")
 
 
+def _order(arrival: str | list[str]) -> list[str]:
+    """Columns that order rows by arrival; where the first may repeat, those after it decide."""
+    return [arrival] if isinstance(arrival, str) else list(arrival)
+
+
 def sorted_scan(df: DataFrame, keys: list[str], order: list[str], reads: list[str], keep, start=None) -> DataFrame:
     """Rows for which ``keep(state, *values) -> (kept, state)`` holds, row by row in the order of each key.
 
@@ -98,9 +103,9 @@ def changes(mapped: DataFrame, value: str = "value", arrival: str = "seq") -> Da
     return rows.where((F.col("__n") == 1) | ~F.col(value).eqNullSafe(F.col("__before"))).drop("__n", "__before")
 
 
-def without_late(mapped: DataFrame, arrival: str = "seq") -> DataFrame:
+def without_late(mapped: DataFrame, arrival: str | list[str] = "seq") -> DataFrame:
     """Rows not older than any that arrived before them with the same (context, path)."""
-    w = Window.partitionBy(*KEYS).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(*KEYS).orderBy(*_order(arrival)).rowsBetween(Window.unboundedPreceding, -1)
     return mapped.withColumn("__max", F.max("time").over(w)).where(F.col("__max").isNull() | (F.col("time") >= F.col("__max"))).drop("__max")
 
 
