@@ -109,7 +109,7 @@ def without_late(mapped: DataFrame, arrival: str | list[str] = "seq") -> DataFra
     return mapped.withColumn("__max", F.max("time").over(w)).where(F.col("__max").isNull() | (F.col("time") >= F.col("__max"))).drop("__max")
 
 
-def changes_without_late(mapped: DataFrame, value: str = "value", arrival: str = "seq") -> DataFrame:
+def changes_without_late(mapped: DataFrame, value: str = "value", arrival: str | list[str] = "seq") -> DataFrame:
     """Both at once, the stored row being the last that was kept."""
 
     def keep(stored, time, given):
@@ -117,7 +117,7 @@ def changes_without_late(mapped: DataFrame, value: str = "value", arrival: str =
             return False, stored
         return True, (time, given)
 
-    return sorted_scan(mapped, list(KEYS), [arrival], ["time", value], keep)
+    return sorted_scan(mapped, list(KEYS), _order(arrival), ["time", value], keep)
 
 
 def moving_average(mapped: DataFrame, retention: str, value: str = "value") -> DataFrame:

@@ -218,7 +218,7 @@ def f04(spark, d):
     SELECT seq, context, path FROM scan WHERE kept""",
 )
 def f0304(spark, d):
-    return S.changes_without_late(disordered(spark, d)).select("seq", "context", "path")
+    return S.changes_without_late(disordered(spark, d), arrival=ARRIVAL).select("seq", "context", "path")
 
 
 @query(
