@@ -192,7 +192,7 @@ def merge_step(stored: tuple | None, shape, given: tuple, lists: tuple[bool, ...
     return shape, tuple(old if (not new if is_list else new is None) else new for old, new, is_list in zip(stored[1], given, lists))
 
 
-def merged_changes(mapped: DataFrame, fields: list[str], lists: list[str] = (), shape: str = "shape", arrival: str = "seq") -> DataFrame:
+def merged_changes(mapped: DataFrame, fields: list[str], lists: list[str] = (), shape: str = "shape", arrival: str | list[str] = "seq") -> DataFrame:
     """Changes over merged values: rows whose value isn't the stored one of the (context, path) and that aren't older than it.
 
     The incoming value is compared with what was merged so far, then its time with that of the last row kept; a row that is kept has
@@ -211,7 +211,7 @@ def merged_changes(mapped: DataFrame, fields: list[str], lists: list[str] = (),
         value = merge_step(state[1] if state else None, *value, is_list)
         return (time, value), (value[0], *((v or []) if l else v for v, l in zip(value[1], is_list)))
 
-    return sorted_fold(mapped, list(KEYS), [arrival], ["time", shape, *columns], [shape, *columns], step)
+    return sorted_fold(mapped, list(KEYS), _order(arrival), ["time", shape, *columns], [shape, *columns], step)
 
 
 def final_fields(mapped: DataFrame, fields: list[str], arrival: str = "seq") -> DataFrame:

@@ -350,13 +350,13 @@ MERGED_CHANGES = f"""WITH RECURSIVE {MAPPED}, {EIGHT}, q AS (SELECT * REPLACE ((
 
 
 def arriving_shapes(spark, d):
-    return eight_shapes(spark, d).withColumn("seq", (F.col("seq") * 7919) % 10007)
+    return eight_shapes(spark, d).withColumns({"event": F.col("seq"), "seq": (F.col("seq") * 7919) % 10007})
 
 
 @query("f03_merged_changes", MERGED_CHANGES)
 def f03_merged(spark, d):
     """Changes and late rows over what values of all shapes merge to."""
-    out = S.merged_changes(arriving_shapes(spark, d), ["a", "b"], ["l"])
+    out = S.merged_changes(arriving_shapes(spark, d), ["a", "b"], ["l"], arrival=ARRIVAL)
     return out.select("seq", "context", "path", "shape", "a", "b", F.get("l", F.lit(0)).alias("first"))
 
 
