@@ -15,7 +15,7 @@ from .core import coarse, registry_rows
 from .decoding import BLOCKS
 from .feeds import MAPPED, mapped, table
 from .registry import ORACLES, query
-from .stateful import DELTA_SQL, LIMITED, register_numbers
+from .stateful import ARRIVAL, DELTA_SQL, LIMITED, register_numbers
 
 
 #: The most that one trigger takes; so much of a key's rows is in one task at most.
@@ -410,8 +410,8 @@ def t05(spark, d):
     SELECT seq, context, path FROM scan WHERE kept""",
 )
 def u04_changes(spark, d):
-    stream = mapped_stream(spark, d).withColumns({"seq": (F.col("seq") * 7919) % 10007, "value": F.floor(F.col("value") / 40).cast("long")})
-    return finished(J.run_machine(stream, ["context", "path"], J.Changes())).select("seq", "context", "path")
+    stream = mapped_stream(spark, d).withColumns({"event": F.col("seq"), "seq": (F.col("seq") * 7919) % 10007, "value": F.floor(F.col("value") / 40).cast("long")})
+    return finished(J.run_machine(stream, ["context", "path"], J.Changes(tuple(ARRIVAL)))).select("seq", "context", "path")
 
 
 @query(

@@ -37,8 +37,8 @@ def without_redelivery(stream: DataFrame, lateness: str = "1 hour") -> DataFrame
     return stream.withWatermark("time", lateness).dropDuplicatesWithinWatermark(["time", "origin", "context", "connector", "path"])
 
 
-def _columns(rows, names: list[str]):
-    """The frames of a key in one trigger, and the columns ``names`` of all of them as arrays in the order of arrival (``seq``), with the order.
+def _columns(rows, names: list[str], arrival: tuple[str, ...] = ("seq",)):
+    """The frames of a key in one trigger, and the columns ``names`` of all of them as arrays in the order of ``arrival``, with the order.
 
     A trigger's rows are bounded by the stream's ``maxBytesPerTrigger``; frames are neither joined nor sorted.
     """
@@ -47,17 +47,17 @@ def _columns(rows, names: list[str]):
     frames = [f for f in rows if len(f)]
     if not frames:
         return [], [np.empty(0)] * len(names), np.empty(0, np.int64)
-    order = np.argsort(np.concatenate([f["seq"].to_numpy() for f in frames]), kind="stable")
+    order = np.lexsort([np.concatenate([f[c].to_numpy() for f in frames]) for c in reversed(arrival)])
     return frames, [np.concatenate([f[c].to_numpy() for f in frames])[order] for c in names], order
 
 
 class _Scan(StatefulProcessor):
     """Base of state machines with one value of state for each key, rows of a trigger in order of arrival.
 
-    ``READS`` are the columns that decide whether a row is kept.
+    ``READS`` are the columns that decide whether a row is kept, ``ARRIVAL`` those that order rows.
     """
 
-    STATE, READS = "a timestamp, b string", ("time", "value")
+    STATE, READS, ARRIVAL = "a timestamp, b string", ("time", "value"), ("seq",)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", self.STATE)
@@ -72,7 +72,7 @@ class _Scan(StatefulProcessor):
         import numpy as np
         import pandas as pd
 
-        frames, columns, order = _columns(rows, self.READS)
+        frames, columns, order = _columns(rows, self.READS, self.ARRIVAL)
         state = tuple(self.state.get()) if self.state.exists() else None
         kept = np.zeros(len(order), bool)
         columns = [pd.Series(c) if c.dtype.kind == "M" else c.tolist() for c in columns]
@@ -105,6 +105,9 @@ class RateLimit(_Scan):
 class Changes(_Scan):
     """Rows that aren't older than, and differ from, the last row kept."""
 
+    def __init__(self, arrival: tuple[str, ...] = ("seq",)):
+        self.ARRIVAL = arrival
+
     def keep(self, state, time, value):
         if state is not None and (time < state[0] or str(value) == state[1]):
             return False, state

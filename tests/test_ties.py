@@ -33,7 +33,7 @@ def ordered(name):
     return lines.replace("PARTITION BY context, path ORDER BY seq", "PARTITION BY context, path ORDER BY seq, event")
 
 
-NAMES = ["f04_late_rows", "f03_f04_changes_without_late", "f03_merged_changes"]
+NAMES = ["f04_late_rows", "f03_f04_changes_without_late", "f03_merged_changes", "u04_streaming_changes"]
 
 
 @pytest.mark.parametrize("name", NAMES)
