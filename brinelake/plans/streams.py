@@ -20,6 +20,8 @@ from .stateful import ARRIVAL, DELTA_SQL, LIMITED, register_numbers
 
 #: The most that one trigger takes; so much of a key's rows is in one task at most.
 TRIGGER_BYTES = 128 << 20
+#: About as many rows has a trigger whose rows come in order.
+PIECE_ROWS = 2_000_000
 
 
 def mapped_stream(spark, d):
@@ -71,20 +73,36 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-def arriving(rows: DataFrame, parts, build, write=None) -> DataFrame | None:
+def pieces(rows: DataFrame, by) -> list[DataFrame]:
+    """The rows in order of ``by`` (a column of longs), in pieces of ``PIECE_ROWS`` or so; equal values stay together."""
+    spark, n = rows.sparkSession, -(-rows.count() // PIECE_ROWS)
+    if n < 2:
+        return [rows]
+    cuts = sorted(set(rows.agg(F.percentile_approx(by, [k / n for k in range(1, n)], 10000)).first()[0]))
+    at = shared_path(spark, "pieces")
+    number = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= by))
+    rows.where(by.isNotNull()).withColumn("piece", number).write.partitionBy("piece").parquet(at)
+    kept = spark.read.parquet(at)
+    return [kept.where(F.col("piece") == k).select(*rows.columns) for k in range(len(cuts) + 1)]
+
+
+def arriving(rows: DataFrame, parts, build, write=None, by=None) -> DataFrame | None:
     """Runs ``build(stream)`` over rows that arrive in parts, one after another, on one checkpoint.
 
     The rows of each condition are written by all tasks to the stream's folder, then the query takes them; so parts never mix, and
-    the size of a trigger is bounded in bytes.
+    the size of a trigger is bounded in bytes.  Triggers share out the files of a part, so its rows come in any order.  With ``by`` they
+    come in that order: a part is cut into pieces of it, and each piece is one trigger.
     """
     spark, rows = rows.sparkSession, rows.withColumn("time", F.col("time").cast("timestamp"))
     at = shared_path(spark, "arrivals")
     stream = None
     for part in parts:
-        rows.where(part).write.mode("append").parquet(f"{at}/in")
-        source = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", TRIGGER_BYTES).parquet(f"{at}/in")
-        stream = build(source)
-        run_to_end(stream, at, write=write)
+        for piece in [rows.where(part)] if by is None else pieces(rows.where(part), by):
+            piece.write.mode("append").parquet(f"{at}/in")
+            source = spark.readStream.schema(rows.schema)
+            source = source.option("maxBytesPerTrigger", TRIGGER_BYTES) if by is None else source
+            stream = build(source.parquet(f"{at}/in"))
+            run_to_end(stream, at, write=write)
     return None if write else spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
@@ -143,7 +161,9 @@ def u04_absence(spark, d):
     early = F.col("time") < F.lit(newest) - F.expr("INTERVAL 2 HOURS")
     kind = "connector string, last_seen timestamp, next_seen timestamp"
     build = lambda stream: J.run_machine(stream.withWatermark("time", "1 hour"), ["connector"], J.Absence(1800), kind, "EventTime")
-    rows = arriving(mapped(spark, d), [there & early, there & ~early, F.col("time") == F.lit(newest)], build)
+    seen = mapped(spark, d).select("time", "seq", "connector")
+    # in order of time: rows of a later trigger would be late, or come after their source was reported
+    rows = arriving(seen, [there & early, there & ~early, F.col("time") == F.lit(newest)], build, by=F.unix_micros("time"))
     # one that came back later has a row with that time too
     out = rows.where("next_seen is null").join(rows.where("next_seen is not null"), ["connector", "last_seen"], "left_anti")
     return out.select("connector", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))

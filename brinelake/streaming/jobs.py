@@ -127,16 +127,16 @@ class Silence(StatefulProcessor):
         pass
 
     def handleInputRows(self, key, rows, timerValues):
+        import numpy as np
         import pandas as pd
 
-        times = sorted(t for part in rows for t in part["time"])
-        last, found = (self.last.get()[0] if self.last.exists() else None), []
-        for t in times:
-            if last is not None and (t - pd.Timestamp(last)).total_seconds() > self.seconds:
-                found.append((key[0], last, t))
-            last = t if last is None else max(pd.Timestamp(last), t)
-        self.last.update((last,))
-        yield pd.DataFrame(found, columns=["connector", "last_seen", "next_seen"])
+        times = np.sort(np.concatenate([np.empty(0, "M8[ns]"), *[part["time"].dropna().to_numpy("M8[ns]") for part in rows]]))
+        before = [np.datetime64(pd.Timestamp(self.last.get()[0]), "ns")] if self.last.exists() else list(times[:1])
+        newest = np.maximum.accumulate(np.concatenate([np.array(before, "M8[ns]"), times]))
+        if len(newest):
+            self.last.update((pd.Timestamp(newest[-1]).to_pydatetime(),))
+        gaps = np.flatnonzero(times - newest[: len(times)] > np.timedelta64(round(self.seconds * 1e9), "ns"))
+        yield pd.DataFrame({"connector": pd.Series([key[0]] * len(gaps), dtype=object), "last_seen": newest[gaps], "next_seen": times[gaps]})
 
 
 class Absence(Silence):
