@@ -412,12 +412,13 @@ class RegisterDeltas(StatefulProcessor):
 class Flush(StatefulProcessor):
     """Batches of texts of a key in order of arrival: of ``size`` + 1 as soon as there are so many, and what is left after ``seconds``.
 
-    What is left is a list in state, carried from trigger to trigger; a processing-time timer, set when the first text of a
-    batch comes, flushes it.  Rows: seq, text.  Out: the key, the batch's number, how many texts it has, and a JSON array of them.
+    What is left is a list in state, carried from trigger to trigger; a timer, set when the first text of a batch comes, flushes it.  It
+    goes by the clock, or with ``event_time`` by the watermark and the text's own time, so that how fast triggers follow each other
+    decides nothing.  Rows: seq, text, and time for ``event_time``.  Out: the key, the batch's number, how many texts it has, and a JSON array of them.
     """
 
-    def __init__(self, size: int, seconds: float, columns: list[str]):
-        self.size, self.seconds, self.columns = size, seconds, columns
+    def __init__(self, size: int, seconds: float, columns: list[str], event_time: bool = False):
+        self.size, self.seconds, self.columns, self.event_time = size, seconds, columns, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -426,39 +427,42 @@ class Flush(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _batch(self, key, number, texts):
+    def _batches(self, key, number, batches):
         import pandas as pd
 
-        return pd.DataFrame([(*key, number, len(texts), "[" + ",".join(texts) + "]")], columns=[*self.columns, "batch", "n", "payload"])
+        rows = [(*key, number + k, len(texts), "[" + ",".join(texts) + "]") for k, texts in enumerate(batches)]
+        return pd.DataFrame(rows, columns=[*self.columns, "batch", "n", "payload"])
 
     def _timers(self) -> list:
         return list(self.handle.listTimers())
 
     def handleInputRows(self, key, rows, timerValues):
-        _, (texts,), _ = _columns(rows, ["text"])
+        _, (texts, *times), _ = _columns(rows, ["text", "time"] if self.event_time else ["text"])
         new = texts.tolist()
+        if not new:
+            return
         number, held = self.given.get() if self.given.exists() else (0, 0)
+        first = 0  # of the new texts the first of the batch that is left
         if held + len(new) <= self.size:  # only what is new is written
             self.held.appendList([(t,) for t in new])
             held += len(new)
         else:
-            new = [t[0] for t in self.held.get()] + new if held else new
-            at = 0
-            while len(new) - at > self.size:
-                yield self._batch(key, number, new[at : at + self.size + 1])
-                at, number = at + self.size + 1, number + 1
-            held = len(new) - at
-            self.held.put([(t,) for t in new[at:]]) if held else self.held.clear()
+            have = [t[0] for t in self.held.get()] + new if held else new
+            at = len(have) // (self.size + 1) * (self.size + 1)
+            yield self._batches(key, number, [have[k : k + self.size + 1] for k in range(0, at, self.size + 1)])
+            number, first, held = number + at // (self.size + 1), at - held, len(have) - at
+            self.held.put([(t,) for t in have[at:]]) if held else self.held.clear()
             for timer in self._timers():
                 self.handle.deleteTimer(timer)
         self.given.update((number, held))
         if held and not self._timers():
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.seconds * 1000))
+            now = int(times[0][first].astype("datetime64[ms]").astype(int)) if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+            self.handle.registerTimer(now + int(self.seconds * 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         number, held = self.given.get()
         if held:
-            yield self._batch(key, number, [t[0] for t in self.held.get()])
+            yield self._batches(key, number, [[t[0] for t in self.held.get()]])
             self.held.clear()
             self.given.update((number + 1, 0))
 

@@ -116,3 +116,13 @@ def test_absence_over_parts_of_many_triggers(spark, tmp_path, monkeypatch):
             AND (CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 3 > 0 OR ts < TIMESTAMP '2024-01-30 18:00:00')) TO '{tmp_path}/events.parquet/{part}.parquet'"""
         )
     same_as_sql(spark, "u04_streaming_absence", str(tmp_path))
+
+
+def test_flush_over_parts_of_many_triggers(spark, tmp_path, monkeypatch):
+    """Parts larger than a trigger, stored in an order that isn't that of arrival."""
+    monkeypatch.setattr(streams, "TRIGGER_BYTES", 1_000)
+    monkeypatch.setattr(streams, "PIECE_ROWS", 500, raising=False)
+    (tmp_path / "events.parquet").mkdir()
+    for part in range(4):
+        duckdb.execute(f"COPY (SELECT * FROM read_parquet('/root/testdata/sf0.01/events.parquet') WHERE hash(event_id) % 4 = {part} AND event_id < 4000) TO '{tmp_path}/events.parquet/{part}.parquet'")
+    same_as_sql(spark, "t07_streaming_flush", str(tmp_path))
