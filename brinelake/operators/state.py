@@ -121,11 +121,27 @@ def changes_without_late(mapped: DataFrame, value: str = "value", arrival: str |
 
 
 def moving_average(mapped: DataFrame, retention: str, value: str = "value") -> DataFrame:
-    """Adds ``average`` of a path's values no older than ``retention`` (an interval), this row's included."""
-    micros = F.unix_micros(F.col("time").cast("timestamp"))
+    """Adds ``average`` of a path's values no older than ``retention`` (an interval), this row's included.
+
+    Time is cut into buckets as long as the retention, so a window is the end of one bucket and the beginning of the next.  Each row is a row of its own
+    bucket and, later by the retention, one of the past of the next; both running sums take each row once, and nothing is ever subtracted.  No
+    task has more than two buckets' rows of a path.
+    """
     span = mapped.sparkSession.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {retention}"))).first()[0]
-    w = Window.partitionBy(*KEYS).orderBy(micros).rangeBetween(-span, 0)
-    return mapped.withColumn("average", F.avg(value).over(w))
+    micros = F.unix_micros(F.col("time").cast("timestamp"))
+    at, start, past = F.col("__at"), F.col("__at") - F.pmod(F.col("__at"), F.lit(span)), F.col("__past")
+    own = mapped.withColumns({"__at": micros, "__value": F.col(value).cast("double"), "__past": F.lit(False)})
+    before = own.where("time is not null").select(
+        *[F.col(c) if c in KEYS else F.lit(None).cast(own.schema[c].dataType).alias(c) for c in mapped.columns],
+        (at + span).alias("__at"), "__value", F.lit(True).alias("__past"),
+    )
+    rows = own.unionByName(before).withColumn("__start", start)
+    w = Window.partitionBy(*KEYS, "__start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = [(F.when(~past, F.col("__value")), w.orderBy("__at")), (F.when(past, F.col("__value")), w.orderBy(at.desc()))]
+    total = sum(F.coalesce(F.sum(v).over(side), F.lit(0.0)) for v, side in sides)
+    n = sum(F.count(v).over(side) for v, side in sides)
+    rows = rows.withColumns({"__total": total, "__n": n}).where(~past)
+    return rows.select(*mapped.columns, F.when(F.col("__n") > 0, F.col("__total") / F.col("__n")).alias("average"))
 
 
 def silences(mapped: DataFrame, timeout: str, bucket: str = "1 DAY") -> DataFrame:

@@ -227,7 +227,7 @@ def f0304(spark, d):
     RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW), 6) AS average FROM mapped""",
 )
 def w05(spark, d):
-    return S.moving_average(mapped(spark, d), "1 DAY").select("seq", F.round("average", 6).alias("average"))
+    return S.moving_average(mapped(spark, d).select("seq", "context", "path", "time", "value"), "1 DAY").select("seq", F.round("average", 6).alias("average"))
 
 
 @query(
