@@ -1,6 +1,12 @@
-"""SimHash near-duplicates by tiled exact comparison.
+"""SimHash near-duplicates by exact comparison inside buckets of equal bits.
 
-Every pair of different fingerprints is compared unless population counts rule it out: two
+Bits are cut into more blocks than the radius, so fingerprints in reach of each other agree in all
+but ``radius`` blocks at least: each fingerprint stands in one bucket for each choice of blocks that
+may agree, and all pairs of a bucket are compared, so no link is lost.  Five blocks do for tens of millions of
+fingerprints; where buckets would be too large, there are more blocks, and finer buckets.
+
+If no number of blocks makes buckets small (fingerprints that share most of their bits), every pair of
+different fingerprints is compared in tiles unless population counts rule it out: two
 fingerprints at distance d differ by at most d in the sum over their bytes of |popcount difference|.
 Fingerprints are dealt to groups by the population counts of their first two 16-bit parts.  A task
 compares two groups: it sorts them by the population counts of all eight bytes, cuts them into
@@ -16,6 +22,7 @@ once; a null doc_id takes part and is never the smallest of its component unless
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -29,6 +36,8 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Rows of a tile; least number of groups; most distinct fingerprints of a group.
 TILE, GROUPS, GROUP_ROWS = 1024, 16, 1_000_000
 _CHUNK = 1 << 16
+#: Most comparisons of a fingerprint that buckets may ask for, at the mean; rows up to which buckets are compared many at a time; rows at a time.
+COMPARISONS, SMALL, CHUNK = 20_000, 64, 1 << 16
 #: A fingerprint of over one in so many rows is a heavy one; there can't be more of them than that.
 HEAVY = 1000
 
@@ -160,8 +169,79 @@ def _near(a, b, radius: int) -> bool:
     return gap(a[0], a[1], b[0], b[1]) + gap(a[2], a[3], b[2], b[3]) <= radius
 
 
+def masks(blocks: int, radius: int) -> list[int]:
+    """Signed longs: the bits of each choice of ``blocks - radius`` blocks of 64 bits."""
+    ends = [64 * k // blocks for k in range(blocks + 1)]
+    bits = [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:])]
+    return [sum(own) - (1 << 64) * (sum(own) >> 63) for own in itertools.combinations(bits, blocks - radius)]
+
+
+def bucket_links(buckets: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what links inside buckets join; rows of a bucket stand together, and ``buckets`` has their numbers, which ascend."""
+    starts = np.flatnonzero(np.diff(buckets, prepend=-1))
+    sizes = np.diff(starts, append=len(fps))
+    large = sizes > SMALL
+    edges = [forest(fps[a : a + n], None, radius) for a, n in zip(starts[large].tolist(), sizes[large].tolist())]
+    sets = _Forest(len(fps))
+    left = np.repeat(np.where(large, 0, starts + sizes), sizes) - np.arange(len(fps))  # rows of the bucket from here on
+    at, shift = np.flatnonzero(left > 1), 1
+    while len(at):
+        near = at[np.bitwise_count(fps[at] ^ fps[at + shift]) <= radius]
+        sets.link(near, near + shift)
+        shift += 1
+        at = at[left[at] > shift]
+    root = sets.find(np.arange(len(fps)))
+    child = np.flatnonzero(root != np.arange(len(fps)))
+    edges.append((fps[child], fps[root[child]]))
+    return tuple(np.concatenate(side) for side in zip(*edges))
+
+
+def _in_buckets(fps: DataFrame, masks: list[int]) -> DataFrame:
+    choice = F.explode(F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks)]))
+    return fps.select("fp", choice.alias("b")).select("b.choice", "b.bits", "fp")
+
+
+def link_buckets(fps: DataFrame, radius: int, masks: list[int]) -> DataFrame:
+    """Edges (a, b) of all buckets; rows go through tasks sorted by bucket, so that a task holds a chunk of them or one bucket."""
+    chunk = CHUNK
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = np.empty((3, 0), np.int64)
+
+        def edges(rows):
+            number = np.cumsum(np.append(0, (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)))
+            a, b = bucket_links(number, np.ascontiguousarray(rows[2]).view(np.uint64), radius)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+        for batch in batches:
+            held = np.concatenate([held, [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("choice", "bits", "fp")]], axis=1)
+            if held.shape[1] < chunk:
+                continue
+            last = (held[0] == held[0, -1]) & (held[1] == held[1, -1])  # of this bucket more rows may come
+            if not last.all():
+                yield edges(held[:, ~last])
+                held = held[:, last]
+        if held.shape[1]:
+            yield edges(held)
+
+    return _in_buckets(fps, masks).repartition("choice", "bits").sortWithinPartitions("choice", "bits").mapInArrow(run, "a long, b long")
+
+
 def link_forest(fps: DataFrame, radius: int = RADIUS, groups: int = GROUPS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Edges (a, b) with the components that all pairs of ``fp`` within ``radius`` give. ``fp`` must be distinct."""
+    for blocks in range(radius + 1, radius + 5):
+        own = masks(blocks, radius)
+        count = _in_buckets(fps, own).groupBy("choice", "bits").count()
+        rows, pairs, largest = count.agg(F.sum("count"), F.sum(F.col("count").cast("double") * F.col("count") / 2), F.max("count")).first()
+        if not rows or largest <= group_rows and pairs <= COMPARISONS * rows / len(own):
+            return link_buckets(fps, radius, own)
+    return link_tiles(fps, radius, groups, group_rows)
+
+
+def link_tiles(fps: DataFrame, radius: int = RADIUS, groups: int = GROUPS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """As ``link_forest``, by comparing all pairs of groups in tiles."""
     spark = fps.sparkSession
     cell = fps.select(
         "fp",
